@@ -1,3 +1,298 @@
-"""Catalog entries."""
+"""Catalog: sources, ingest, load monitoring and datasets.
 
-ENTRIES = {}
+Each entry lands the driver tables as files under the shared checkpoint
+folder, runs the load or materialisation, and reads the result back, so
+the oracle compares loaded content with the source tables.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tillroll import schemas as S
+from tillroll.catalog.common import oracle, out
+from tillroll.catalog.sales_entries import A1_SQL, A2_SQL, A3_SQL, A4_SQL, A5_SQL
+from tillroll.plans import datasets as DS
+from tillroll.plans.metrics import latest_order_day
+from tillroll.session import shared_dir
+from tillroll.sources import ingest as I
+from tillroll.sources import testdata as td
+
+LANDING_FILES = 8
+AS_OF_SQL = "(SELECT MAX(CAST(order_date AS DATE)) FROM star_orders_plain)"
+
+
+def land(df: DataFrame, path: str, fmt: str = "csv", files: int = LANDING_FILES) -> str:
+    """Write a frame as ``files`` landing files (round-robin, so none is empty)."""
+    w = df.repartition(files).write.mode("overwrite")
+    if fmt in ("csv", "json"):
+        w = w.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    if fmt == "csv":
+        w = w.option("header", True)
+    w.format(fmt).save(path)
+    return path
+
+
+def ref_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Star orders in the reference landing layout."""
+    o = td.orders(spark, sf)
+    return o.select(F.col("order_id").cast("int"), F.col("customer_id").cast("string"), "order_date",
+                    F.col("total_amount").cast("decimal(10,2)"), "status", "region")
+
+
+REF_ORDERS_SQL = oracle("""SELECT order_id, CAST(customer_id AS VARCHAR) AS customer_id, order_date,
+       CAST(total_amount AS DOUBLE) AS total_amount, status, region FROM star_orders""")
+
+# The test-data item layout (line amount instead of unit price).
+ITEMS_TD = T.StructType([
+    T.StructField("order_id", T.LongType()), T.StructField("product_id", T.LongType()),
+    T.StructField("line_number", T.IntegerType()), T.StructField("quantity", T.IntegerType()),
+    T.StructField("line_amount", T.DecimalType(12, 2)), T.StructField("discount", T.DecimalType(4, 2))])
+
+
+def _ingest_orders(spark, sf, files=LANDING_FILES):
+    root = shared_dir(spark, "ingest")
+    src = land(ref_orders(spark, sf), f"{root}/landing/orders", files=files)
+    store = I.Store(f"{root}/store")
+    I.ingest(spark, "orders", src, store, max_files=3)   # S4: 3 files per batch
+    I.ingest(spark, "orders", src, store)                 # S3: nothing new, loads 0 rows
+    return store
+
+
+def _s1(spark, sf):
+    root = shared_dir(spark, "s1")
+    src = land(ref_orders(spark, sf), f"{root}/landing/orders")
+    return out(I.read_csv(spark, "orders", src))
+
+
+def _s2(spark, sf):
+    store = _ingest_orders(spark, sf)
+    return out(I.loaded(spark, store, "orders").drop("batch_id"))
+
+
+def _s5(spark, sf):
+    root = shared_dir(spark, "s5")
+    ev = td.events(spark, sf).select(F.col("event_id").cast("int").alias("id"), F.col("event_type").alias("name"),
+                                     F.col("value").cast("decimal(10,2)").alias("value"),
+                                     F.col("ts").alias("timestamp"))
+    land(ev, f"{root}/landing/events")
+    store = I.Store(f"{root}/store")
+    I.ingest(spark, "data_import", f"{root}/landing", store, recursive=True)
+    return out(I.loaded(spark, store, "data_import").drop("batch_id"))
+
+
+S5_SQL = """SELECT CAST(event_id AS BIGINT) AS id, event_type AS name,
+       CAST(CAST(value AS DECIMAL(10,2)) AS DOUBLE) AS value, ts AS timestamp FROM events"""
+
+
+def _s7(spark, sf):
+    root = shared_dir(spark, "s7")
+    items = td.order_items(spark, sf)
+    # A zero discount arrives as a blank field; the column default restores it.
+    blanked = items.withColumn("discount", F.when(F.col("discount") != 0, F.col("discount")))
+    src = land(blanked, f"{root}/landing/order_items")
+    store = I.Store(f"{root}/store")
+    I.ingest(spark, "order_items", src, store, schema=ITEMS_TD)
+    return out(I.loaded(spark, store, "order_items").drop("batch_id"))
+
+
+S7_SQL = oracle("""SELECT order_id, product_id, CAST(line_number AS BIGINT) AS line_number,
+       CAST(quantity AS BIGINT) AS quantity, CAST(line_amount AS DOUBLE) AS line_amount,
+       CAST(discount AS DOUBLE) AS discount FROM star_items""")
+
+
+def _s8(spark, sf):
+    store = _ingest_orders(spark, sf)
+    h = I.load_history(spark, store, 10, ["orders"])
+    return h.agg(F.count(F.lit(1)).alias("files_listed"), F.sum("rows_loaded").alias("rows_loaded"),
+                 F.sum("rows_rejected").alias("rows_rejected"))
+
+
+S8_SQL = oracle(f"""SELECT CAST(LEAST({LANDING_FILES}, 10) AS BIGINT) AS files_listed,
+       CAST(COUNT(*) AS BIGINT) AS rows_loaded, CAST(0 AS BIGINT) AS rows_rejected FROM star_orders""")
+
+
+def _reject_store(spark, sf):
+    """Line items landed in the reference item layout: quantities arrive as
+    '23.0' and fail the INTEGER column, so every line is rejected."""
+    root = shared_dir(spark, "s9")
+    li = td.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("int").alias("order_id"), F.col("l_partkey").cast("string").alias("product_id"),
+        F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("unit_price"),
+        F.col("l_discount").alias("discount"))
+    src = land(li, f"{root}/landing/order_items")
+    store = I.Store(f"{root}/store")
+    I.ingest(spark, "order_items", src, store)
+    return store
+
+
+def _s9_errors(spark, sf):
+    store = _reject_store(spark, sf)
+    return I.load_errors(spark, store, 10, ["order_items"]).drop("error_time", "file_path")
+
+
+def _s9_reasons(spark, sf):
+    store = _reject_store(spark, sf)
+    rej = spark.read.parquet(store.rejects("order_items"))
+    return rej.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+S9R_SQL = """SELECT 'malformed_line' AS reason, COUNT(*) AS rows FROM lineitem
+UNION ALL SELECT 'quantity_not_null', COUNT(*) FROM lineitem"""
+
+
+def _s10(spark, sf):
+    store = _ingest_orders(spark, sf)
+    return I.load_jobs(spark, store, "%_import_job", ["orders"]).drop("last_load_time")
+
+
+S10_SQL = oracle(f"""SELECT 'orders_import_job' AS job_name, 'orders' AS table_name,
+       CAST({LANDING_FILES} AS BIGINT) AS files, CAST(COUNT(*) AS BIGINT) AS rows_loaded,
+       CAST(0 AS BIGINT) AS rows_rejected, 'loaded' AS latest_status FROM star_orders""")
+
+
+def _s11(spark, sf):
+    store = _ingest_orders(spark, sf)
+    return I.load_detail(spark, store, "orders_import_job", ["orders"]).select(
+        "job_name", "table_name", "rows_total", "rows_loaded", "rows_rejected", "status")
+
+
+def _s6(spark, sf):
+    store = _ingest_orders(spark, sf)
+    db = f"analytics_{uuid.uuid4().hex[:8]}"
+    I.create_tables(spark, db, store.root)
+    I.create_tables(spark, db, store.root)          # idempotent
+    I.refresh_partitions(spark, db)
+    return I.table_counts(spark, db)
+
+
+S6_SQL = oracle("""SELECT 'orders' AS table_name, COUNT(*) AS row_count FROM star_orders
+UNION ALL SELECT 'order_items', 0 UNION ALL SELECT 'customers', 0 UNION ALL SELECT 'products', 0
+UNION ALL SELECT 'data_import', 0""")
+
+
+def _s18(fmt):
+    def run(spark, sf):
+        root = shared_dir(spark, f"s18-{fmt}")
+        src = land(ref_orders(spark, sf), f"{root}/landing/orders", fmt)
+        return out(I.read_any(spark, "orders", src, fmt))
+    return run
+
+
+def _star(spark, sf):
+    return td.load_star(spark, sf)
+
+
+def _dataset(name):
+    def run(spark, sf):
+        loc = shared_dir(spark, "datasets")
+        DS.create_dataset(spark, name, _star(spark, sf), loc)
+        return out(DS.read_dataset(spark, name, loc))
+    return run
+
+
+def _s14(spark, sf):
+    loc = shared_dir(spark, "datasets")
+    return DS.refresh_datasets(spark, _star(spark, sf), loc)
+
+
+S14_SQL = oracle("""
+SELECT 'sales_by_region' AS dataset, 'ok' AS status,
+       (SELECT COUNT(DISTINCT region) FROM star_orders WHERE status = 'completed') AS rows, CAST(NULL AS VARCHAR) AS error
+UNION ALL SELECT 'top_products', 'ok', (SELECT LEAST(10, COUNT(*)) FROM (SELECT DISTINCT product_name, category
+  FROM star_ps WHERE status = 'completed') t), NULL
+UNION ALL SELECT 'customer_segments', 'ok', (SELECT COUNT(DISTINCT customer_segment) FROM star_customers), NULL
+UNION ALL SELECT 'daily_sales', 'ok', (SELECT COUNT(DISTINCT CAST(order_date AS DATE)) FROM star_orders WHERE status = 'completed'), NULL
+UNION ALL SELECT 'category_performance', 'ok', (SELECT COUNT(DISTINCT category) FROM star_ps WHERE status = 'completed'), NULL
+UNION ALL SELECT 'orders_with_customers', 'ok', (SELECT COUNT(*) FROM star_orders), NULL
+UNION ALL SELECT 'product_sales', 'ok', (SELECT COUNT(*) FROM star_ps), NULL
+UNION ALL SELECT 'daily_rollup', 'ok', (SELECT COUNT(*) FROM (SELECT DISTINCT CAST(order_date AS DATE), region, category
+  FROM star_ps WHERE status = 'completed') t), NULL""", """star_ps AS (
+  SELECT oi.*, p.category, p.product_name, o.order_date, o.status, o.region
+  FROM star_items oi JOIN star_products p ON oi.product_id = p.product_id
+  JOIN star_orders o ON oi.order_id = o.order_id)""")
+
+
+def _s15(spark, sf):
+    loc = shared_dir(spark, "datasets")
+    star = _star(spark, sf)
+    DS.create_dataset(spark, "daily_sales", star, loc)
+    since = spark.range(1).select(F.date_sub(latest_order_day(star.orders), 30)).first()[0]
+    DS.refresh_incremental(spark, "daily_sales", star, loc, since)
+    return out(DS.read_dataset(spark, "daily_sales", loc))
+
+
+def _s16(spark, sf):
+    star = _star(spark, sf)
+    return out(DS.retain(DS.build("daily_sales", star), "order_date", latest_order_day(star.orders), 365))
+
+
+S16_SQL = oracle(f"""SELECT * FROM (
+SELECT CAST(order_date AS DATE) AS order_date, COUNT(DISTINCT order_id) AS orders,
+       CAST(SUM(total_amount) AS DOUBLE) AS revenue
+FROM star_orders_plain WHERE status = 'completed'
+GROUP BY CAST(order_date AS DATE)) d
+WHERE order_date > {AS_OF_SQL} - INTERVAL 365 DAY AND order_date <= {AS_OF_SQL}""")
+
+
+def _s17(spark, sf):
+    view = f"sales_by_region_{uuid.uuid4().hex[:8]}"
+    df = DS.build("sales_by_region", _star(spark, sf))
+    df.createOrReplaceTempView(view)
+    return out(spark.sql(f"SELECT * FROM {view}"))
+
+
+def _s19(spark, sf):
+    df = DS.build("customer_segments", _star(spark, sf))
+    expected = [c for c, _t in S.DATASET_SCHEMAS["customer_segments"]]
+    assert df.columns == expected, df.columns
+    return out(df)
+
+
+def _s20(spark, sf):
+    return out(DS.daily_rollup(_star(spark, sf)))
+
+
+S20_SQL = oracle("""
+SELECT CAST(o.order_date AS DATE) AS order_date, o.region, p.category,
+       CAST(SUM(oi.line_amount * (1 - oi.discount)) AS DOUBLE) AS revenue,
+       CAST(SUM(oi.quantity * p.unit_cost) AS DOUBLE) AS cost, SUM(oi.quantity) AS units_sold,
+       COUNT(*) AS lines, COUNT(DISTINCT oi.order_id) AS orders
+FROM star_items oi JOIN star_products p ON oi.product_id = p.product_id
+JOIN star_orders o ON oi.order_id = o.order_id
+WHERE o.status = 'completed' GROUP BY 1, 2, 3""")
+
+
+def _s20_category(spark, sf):
+    loc = shared_dir(spark, "datasets")
+    DS.create_dataset(spark, "daily_rollup", _star(spark, sf), loc)
+    return out(DS.category_from_rollup(DS.read_dataset(spark, "daily_rollup", loc)))
+
+
+ENTRIES = {
+    "s1_csv_scan": (_s1, REF_ORDERS_SQL),
+    "s2_ingest_orders": (_s2, REF_ORDERS_SQL),
+    "s5_catch_all_loader": (_s5, S5_SQL),
+    "s6_create_tables": (_s6, S6_SQL),
+    "s7_column_default": (_s7, S7_SQL),
+    "s8_load_history": (_s8, S8_SQL),
+    "s9_load_errors": (_s9_errors, None),
+    "s9_reject_reasons": (_s9_reasons, S9R_SQL),
+    "s10_load_jobs": (_s10, S10_SQL),
+    "s11_load_detail": (_s11, None),
+    "s12_create_dataset": (_dataset("category_performance"), A5_SQL),
+    "s13_create_single_dataset": (_dataset("top_products"), A2_SQL),
+    "s14_refresh_datasets": (_s14, S14_SQL),
+    "s15_refresh_incremental": (_s15, A4_SQL),
+    "s16_retention": (_s16, S16_SQL),
+    "s17_dataset_view": (_s17, A1_SQL),
+    "s18_json_source": (_s18("json"), REF_ORDERS_SQL),
+    "s18_parquet_source": (_s18("parquet"), REF_ORDERS_SQL),
+    "s19_dataset_schema": (_s19, A3_SQL),
+    "s20_daily_rollup": (_s20, S20_SQL),
+    "s20_category_from_rollup": (_s20_category, A5_SQL),
+}

@@ -24,13 +24,15 @@ def sales_by_region(orders: DataFrame) -> DataFrame:
             .orderBy(F.col("total_revenue").desc_nulls_last(), F.col("region")))
 
 
-def completed_lines(items: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
+def completed_lines(items: DataFrame, products: DataFrame, orders: DataFrame,
+                    keep: tuple[str, ...] = ()) -> DataFrame:
     """items JOIN products JOIN orders WHERE status = 'completed' (J1 + J2 + P3).
 
-    Only the join key of orders survives the projection, so the orders scan
-    reads two columns and the status predicate is pushed into it.
+    Only the join key of orders (plus ``keep``) survives the projection, so
+    the orders scan reads few columns and the status predicate is pushed
+    into it.
     """
-    o = completed(orders).select("order_id")
+    o = completed(orders).select("order_id", *keep)
     return (with_line_amount(items)
             .join(products, "product_id")
             .join(o, "order_id"))

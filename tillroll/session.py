@@ -72,3 +72,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh, uniquely named folder under the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tillroll/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def local_path(uri: str) -> str:
+    """Strip a ``file:`` scheme (for test helpers writing with plain Python)."""
+    return uri[len("file:"):] if uri.startswith("file:") else uri
