@@ -66,9 +66,8 @@ M3_SQL = oracle(_forecast_sql("product_id", "AND n >= 3"), """unit_series AS (
 
 def _z_sql(series: str, value: str = "y") -> str:
     return f"""
-SELECT region, day, value, prior_points, ROUND(mean, 4) AS trailing_mean, ROUND(std, 4) AS trailing_std,
-       ROUND(z, 6) AS z,
-       (prior_points >= {P.MIN_PRIOR_POINTS} AND COALESCE(abs(ROUND(z, 6)) >= {P.Z_THRESHOLD}, FALSE)) AS is_anomaly
+SELECT region, day, value, prior_points, mean AS trailing_mean, std AS trailing_std, z,
+       (prior_points >= {P.MIN_PRIOR_POINTS} AND COALESCE(abs(z) >= {P.Z_THRESHOLD}, FALSE)) AS is_anomaly
 FROM (
   SELECT *, (CAST(value AS DOUBLE) - mean) / NULLIF(std, 0) AS z FROM (
     SELECT *, ps / NULLIF(CAST(prior_points AS DOUBLE), 0) AS mean,

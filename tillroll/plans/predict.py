@@ -105,9 +105,10 @@ def zscores(series: DataFrame, keys: list[str], days: int = TRAILING_DAYS) -> Da
                        (F.col("pn") * (F.col("pn") - 1)).cast("double"))
     std = F.sqrt(var)
     z = F.try_divide(F.col("y").cast("double") - mean, std)
+    # mean, std and z come from exact sums by single IEEE operations, so
+    # they are reproducible bit for bit; no rounding needed.
     return s.select(*keys, "day", F.col("y").alias("value"), F.col("pn").alias("prior_points"),
-                    F.round(mean, 4).alias("trailing_mean"), F.round(std, 4).alias("trailing_std"),
-                    F.round(z, 6).alias("z"))
+                    mean.alias("trailing_mean"), std.alias("trailing_std"), z.alias("z"))
 
 
 def flag(z: DataFrame) -> DataFrame:
