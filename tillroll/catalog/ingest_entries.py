@@ -74,6 +74,28 @@ def _s2(spark, sf):
     return out(I.loaded(spark, store, "orders").drop("batch_id"))
 
 
+def _s3(spark, sf):
+    """Load twice over the same files: the second run adds nothing."""
+    store = _ingest_orders(spark, sf)
+    loaded = I.loaded(spark, store, "orders")
+    return loaded.agg(F.count(F.lit(1)).alias("rows_loaded"),
+                      F.countDistinct("order_id").alias("distinct_orders"))
+
+
+S3_SQL = oracle("SELECT COUNT(*) AS rows_loaded, COUNT(DISTINCT order_id) AS distinct_orders FROM star_orders")
+
+
+def _s4(spark, sf):
+    """Eight landing files, at most three per batch: three load batches."""
+    store = _ingest_orders(spark, sf)
+    return (I.loaded(spark, store, "orders").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.count(F.lit(1)).alias("batches"), F.sum("n").alias("rows_loaded")))
+
+
+S4_SQL = oracle(f"""SELECT CAST(CEIL({LANDING_FILES} / 3.0) AS BIGINT) AS batches,
+       CAST(COUNT(*) AS BIGINT) AS rows_loaded FROM star_orders""")
+
+
 def _s5(spark, sf):
     root = shared_dir(spark, "s5")
     ev = td.events(spark, sf).select(F.col("event_id").cast("int").alias("id"), F.col("event_type").alias("name"),
@@ -276,6 +298,8 @@ def _s20_category(spark, sf):
 ENTRIES = {
     "s1_csv_scan": (_s1, REF_ORDERS_SQL),
     "s2_ingest_orders": (_s2, REF_ORDERS_SQL),
+    "s3_load_each_file_once": (_s3, S3_SQL),
+    "s4_batch_files_per_load": (_s4, S4_SQL),
     "s5_catch_all_loader": (_s5, S5_SQL),
     "s6_create_tables": (_s6, S6_SQL),
     "s7_column_default": (_s7, S7_SQL),
