@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "with_line_amount", "line_revenue", "line_cost", "ratio", "pct", "money",
     "order_size_category", "days_since_order", "as_date", "lit_date",
-    "completed", "to_double_money",
+    "completed", "to_double_money", "STATUS_CODES",
 ]
 
 
@@ -67,7 +67,20 @@ def as_date(c: Column) -> Column:
     return F.to_date(c)
 
 
+# The one-letter order status codes of a coded source and
+# their status names.
+STATUS_CODES = {"completed": "F", "pending": "O", "cancelled": "P"}
+
+
 def completed(df: DataFrame) -> DataFrame:
+    """status = 'completed'.
+
+    A frame mapped from a coded source keeps the raw ``status_code``; the
+    filter then compares the stored code, a plain equality that Parquet
+    can push down (the name is a CASE over the code and cannot be pushed).
+    """
+    if "status_code" in df.columns:
+        return df.where(F.col("status_code") == STATUS_CODES["completed"])
     return df.where(F.col("status") == "completed")
 
 

@@ -26,11 +26,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.functions.columns import STATUS_CODES
+
 MONEY = "decimal(12,2)"
 RATE = "decimal(4,2)"
 
-# Order status codes in the test data and their names.
-STATUS_NAMES = {"F": "completed", "O": "pending", "P": "cancelled"}
+STATUS_NAMES = {code: name for name, code in STATUS_CODES.items()}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +70,8 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(o.o_orderkey.alias("order_id"), o.o_custkey.alias("customer_id"),
                     o.o_orderdate.alias("order_date"),
                     o.o_totalprice.cast(MONEY).alias("total_amount"),
-                    status_name(o.o_orderstatus).alias("status"), c.region))
+                    status_name(o.o_orderstatus).alias("status"), c.region,
+                    o.o_orderstatus.alias("status_code")))
 
 
 def orders_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +80,8 @@ def orders_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(o.o_orderkey.alias("order_id"), o.o_custkey.alias("customer_id"),
                     o.o_orderdate.alias("order_date"),
                     o.o_totalprice.cast(MONEY).alias("total_amount"),
-                    status_name(o.o_orderstatus).alias("status"))
+                    status_name(o.o_orderstatus).alias("status"),
+                    o.o_orderstatus.alias("status_code"))
 
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
