@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tillroll import schemas as S
 from tillroll.sources.testdata import Star
 
-# data/orders.csv rows 2-11.
+# The sample orders (10 rows, in file order).
 ORDERS = [
     (1001, "C001", "2024-01-15 10:23:00", "1250.50", "completed", "us-east"),
     (1002, "C002", "2024-01-15 11:45:00", "890.25", "completed", "us-west"),
@@ -24,7 +24,7 @@ ORDERS = [
     (1009, "C003", "2024-01-17 16:20:00", "890.00", "completed", "eu-west"),
     (1010, "C007", "2024-01-18 11:30:00", "2100.00", "completed", "ap-southeast"),
 ]
-# data/order_items.csv rows 2-17.
+# The sample order items (16 rows, in file order).
 ORDER_ITEMS = [
     (1001, "P101", 2, "250.00", "0.10"), (1001, "P102", 3, "300.00", "0.00"),
     (1002, "P103", 1, "890.25", "0.00"), (1003, "P101", 5, "250.00", "0.15"),
@@ -35,7 +35,7 @@ ORDER_ITEMS = [
     (1008, "P108", 2, "350.00", "0.10"), (1009, "P105", 5, "150.00", "0.10"),
     (1009, "P106", 1, "630.00", "0.50"), (1010, "P107", 5, "400.00", "0.05"),
 ]
-# data/customers.csv rows 2-8.
+# The sample customers (7 rows, in file order).
 CUSTOMERS = [
     ("C001", "John Smith", "john.smith@email.com", "2023-06-15", "premium", "USA"),
     ("C002", "Sarah Johnson", "sarah.j@email.com", "2023-08-22", "standard", "USA"),
@@ -45,7 +45,7 @@ CUSTOMERS = [
     ("C006", "Maria Garcia", "maria.g@email.com", "2023-09-25", "standard", "Spain"),
     ("C007", "James Lee", "james.lee@email.com", "2023-07-12", "premium", "Singapore"),
 ]
-# data/products.csv rows 2-9.
+# The sample products (8 rows, in file order).
 PRODUCTS = [
     ("P101", "Laptop Pro 15", "Electronics", "Computers", "180.00", "S001"),
     ("P102", "Wireless Mouse", "Electronics", "Accessories", "25.00", "S002"),
