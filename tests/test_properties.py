@@ -111,3 +111,33 @@ def test_top_n_ties_are_broken_by_name(spark):
     df = spark.createDataFrame([(f"p{i:02d}", 10.0) for i in range(12)], "product_name string, revenue double")
     got = [r[0] for r in ranking.top_n(df, "revenue", 10, ["product_name"]).collect()]
     assert got == [f"p{i:02d}" for i in range(10)]
+
+
+def test_customer_segments_equals_literal_left_join_under_skew(spark):
+    """A hot customer with a third of the orders, a customer with only
+    pending orders, a customer without orders, and an order with NULL status."""
+    rnd = random.Random(7)
+    cust = [(i, ["premium", "standard", "enterprise"][i % 3]) for i in range(60)]
+    orders = []
+    for oid in range(3000):
+        cid = 0 if oid % 3 == 0 else rnd.randint(1, 50)
+        st = rnd.choice(["completed", "completed", "pending", "cancelled"])
+        orders.append((oid, cid, float(rnd.randint(1, 500)), st))
+    orders += [(5000, 51, 10.0, "pending"), (5001, 52, 20.0, None)]
+    c = spark.createDataFrame(cust, "customer_id long, customer_segment string")
+    o = spark.createDataFrame(orders, "order_id long, customer_id long, total_amount double, status string")
+    c.createOrReplaceTempView("skew_c")
+    o.createOrReplaceTempView("skew_o")
+    want = spark.sql("""
+        SELECT c.customer_segment, COUNT(DISTINCT c.customer_id) AS customer_count,
+               COUNT(DISTINCT o.order_id) AS total_orders, SUM(o.total_amount) AS total_revenue
+        FROM skew_c c LEFT JOIN skew_o o ON c.customer_id = o.customer_id
+        WHERE o.status = 'completed' OR o.status IS NULL GROUP BY 1""")
+    got = sales.customer_segments(c, o).select("customer_segment", "customer_count", "total_orders", "total_revenue")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_orphans_with_repeated_parent_keys(spark):
+    child = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    parent = spark.createDataFrame([(1,)] * 500 + [(3,)], "k long")
+    assert [r[0] for r in quality.orphans(child, parent, "k").collect()] == [2]

@@ -61,8 +61,13 @@ def check_types(df: DataFrame, schema: T.StructType, max_length: dict[str, int]
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """V4: child rows whose key has no parent row (LEFT ANTI join)."""
-    return child.join(parent.select(key), key, "left_anti")
+    """V4: child rows whose key has no parent row (LEFT ANTI join).
+
+    The parent keys are deduplicated first (partial aggregation), so a key
+    repeated in the parent cannot pile up in one task: an anti join can only
+    split its left side for skew.
+    """
+    return child.join(parent.select(key).distinct(), key, "left_anti")
 
 
 def check_refs(checks: dict[str, tuple[DataFrame, DataFrame, str]]) -> DataFrame:

@@ -53,16 +53,39 @@ def top_products(items: DataFrame, products: DataFrame, orders: DataFrame, n: in
             .limit(n))
 
 
+def segment_rows(customers: DataFrame, orders: DataFrame) -> DataFrame:
+    """The rows of ``customers LEFT JOIN orders WHERE status = 'completed' OR
+    status IS NULL``, built skew-safe.
+
+    Those rows are (a) every order whose status is completed or NULL, joined
+    to its customer, and (b) one NULL-order row per customer without any
+    order. Written that way the big orders side is the *left* side of an
+    inner join (AQE can split a customer holding a large share of the
+    orders), and (b) anti-joins customers against the distinct customer ids
+    of orders (partial aggregation first, one row per customer). The literal
+    outer join would put all of a hot customer's orders into one task,
+    because a left outer join cannot split its right side.
+    """
+    c = customers.select("customer_id", "customer_segment")
+    o = orders.select("customer_id", "order_id", "total_amount", "status")
+    kept = (o.where((F.col("status") == "completed") | F.col("status").isNull())
+            .join(c, "customer_id"))
+    buyers = orders.select("customer_id").distinct()
+    lonely = (c.join(buyers, "customer_id", "left_anti")
+              .select("customer_id", F.lit(None).cast(o.schema["order_id"].dataType).alias("order_id"),
+                      F.lit(None).cast(o.schema["total_amount"].dataType).alias("total_amount"),
+                      F.lit(None).cast("string").alias("status"), "customer_segment"))
+    return kept.unionByName(lonely)
+
+
 def customer_segments(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """A3: customers LEFT JOIN orders, then status = 'completed' OR status IS NULL.
 
-    Kept literally: a customer whose orders are all pending / cancelled
-    drops out, a customer without any order stays.
+    Semantics kept literally: a customer whose orders are all pending /
+    cancelled drops out, a customer without any order stays (with NULL
+    revenue). See ``segment_rows`` for the skew-safe form of the join.
     """
-    o = orders.select("customer_id", "order_id", "total_amount", "status")
-    c = customers.select("customer_id", "customer_segment")
-    joined = c.join(o, "customer_id", "left")
-    return (joined.where((F.col("status") == "completed") | F.col("status").isNull())
+    return (segment_rows(customers, orders)
             .groupBy("customer_segment")
             .agg(F.countDistinct("customer_id").alias("customer_count"),
                  F.countDistinct("order_id").alias("total_orders"),
