@@ -282,7 +282,7 @@ def _s20(spark, sf):
 S20_SQL = oracle("""
 SELECT CAST(o.order_date AS DATE) AS order_date, o.region, p.category,
        CAST(SUM(oi.line_amount * (1 - oi.discount)) AS DOUBLE) AS revenue,
-       CAST(SUM(oi.quantity * p.unit_cost) AS DOUBLE) AS cost, SUM(oi.quantity) AS units_sold,
+       CAST(SUM(oi.quantity * p.unit_cost) AS DOUBLE) AS cost, CAST(SUM(oi.quantity) AS BIGINT) AS units_sold,
        COUNT(*) AS lines, COUNT(DISTINCT oi.order_id) AS orders
 FROM star_items oi JOIN star_products p ON oi.product_id = p.product_id
 JOIN star_orders o ON oi.order_id = o.order_id

@@ -181,7 +181,7 @@ def _c13(spark, sf):
 
 
 C13_SQL = oracle("""
-SELECT SUM(units) AS units_sold, COUNT(*) AS products_sold, CAST(SUM(revenue) AS DOUBLE) AS revenue,
+SELECT CAST(SUM(units) AS BIGINT) AS units_sold, COUNT(*) AS products_sold, CAST(SUM(revenue) AS DOUBLE) AS revenue,
        ROUND(AVG(CAST(revenue - cost AS DOUBLE) / NULLIF(CAST(revenue AS DOUBLE), 0) * 100.0), 6) AS avg_profit_margin_pct
 FROM (SELECT product_id, SUM(quantity) AS units, SUM(line_amount * (1 - discount)) AS revenue,
              SUM(quantity * unit_cost) AS cost
@@ -223,7 +223,7 @@ def _c17(spark, sf):
 
 
 C17_SQL = oracle("""
-SELECT product_name, SUM(quantity) AS units_sold, CAST(SUM(total_amount) AS DOUBLE) AS revenue
+SELECT product_name, CAST(SUM(quantity) AS BIGINT) AS units_sold, CAST(SUM(total_amount) AS DOUBLE) AS revenue
 FROM star_ps GROUP BY product_name ORDER BY SUM(total_amount) DESC, product_name LIMIT 10""", PS_SQL)
 
 
@@ -233,7 +233,7 @@ def _c18(spark, sf):
 
 C18_SQL = oracle("""
 SELECT product_id, product_name, category,
-       CAST(SUM(line_amount * (1 - discount)) AS DOUBLE) AS revenue, SUM(quantity) AS units_sold,
+       CAST(SUM(line_amount * (1 - discount)) AS DOUBLE) AS revenue, CAST(SUM(quantity) AS BIGINT) AS units_sold,
        CAST(SUM(quantity * unit_cost) AS DOUBLE) AS cost,
        CAST(SUM(line_amount * (1 - discount)) - SUM(quantity * unit_cost) AS DOUBLE) AS profit
 FROM star_ps WHERE status = 'completed' GROUP BY 1, 2, 3""", PS_SQL)
@@ -245,7 +245,7 @@ def _c19_category(spark, sf):
 
 C19C_SQL = oracle("""
 SELECT category, CAST(date_trunc('month', order_date) AS DATE) AS period,
-       CAST(SUM(line_amount * (1 - discount)) AS DOUBLE) AS revenue, SUM(quantity) AS units_sold
+       CAST(SUM(line_amount * (1 - discount)) AS DOUBLE) AS revenue, CAST(SUM(quantity) AS BIGINT) AS units_sold
 FROM star_ps WHERE status = 'completed' GROUP BY 1, 2""", PS_SQL)
 
 
@@ -255,7 +255,7 @@ def _c19_product(spark, sf):
 
 C19P_SQL = oracle("""
 SELECT product_id, CAST(date_trunc('month', order_date) AS DATE) AS period,
-       CAST(SUM(line_amount * (1 - discount)) AS DOUBLE) AS revenue, SUM(quantity) AS units_sold
+       CAST(SUM(line_amount * (1 - discount)) AS DOUBLE) AS revenue, CAST(SUM(quantity) AS BIGINT) AS units_sold
 FROM star_ps WHERE status = 'completed' GROUP BY 1, 2""", PS_SQL)
 
 
@@ -338,8 +338,8 @@ def _c24(spark, sf):
 
 C24_SQL = oracle("""
 SELECT signup_month, new_customers,
-       SUM(new_customers) OVER (ORDER BY signup_month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-         AS cumulative_customers
+       CAST(SUM(new_customers) OVER (ORDER BY signup_month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+         AS BIGINT) AS cumulative_customers
 FROM (SELECT CAST(date_trunc('month', signup_date) AS DATE) AS signup_month, COUNT(*) AS new_customers
       FROM (SELECT customer_id, MIN(CAST(order_date AS DATE)) AS signup_date
             FROM star_orders_plain GROUP BY 1) s GROUP BY 1) m""")
@@ -501,7 +501,7 @@ def _j6(spark, sf):
 
 
 J6_SQL = oracle("""
-SELECT order_id, line_number, product_id, category, status, CAST(total_amount AS DOUBLE) AS total_amount
+SELECT order_id, CAST(line_number AS BIGINT) AS line_number, product_id, category, status, CAST(total_amount AS DOUBLE) AS total_amount
 FROM star_ps""", PS_SQL)
 
 
@@ -525,7 +525,7 @@ def _d2(spark, sf):
 D2_SQL = oracle("""
 SELECT category, subcategory, product_name,
        CAST(GROUPING(category, subcategory, product_name) AS BIGINT) AS level,
-       CAST(SUM(line_amount * (1 - discount)) AS DOUBLE) AS revenue, SUM(quantity) AS units_sold
+       CAST(SUM(line_amount * (1 - discount)) AS DOUBLE) AS revenue, CAST(SUM(quantity) AS BIGINT) AS units_sold
 FROM star_ps WHERE status = 'completed'
 GROUP BY ROLLUP (category, subcategory, product_name)""", PS_SQL)
 

@@ -175,7 +175,7 @@ def _v8(spark, sf):
 
 
 V8_SQL = oracle("""
-SELECT order_id, line_number, product_id, CAST(quantity AS BIGINT) AS quantity,
+SELECT order_id, CAST(line_number AS BIGINT) AS line_number, product_id, CAST(quantity AS BIGINT) AS quantity,
        CAST(line_amount AS DOUBLE) AS line_amount, CAST(discount AS DOUBLE) AS discount
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY order_id, line_number
         ORDER BY product_id DESC, quantity DESC, line_amount DESC, discount DESC) AS rn

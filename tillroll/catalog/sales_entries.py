@@ -29,7 +29,7 @@ def _a2(spark, sf):
 A2_SQL = oracle("""
 SELECT p.product_name, p.category,
        CAST(SUM(oi.line_amount * (1 - oi.discount)) AS DOUBLE) AS revenue,
-       SUM(oi.quantity) AS units_sold
+       CAST(SUM(oi.quantity) AS BIGINT) AS units_sold
 FROM star_items oi JOIN star_products p ON oi.product_id = p.product_id
 JOIN star_orders_plain o ON oi.order_id = o.order_id
 WHERE o.status = 'completed'
@@ -70,7 +70,7 @@ def _a5(spark, sf):
 
 
 A5_SQL = oracle("""
-SELECT p.category, COUNT(DISTINCT oi.order_id) AS orders, SUM(oi.quantity) AS units_sold,
+SELECT p.category, COUNT(DISTINCT oi.order_id) AS orders, CAST(SUM(oi.quantity) AS BIGINT) AS units_sold,
        CAST(SUM(oi.line_amount * (1 - oi.discount)) AS DOUBLE) AS revenue,
        CAST(SUM(oi.quantity * p.unit_cost) AS DOUBLE) AS cost,
        CAST(SUM(oi.line_amount * (1 - oi.discount)) - SUM(oi.quantity * p.unit_cost) AS DOUBLE) AS profit
@@ -117,7 +117,7 @@ def _j1(spark, sf):
 
 
 J1_SQL = oracle("""
-SELECT oi.order_id, oi.line_number, oi.product_id, p.category, CAST(p.unit_cost AS DOUBLE) AS unit_cost
+SELECT oi.order_id, CAST(oi.line_number AS BIGINT) AS line_number, oi.product_id, p.category, CAST(p.unit_cost AS DOUBLE) AS unit_cost
 FROM star_items oi JOIN star_products p ON oi.product_id = p.product_id""")
 
 
