@@ -274,3 +274,25 @@ def refresh_partitions(spark: SparkSession, db: str = "analytics") -> None:
             spark.sql(f"ALTER TABLE {db}.{t} RECOVER PARTITIONS")
         except Exception:  # nothing loaded for this table yet
             pass
+
+
+def star_from_store(spark: SparkSession, store: Store, latest_only: bool = True):
+    """The star schema over the loaded tables of a store.
+
+    With ``latest_only`` each table keeps one row per primary key, the one
+    from the newest load batch (V8: a corrected row delivered in a later file
+    replaces the earlier one). Order items carry ``unit_price``; the
+    builders derive ``line_amount`` from it.
+    """
+    from tillroll.operators.quality import dedupe
+    from tillroll.sources.testdata import Star
+
+    def table(t: str) -> DataFrame:
+        df = loaded(spark, store, t)
+        keys = S.PRIMARY_KEYS[t]
+        if latest_only and keys:
+            df = dedupe(df, keys, ["batch_id"])
+        return df.drop("batch_id")
+
+    return Star(orders=table("orders"), order_items=table("order_items"),
+                customers=table("customers"), products=table("products"))
