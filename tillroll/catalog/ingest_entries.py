@@ -178,9 +178,16 @@ S10_SQL = oracle(f"""SELECT 'orders_import_job' AS job_name, 'orders' AS table_n
 
 
 def _s11(spark, sf):
+    """Per-file detail; file names and per-file row counts depend on the
+    writer, so the compared columns are the per-file outcome."""
     store = _ingest_orders(spark, sf)
     return I.load_detail(spark, store, "orders_import_job", ["orders"]).select(
-        "job_name", "table_name", "rows_total", "rows_loaded", "rows_rejected", "status")
+        "job_name", "table_name", "rows_rejected", "status", (F.col("rows_loaded") > 0).alias("has_rows"))
+
+
+S11_SQL = oracle(f"""SELECT 'orders_import_job' AS job_name, 'orders' AS table_name, CAST(0 AS BIGINT) AS rows_rejected,
+       'loaded' AS status, (SELECT COUNT(*) > 0 FROM star_orders) AS has_rows
+FROM range({LANDING_FILES})""")
 
 
 def _s6(spark, sf):
@@ -307,7 +314,7 @@ ENTRIES = {
     "s9_load_errors": (_s9_errors, None),
     "s9_reject_reasons": (_s9_reasons, S9R_SQL),
     "s10_load_jobs": (_s10, S10_SQL),
-    "s11_load_detail": (_s11, None),
+    "s11_load_detail": (_s11, S11_SQL),
     "s12_create_dataset": (_dataset("category_performance"), A5_SQL),
     "s13_create_single_dataset": (_dataset("top_products"), A2_SQL),
     "s14_refresh_datasets": (_s14, S14_SQL),

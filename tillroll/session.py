@@ -54,9 +54,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local tests) a private folder is created and registered.
+    (local tests) a private folder is created and registered. Under Spark
+    Connect there is no SparkContext; the server's setting is used as is.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect
+        return spark.conf.get("spark.checkpoint.dir")
     current = sc.getCheckpointDir()
     if current:
         return current
