@@ -7,6 +7,7 @@ the oracle compares loaded content with the source tables.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +23,23 @@ from tillroll.session import shared_dir
 from tillroll.sources import ingest as I
 from tillroll.sources import testdata as td
 
-LANDING_FILES = 8
+# Landing files hold this many rows each, so the number of files (and of
+# write tasks) grows with the table, like a stream of small deliveries.
+ROWS_PER_LANDING_FILE = 2000
+# Load batches the multi-batch entries are split into.
+BATCHES = 3
+FILES_SQL = f"CAST(CEIL(COUNT(*) / {ROWS_PER_LANDING_FILE}.0) AS BIGINT)"
 AS_OF_SQL = "(SELECT MAX(CAST(order_date AS DATE)) FROM star_orders_plain)"
 
 
-def land(df: DataFrame, path: str, fmt: str = "csv", files: int = LANDING_FILES) -> str:
-    """Write a frame as ``files`` landing files (round-robin, so none is empty)."""
+def landing_files(df: DataFrame) -> int:
+    return max(1, math.ceil(df.count() / ROWS_PER_LANDING_FILE))
+
+
+def land(df: DataFrame, path: str, fmt: str = "csv", files: int | None = None) -> str:
+    """Write a frame as landing files of ~ROWS_PER_LANDING_FILE rows each
+    (round-robin, so none is empty)."""
+    files = files or landing_files(df)
     w = df.repartition(files).write.mode("overwrite")
     if fmt in ("csv", "json"):
         w = w.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
@@ -54,11 +66,14 @@ ITEMS_TD = T.StructType([
     T.StructField("line_amount", T.DecimalType(12, 2)), T.StructField("discount", T.DecimalType(4, 2))])
 
 
-def _ingest_orders(spark, sf, files=LANDING_FILES):
+def _ingest_orders(spark, sf):
     root = shared_dir(spark, "ingest")
-    src = land(ref_orders(spark, sf), f"{root}/landing/orders", files=files)
+    orders = ref_orders(spark, sf)
+    files = landing_files(orders)
+    src = land(orders, f"{root}/landing/orders", files=files)
     store = I.Store(f"{root}/store")
-    I.ingest(spark, "orders", src, store, max_files=3)   # S4: 3 files per batch
+    per_batch = math.ceil(files / BATCHES)
+    I.ingest(spark, "orders", src, store, max_files=per_batch)   # S4: files per batch
     I.ingest(spark, "orders", src, store)                 # S3: nothing new, loads 0 rows
     return store
 
@@ -86,14 +101,15 @@ S3_SQL = oracle("SELECT COUNT(*) AS rows_loaded, COUNT(DISTINCT order_id) AS dis
 
 
 def _s4(spark, sf):
-    """Eight landing files, at most three per batch: three load batches."""
+    """Many landing files, at most ceil(files / 3) per batch: three load batches
+    (fewer when there are fewer than three files)."""
     store = _ingest_orders(spark, sf)
     return (I.loaded(spark, store, "orders").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
             .agg(F.count(F.lit(1)).alias("batches"), F.sum("n").alias("rows_loaded")))
 
 
-S4_SQL = oracle(f"""SELECT CAST(CEIL({LANDING_FILES} / 3.0) AS BIGINT) AS batches,
-       CAST(COUNT(*) AS BIGINT) AS rows_loaded FROM star_orders""")
+S4_SQL = oracle(f"""SELECT CAST(CEIL(files / CEIL(files / {BATCHES}.0)) AS BIGINT) AS batches, rows_loaded
+FROM (SELECT {FILES_SQL} AS files, CAST(COUNT(*) AS BIGINT) AS rows_loaded FROM star_orders) f""")
 
 
 def _s5(spark, sf):
@@ -134,7 +150,7 @@ def _s8(spark, sf):
                  F.sum("rows_rejected").alias("rows_rejected"))
 
 
-S8_SQL = oracle(f"""SELECT CAST(LEAST({LANDING_FILES}, 10) AS BIGINT) AS files_listed,
+S8_SQL = oracle(f"""SELECT CAST(LEAST({FILES_SQL}, 10) AS BIGINT) AS files_listed,
        CAST(COUNT(*) AS BIGINT) AS rows_loaded, CAST(0 AS BIGINT) AS rows_rejected FROM star_orders""")
 
 
@@ -173,7 +189,7 @@ def _s10(spark, sf):
 
 
 S10_SQL = oracle(f"""SELECT 'orders_import_job' AS job_name, 'orders' AS table_name,
-       CAST({LANDING_FILES} AS BIGINT) AS files, CAST(COUNT(*) AS BIGINT) AS rows_loaded,
+       {FILES_SQL} AS files, CAST(COUNT(*) AS BIGINT) AS rows_loaded,
        CAST(0 AS BIGINT) AS rows_rejected, 'loaded' AS latest_status FROM star_orders""")
 
 
@@ -187,7 +203,7 @@ def _s11(spark, sf):
 
 S11_SQL = oracle(f"""SELECT 'orders_import_job' AS job_name, 'orders' AS table_name, CAST(0 AS BIGINT) AS rows_rejected,
        'loaded' AS status, (SELECT COUNT(*) > 0 FROM star_orders) AS has_rows
-FROM range({LANDING_FILES})""")
+FROM (SELECT UNNEST(range({FILES_SQL})) AS i FROM star_orders) f""")
 
 
 def _s6(spark, sf):

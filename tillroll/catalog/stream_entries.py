@@ -9,10 +9,12 @@ oracles leave exactly those out.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tillroll.catalog.common import oracle, out
-from tillroll.catalog.ingest_entries import ITEMS_TD, land
+from tillroll.catalog.ingest_entries import BATCHES, ITEMS_TD, land, landing_files
 from tillroll.session import shared_dir
 from tillroll.sources import ingest as I
 from tillroll.sources import testdata as td
@@ -27,9 +29,11 @@ def _run(spark, df, name):
 
 def _t1(spark, sf):
     root = shared_dir(spark, "t1")
-    src = land(td.order_items(spark, sf), f"{root}/landing/order_items")
+    items = td.order_items(spark, sf)
+    files = landing_files(items)
+    src = land(items, f"{root}/landing/order_items", files=files)
     store = I.Store(f"{root}/store")
-    I.ingest(spark, "order_items", src, store, schema=ITEMS_TD, max_files=2)
+    I.ingest(spark, "order_items", src, store, schema=ITEMS_TD, max_files=math.ceil(files / BATCHES))
     I.ingest(spark, "order_items", src, store, schema=ITEMS_TD)
     return out(I.loaded(spark, store, "order_items").drop("batch_id"))
 
