@@ -6,7 +6,7 @@ TakeOrderedAndProject, every task keeps only its own n candidates.
 ``global_rank`` gives each row its exact 1-based position in a total order
 without a single-partition window (``Window.orderBy`` with no partition key
 would pull every row into one task). The frame is range-partitioned on the
-order, sorted inside each partition, and each row takes a per-partition
+order (AQE may merge adjacent ranges), sorted inside each partition, and each row takes a per-partition
 index from ``monotonically_increasing_id`` (partition id in the high bits,
 position in the low 33 bits). Per-partition counts - one row per partition
 - give the offsets. The ranged frame is checkpointed to the shared
@@ -48,8 +48,11 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank",
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order)
+    # Without an explicit count AQE may coalesce adjacent range partitions
+    # to its advisory size; coalescing keeps the range order, so partition
+    # ids still follow the global order.
+    ranged = (df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order))
+    ranged = (ranged
               .sortWithinPartitions(*order)
               .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.checkpoint(eager=True)
