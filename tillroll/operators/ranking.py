@@ -9,7 +9,7 @@ would pull every row into one task). The frame is range-partitioned on the
 order (AQE may merge adjacent ranges), sorted inside each partition, and each row takes a per-partition
 index from ``monotonically_increasing_id`` (partition id in the high bits,
 position in the low 33 bits). Per-partition counts - one row per partition
-- give the offsets. The ranged frame is checkpointed to the shared
+- give the offsets and the total. The ranged frame is checkpointed to the shared
 checkpoint folder first, so both uses see the same partitions even if
 executors are lost and tasks rerun.
 """
@@ -41,10 +41,9 @@ def bottom_n(df: DataFrame, measure: str, n: int, tie: list[str] | None = None)
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank",
-                partitions: int | None = None) -> tuple[DataFrame, Column]:
-    """Attach the exact 1-based rank of each row in ``order`` (a total order).
-
-    Returns the ranked frame and a scalar Column holding the row count.
+                partitions: int | None = None, total: str | None = None) -> DataFrame:
+    """Attach the exact 1-based rank of each row in ``order`` (a total order),
+    and with ``total`` also the row count as a column of that name.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -59,22 +58,24 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank",
     ranged = ranged.select("*", F.shiftright("_mid", 33).alias("_pid"),
                            (F.col("_mid").bitwiseAND(F.lit(_LOW33)) + 1).alias("_local"))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    # ``counts`` has one row per partition: a bounded, broadcast-sized frame,
+    # so its unpartitioned windows are cheap.
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # ``counts`` has one row per partition: a bounded, broadcast-sized frame.
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    total = counts.agg(F.sum("_n")).scalar()
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+                            F.sum("_n").over(Window.partitionBy()).alias("_total"))
     out = (ranged.join(F.broadcast(offsets), "_pid")
-           .withColumn(name, F.col("_offset") + F.col("_local"))
-           .drop("_mid", "_pid", "_local", "_offset"))
-    return out, total
+           .withColumn(name, F.col("_offset") + F.col("_local")))
+    if total:
+        out = out.withColumnRenamed("_total", total)
+    return out.drop("_mid", "_pid", "_local", "_offset", "_total")
 
 
 def top_percent(df: DataFrame, measure: str, pct: float, tie: list[str]) -> DataFrame:
     """rows whose rank by ``measure`` (desc, ties by ``tie``) is within
     the top ``ceil(pct * count)``."""
     order = [F.col(measure).desc_nulls_last()] + _cols(tie)
-    ranked, total = global_rank(df, order, "rank")
-    return ranked.where(F.col("rank") <= F.ceil(total * F.lit(pct)))
+    ranked = global_rank(df, order, "rank", total="_rows")
+    return ranked.where(F.col("rank") <= F.ceil(F.col("_rows") * F.lit(pct))).drop("_rows")
 
 
 def ntile_of(rank: Column, total: Column, k: int) -> Column:
@@ -88,5 +89,6 @@ def ntile_of(rank: Column, total: Column, k: int) -> Column:
 
 def ntile_global(df: DataFrame, order: list[Column], k: int, name: str) -> DataFrame:
     """NTILE(k) OVER (ORDER BY order) computed without a single-task window."""
-    ranked, total = global_rank(df, order, f"_{name}_rank")
-    return ranked.withColumn(name, ntile_of(F.col(f"_{name}_rank"), total, k)).drop(f"_{name}_rank")
+    ranked = global_rank(df, order, f"_{name}_rank", total=f"_{name}_rows")
+    return (ranked.withColumn(name, ntile_of(F.col(f"_{name}_rank"), F.col(f"_{name}_rows"), k))
+            .drop(f"_{name}_rank", f"_{name}_rows"))
