@@ -1,7 +1,6 @@
 """The driver contract: entry(), queries(), oracle_sql() against DuckDB."""
 
 import math
-import os
 
 import duckdb
 import pytest

@@ -3,7 +3,6 @@ batches, monitoring listings, catalog tables, datasets."""
 
 import os
 
-import pytest
 from pyspark.sql import functions as F
 
 from tests.sample import CUSTOMERS, ORDER_ITEMS, ORDERS, csv_text

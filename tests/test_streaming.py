@@ -3,7 +3,6 @@ time-zone independence, stream dedupe."""
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF001

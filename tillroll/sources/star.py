@@ -22,7 +22,6 @@ distributed job, none passes through the driver.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tillroll.sources import testdata as td
 from tillroll.sources.testdata import Star
@@ -66,9 +65,3 @@ def open_star(spark: SparkSession, root: str) -> Star:
     """Open a star written by ``load_star_tables`` (path layout)."""
     return Star(*(spark.read.parquet(f"{root}/{t}") for t in ("orders", "order_items", "customers", "products")))
 
-
-def plain_orders(star: Star) -> DataFrame:
-    return star.orders.select("order_id", "customer_id", "order_date", "total_amount", "status")
-
-
-__all__ = ["load_star_tables", "open_star", "plain_orders"]
