@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 __all__ = [
-    "with_line_amount", "line_revenue", "line_cost", "ratio", "pct", "money",
+    "with_line_amount", "line_revenue", "line_cost", "ratio", "pct",
     "order_size_category", "days_since_order", "as_date", "lit_date",
-    "completed", "to_double_money", "STATUS_CODES",
+    "completed", "STATUS_CODES",
 ]
 
 
@@ -55,13 +55,6 @@ def pct(num: Column, den: Column) -> Column:
     return ratio(num, den) * F.lit(100.0)
 
 
-def money(c: Column) -> Column:
-    return c.cast("double")
-
-
-to_double_money = money
-
-
 def as_date(c: Column) -> Column:
     """DATE(ts)."""
     return F.to_date(c)
