@@ -263,11 +263,10 @@ def _c20(spark, sf):
     return out(M.periodic_sales(td.orders_plain(spark, sf)))
 
 
-C20_SQL = oracle("""
-SELECT g.grain, CAST(date_trunc(g.grain, CAST(o.order_date AS DATE)) AS DATE) AS period,
-       COUNT(DISTINCT o.order_id) AS orders, CAST(SUM(o.total_amount) AS DOUBLE) AS revenue
-FROM star_orders_plain o, (VALUES ('day'), ('week'), ('month')) g(grain)
-WHERE o.status = 'completed' GROUP BY 1, 2""")
+C20_SQL = oracle("\nUNION ALL\n".join(f"""
+SELECT '{g}' AS grain, CAST(date_trunc('{g}', CAST(order_date AS DATE)) AS DATE) AS period,
+       COUNT(DISTINCT order_id) AS orders, CAST(SUM(total_amount) AS DOUBLE) AS revenue
+FROM star_orders_plain WHERE status = 'completed' GROUP BY 1, 2""" for g in M.GRAINS))
 
 
 def _anchor_items(spark, sf):
@@ -291,13 +290,13 @@ bk_pairs AS (
 
 C21_SQL = oracle("""
 SELECT p.anchor_id, p.product_id, p.pair_orders,
-       CAST(p.pair_orders AS DOUBLE) / NULLIF(CAST(t.n AS DOUBLE), 0) AS support,
+       CAST(p.pair_orders AS DOUBLE) / NULLIF(CAST((SELECT COUNT(DISTINCT order_id) FROM bk) AS DOUBLE), 0) AS support,
        CAST(p.pair_orders AS DOUBLE) / NULLIF(CAST(a.product_orders AS DOUBLE), 0) AS confidence,
        (CAST(p.pair_orders AS DOUBLE) / NULLIF(CAST(a.product_orders AS DOUBLE), 0))
-         / NULLIF(CAST(b.product_orders AS DOUBLE) / NULLIF(CAST(t.n AS DOUBLE), 0), 0) AS lift
+         / NULLIF(CAST(b.product_orders AS DOUBLE)
+                  / NULLIF(CAST((SELECT COUNT(DISTINCT order_id) FROM bk) AS DOUBLE), 0), 0) AS lift
 FROM bk_pairs p JOIN bk_prod a ON a.product_id = p.anchor_id
-JOIN bk_prod b ON b.product_id = p.product_id
-CROSS JOIN (SELECT COUNT(DISTINCT order_id) AS n FROM bk) t""", BASKET_SQL)
+JOIN bk_prod b ON b.product_id = p.product_id""", BASKET_SQL)
 
 
 def _j7(spark, sf):

@@ -35,7 +35,7 @@ SELECT {keys}, CAST(last_day + CAST(h AS INTEGER) AS DATE) AS forecast_date,
        ROUND(intercept + slope * CAST(date_diff('day', DATE '1970-01-01', CAST(last_day + CAST(h AS INTEGER) AS DATE)) AS DOUBLE), 2) AS forecast,
        ROUND(intercept + slope * CAST(date_diff('day', DATE '1970-01-01', CAST(last_day + CAST(h AS INTEGER) AS DATE)) AS DOUBLE) - 1.96 * std_error, 2) AS lower,
        ROUND(intercept + slope * CAST(date_diff('day', DATE '1970-01-01', CAST(last_day + CAST(h AS INTEGER) AS DATE)) AS DOUBLE) + 1.96 * std_error, 2) AS upper
-FROM fit, range(1, {P.HORIZON_DAYS + 1}) t(h)
+FROM (SELECT *, UNNEST(range(1, {P.HORIZON_DAYS + 1})) AS h FROM fit) f
 WHERE slope IS NOT NULL {where}"""
 
 
