@@ -169,3 +169,21 @@ def test_end_to_end_sample_load_and_publish(spark):
     loc = shared_dir(spark, "test-e2e-out")
     res = {r["dataset"]: r["rows"] for r in DS.refresh_datasets(spark, star, loc).collect()}
     assert res["sales_by_region"] == 4 and res["top_products"] == 7 and res["customer_segments"] == 3
+
+
+def test_failed_rebuild_keeps_the_published_copy(spark):
+    star = td.load_star(spark, SF001)
+    loc = shared_dir(spark, "test-slots")
+    DS.create_dataset(spark, "sales_by_region", star, loc)
+    before = sorted(map(tuple, DS.read_dataset(spark, "sales_by_region", loc).collect()))
+    good = DS.REGISTRY["sales_by_region"]
+    DS.REGISTRY["sales_by_region"] = DS.Dataset(
+        "sales_by_region", lambda s: good.build(s).withColumn("total_orders", F.raise_error(F.lit("boom"))))
+    try:
+        res = DS.refresh_datasets(spark, star, loc, ["sales_by_region"]).first()
+    finally:
+        DS.REGISTRY["sales_by_region"] = good
+    assert res["status"] == "failed"
+    assert sorted(map(tuple, DS.read_dataset(spark, "sales_by_region", loc).collect())) == before
+    DS.create_dataset(spark, "sales_by_region", star, loc)            # next good build flips the slot
+    assert sorted(map(tuple, DS.read_dataset(spark, "sales_by_region", loc).collect())) == before

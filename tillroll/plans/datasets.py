@@ -6,6 +6,11 @@ schema. ``create_dataset`` materialises one as Parquet (the in-memory
 scan with pushdown); ``dataset_view`` registers the builder as a temp view
 instead (the always-current "direct" mode). ``refresh_datasets`` rebuilds
 all of them, each on its own, so one failure does not stop the rest.
+
+Each dataset keeps two slots. A rebuild writes the inactive slot and then
+flips a one-row pointer, so readers keep the previous copy while the new
+one is written, and a failed rebuild leaves it untouched (a plain
+overwrite would delete the live copy before the job runs).
 Date-keyed datasets are partitioned by month (a day partition would hold
 a single row of daily_sales), so ``refresh_incremental`` rewrites only the
 months that changed (dynamic partition overwrite).
@@ -92,12 +97,37 @@ def build(name: str, star: Star) -> DataFrame:
     return conform(REGISTRY[name].build(star), name)
 
 
-def _write(df: DataFrame, path: str, by_month: bool) -> None:
+def _write(df: DataFrame, path: str, by_month: bool, only_written_partitions: bool = False) -> None:
+    """Write a dataset; day-keyed ones partitioned by month. With
+    ``only_written_partitions`` the overwrite replaces just the partitions
+    present in ``df`` (dynamic partition overwrite, applied at commit)."""
     if by_month:
         df = df.withColumn(PART_COL, F.trunc("order_date", "month"))
-        df.write.mode("overwrite").partitionBy(PART_COL).parquet(path)
-    else:
-        df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if only_written_partitions:
+        w = w.option("partitionOverwriteMode", "dynamic")
+    if by_month:
+        w = w.partitionBy(PART_COL)
+    w.parquet(path)
+
+
+SLOTS = ("slot_a", "slot_b")
+
+
+def _base(location: str, name: str) -> str:
+    return f"{location.rstrip('/')}/{name}"
+
+
+def active_slot(spark: SparkSession, base: str) -> str | None:
+    """The slot readers use, from the dataset's pointer (None before the first build)."""
+    try:
+        return spark.read.json(f"{base}/_current").first()["slot"]
+    except Exception:  # no pointer yet
+        return None
+
+
+def _flip(spark: SparkSession, base: str, slot: str) -> None:
+    spark.createDataFrame([(slot,)], "slot string").coalesce(1).write.mode("overwrite").json(f"{base}/_current")
 
 
 def create_dataset(spark: SparkSession, name: str, star: Star, location: str) -> str:
@@ -107,14 +137,19 @@ def create_dataset(spark: SparkSession, name: str, star: Star, location: str) ->
     daily_sales the range partitioning by date also lines the files up
     with the day partitions.
     """
-    path = f"{location.rstrip('/')}/{name}"
-    df = build(name, star)
-    _write(df, path, REGISTRY[name].by_month)
-    return path
+    base = _base(location, name)
+    target = SLOTS[1] if active_slot(spark, base) == SLOTS[0] else SLOTS[0]
+    _write(build(name, star), f"{base}/{target}", REGISTRY[name].by_month)
+    _flip(spark, base, target)
+    return f"{base}/{target}"
 
 
 def read_dataset(spark: SparkSession, name: str, location: str) -> DataFrame:
-    df = spark.read.parquet(f"{location.rstrip('/')}/{name}")
+    base = _base(location, name)
+    slot = active_slot(spark, base)
+    if slot is None:
+        raise FileNotFoundError(f"dataset {name} has not been built under {location}")
+    df = spark.read.parquet(f"{base}/{slot}")
     return df.drop(PART_COL) if PART_COL in df.columns else df
 
 
@@ -128,8 +163,8 @@ def refresh_datasets(spark: SparkSession, star: Star, location: str,
     rows = []
     for name in names or list(REGISTRY):
         try:
-            path = create_dataset(spark, name, star, location)
-            n = spark.read.parquet(path).count()
+            create_dataset(spark, name, star, location)
+            n = read_dataset(spark, name, location).count()
             rows.append((name, "ok", n, None))
         except Exception as e:  # one failure must not stop the rest
             rows.append((name, "failed", None, str(e).splitlines()[0][:500]))
@@ -140,7 +175,8 @@ def refresh_incremental(spark: SparkSession, name: str, star: Star, location: st
     """Rewrite only the month partitions from the month of ``since`` on.
 
     The builder runs with the date predicate pushed into its scans; dynamic
-    partition overwrite replaces exactly the partitions written.
+    partition overwrite stages the new partitions and replaces exactly those
+    at commit, in the active slot.
     """
     ds = REGISTRY[name]
     if not ds.by_month:
@@ -149,13 +185,12 @@ def refresh_incremental(spark: SparkSession, name: str, star: Star, location: st
     recent = Star(orders=star.orders.where(F.to_date("order_date") >= day),
                   order_items=star.order_items, customers=star.customers, products=star.products)
     df = conform(ds.build(recent), name)
-    path = f"{location.rstrip('/')}/{name}"
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        _write(df, path, True)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    base = _base(location, name)
+    slot = active_slot(spark, base)
+    if slot is None:
+        return create_dataset(spark, name, star, location)
+    path = f"{base}/{slot}"
+    _write(df, path, True, only_written_partitions=True)
     return path
 
 
