@@ -59,3 +59,28 @@ def test_stream_dedupe(spark):
     doubled = ev.unionByName(live.stream_table(spark, SF001, "events"))
     got = _run(spark, live.dedupe_stream(doubled, ["event_id"], "ts"), "test-dedupe")
     assert got.count() == td.events(spark, SF001).count()
+
+
+def test_live_orders_follow_ingested_files(spark):
+    """Landing files -> ingest -> live windows over the loaded orders."""
+    import os
+
+    from tests.sample import ORDERS, csv_text
+    from tillroll.session import local_path
+    from tillroll.sources import ingest as I
+    root = shared_dir(spark, "test-live-store")
+    land, store = f"{root}/landing/orders", I.Store(f"{root}/store")
+    os.makedirs(local_path(land), exist_ok=True)
+    header = "order_id,customer_id,order_date,total_amount,status,region"
+    with open(f"{local_path(land)}/a.csv", "w") as f:
+        f.write(csv_text(header, ORDERS))
+    I.ingest(spark, "orders", land, store)
+    out = f"{root}/live"
+    feed = live.live_orders(live.loaded_orders_stream(spark, store.root), "1 day")
+    live.run_to_parquet(feed, f"{out}/o", f"{out}/c")
+    got = {(str(r["window_start"].date()), r["status"]): r["orders"]
+           for r in spark.read.parquet(f"{out}/o").collect()}
+    # the last day (2024-01-18) is still open under the watermark
+    assert got == {("2024-01-15", "completed"): 3, ("2024-01-16", "completed"): 2,
+                   ("2024-01-16", "pending"): 1, ("2024-01-17", "completed"): 2,
+                   ("2024-01-17", "cancelled"): 1}

@@ -48,6 +48,17 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             .option("maxFilesPerTrigger", 1).parquet(sf_dir))
 
 
+def loaded_orders_stream(spark: SparkSession, store_root: str) -> DataFrame:
+    """The orders loaded by ``sources.ingest`` as a stream: each load batch
+    adds files under ``tables/orders/batch_id=N``, which the file source
+    picks up once."""
+    from pyspark.sql import types as T
+
+    from tillroll.schemas import ORDERS
+    schema = T.StructType(list(ORDERS.fields) + [T.StructField("batch_id", T.IntegerType())])
+    return spark.readStream.schema(schema).parquet(f"{store_root.rstrip('/')}/tables/orders")
+
+
 def orders_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = stream_table(spark, sf_dir, "orders")
     return o.select(o.o_orderkey.alias("order_id"), o.o_orderdate.alias("order_date"),
