@@ -170,7 +170,19 @@ def _reject_store(spark, sf):
 
 def _s9_errors(spark, sf):
     store = _reject_store(spark, sf)
-    return I.load_errors(spark, store, 10, ["order_items"]).drop("error_time", "file_path")
+    return (I.load_errors(spark, store, 10, ["order_items"])
+            .select("job_name", "raw_line", F.array_join("reasons", ",").alias("reasons"),
+                    F.col("batch_id").cast("bigint")))
+
+
+# The rejected lines as the CSV writer renders them (doubles in Java's
+# shortest form, e.g. 23.0, 0.05), newest batch first, then by line text.
+S9E_SQL = """SELECT 'order_items_import_job' AS job_name, raw_line,
+       'malformed_line,quantity_not_null' AS reasons, CAST(0 AS BIGINT) AS batch_id
+FROM (SELECT CAST(l_orderkey AS VARCHAR) || ',' || CAST(l_partkey AS VARCHAR) || ',' ||
+             CAST(l_quantity AS VARCHAR) || ',' || CAST(l_extendedprice AS VARCHAR) || ',' ||
+             CAST(l_discount AS VARCHAR) AS raw_line FROM lineitem) t
+ORDER BY raw_line LIMIT 10"""
 
 
 def _s9_reasons(spark, sf):
@@ -327,7 +339,7 @@ ENTRIES = {
     "s6_create_tables": (_s6, S6_SQL),
     "s7_column_default": (_s7, S7_SQL),
     "s8_load_history": (_s8, S8_SQL),
-    "s9_load_errors": (_s9_errors, None),
+    "s9_load_errors": (_s9_errors, S9E_SQL),
     "s9_reject_reasons": (_s9_reasons, S9R_SQL),
     "s10_load_jobs": (_s10, S10_SQL),
     "s11_load_detail": (_s11, S11_SQL),

@@ -220,7 +220,7 @@ def load_errors(spark: SparkSession, store: Store, n: int = 10, tables=None) ->
     rej = parts[0]
     for p in parts[1:]:
         rej = rej.unionByName(p)
-    return rej.orderBy(F.col("error_time").desc(), F.col("batch_id").desc(), "file_path", "raw_line").limit(n)
+    return rej.orderBy(F.col("error_time").desc(), F.col("batch_id").desc(), "raw_line", "file_path").limit(n)
 
 
 def load_jobs(spark: SparkSession, store: Store, pattern: str = "%_import_job", tables=None) -> DataFrame:
