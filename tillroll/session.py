@@ -36,8 +36,9 @@ SCALE_CONF = {
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "tillroll", extra: dict | None = None) -> SparkSession:
-    master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
-    builder = SparkSession.builder.master(master).appName(app_name)
+    builder = SparkSession.builder.appName(app_name)
+    if master:  # under spark-submit the cluster's master is used
+        builder = builder.master(master)
     conf = dict(SCALE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.driver.memory"] = os.environ.get("TILLROLL_DRIVER_MEMORY", "16g")
