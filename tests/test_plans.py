@@ -64,3 +64,25 @@ def test_loaded_star_region_query_has_no_customer_join(spark):
     p = plan(sales.sales_by_region(st.orders))
     assert "Join" not in p
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(status_code,F\)", p)
+
+
+def test_month_partitioned_star_prunes_and_matches(spark):
+    from tillroll.operators import filters as FL
+    from tillroll.plans import metrics as M
+    from tillroll.sources import testdata as td
+    st = load_star_tables(spark, SF001, shared_dir(spark, "test-star-month"), by_month=True)
+    recent = FL.last_days(st.orders, "order_date", "2001-06-30", 90)
+    p = plan(recent)
+    assert re.search(r"PartitionFilters: \[[^\]]*order_month", p)
+    q = sales.category_performance(st.order_items, st.products, recent)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # keep the join a shuffle join
+    try:
+        assert "dynamicpruning" in plan(q).lower()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    raw = td.load_star(spark, SF001)
+    want = sales.category_performance(raw.order_items, raw.products,
+                                      FL.last_days(raw.orders, "order_date", "2001-06-30", 90))
+    assert sorted(map(tuple, q.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, M.yoy_growth(st.orders).collect())) == sorted(map(tuple, M.yoy_growth(raw.orders).collect()))

@@ -13,15 +13,29 @@ from pyspark.sql import functions as F
 from tillroll.functions.columns import lit_date
 
 
+PART_MONTH = "order_month"
+
+
 def _day(col: str) -> Column:
     return F.to_date(F.col(col))
 
 
+def _date_range(df: DataFrame, col: str, lo: Column, hi: Column, hi_inclusive: bool) -> DataFrame:
+    """lo <= day(col) < hi (or <= hi). On a star partitioned by
+    ``order_month`` the same range is also stated on the partition column,
+    which Catalyst cannot derive from the date predicate itself, so only the
+    months in range are listed and read (partition pruning)."""
+    d = _day(col)
+    cond = (d >= lo) & ((d <= hi) if hi_inclusive else (d < hi))
+    if col == "order_date" and PART_MONTH in df.columns:
+        cond = cond & (F.col(PART_MONTH) >= F.trunc(lo, "month")) & (F.col(PART_MONTH) <= F.trunc(hi, "month"))
+    return df.where(cond)
+
+
 def last_days(df: DataFrame, col: str, as_of, n: int) -> DataFrame:
     """the last n days up to and including ``as_of``."""
     day = lit_date(as_of)
-    d = _day(col)
-    return df.where((d > F.date_sub(day, n)) & (d <= day))
+    return _date_range(df, col, F.date_sub(day, n - 1), day, True)
 
 
 def in_period(df: DataFrame, col: str, as_of, unit: str = "month", offset: int = 0) -> DataFrame:
@@ -30,14 +44,12 @@ def in_period(df: DataFrame, col: str, as_of, unit: str = "month", offset: int =
     months = {"month": 1, "quarter": 3, "year": 12}[unit]
     start = F.add_months(F.trunc(lit_date(as_of), unit), offset * months)
     end = F.add_months(start, months)
-    d = _day(col)
-    return df.where((d >= start) & (d < end))
+    return _date_range(df, col, start, end, False)
 
 
 def between_dates(df: DataFrame, col: str, lo, hi) -> DataFrame:
     """lo <= day < hi."""
-    d = _day(col)
-    return df.where((d >= lit_date(lo)) & (d < lit_date(hi)))
+    return _date_range(df, col, lit_date(lo), lit_date(hi), False)
 
 
 def filter_in(df: DataFrame, col: str, values) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import completed, line_cost, line_revenue, ratio, with_line_amount
+from tillroll.operators.joins import order_keys
 
 
 def sales_by_region(orders: DataFrame) -> DataFrame:
@@ -32,10 +33,11 @@ def completed_lines(items: DataFrame, products: DataFrame, orders: DataFrame,
     the orders scan reads few columns and the status predicate is pushed
     into it.
     """
-    o = completed(orders).select("order_id", *keep)
+    keys = order_keys(items, orders)
+    o = completed(orders).select(*keys, *[k for k in keep if k not in keys])
     return (with_line_amount(items)
             .join(products, "product_id")
-            .join(o, "order_id"))
+            .join(o, keys))
 
 
 def top_products(items: DataFrame, products: DataFrame, orders: DataFrame, n: int = 10) -> DataFrame:

@@ -14,6 +14,10 @@ step resolves the mapping once:
   sort key); with ``buckets`` both orders and items are bucketed on
   order_id in the catalog, and their join runs without an exchange.
 * customers, products: plain Parquet (dimension tables).
+* with ``by_month``: orders and order_items are partitioned by
+  ``order_month`` (items get it from their order at load time). Date filters
+  then prune month folders, and the items -> orders join on
+  (order_id, order_month) gets dynamic partition pruning.
 
 Writes go to a shared folder; every table is written whole by a
 distributed job, none passes through the driver.
@@ -21,7 +25,8 @@ distributed job, none passes through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.sources import testdata as td
 from tillroll.sources.testdata import Star
@@ -32,16 +37,29 @@ def _files(spark: SparkSession) -> int:
 
 
 def load_star_tables(spark: SparkSession, sf_dir: str, root: str, buckets: int | None = None,
-                     db: str | None = None) -> Star:
+                     db: str | None = None, by_month: bool = False) -> Star:
     """Materialise the star schema under ``root`` and return it.
 
     With ``buckets`` and ``db``, orders and order_items become bucketed
     catalog tables ``db.orders`` / ``db.order_items`` (bucketBy(order_id)).
+    With ``by_month`` (path layout) both are partitioned by order month.
     """
     n = _files(spark)
     orders = td.orders(spark, sf_dir)
     items = td.order_items(spark, sf_dir)
-    if buckets and db:
+    if by_month:
+        orders = orders.withColumn("order_month", F.trunc("order_date", "month"))
+        # one shuffle join at load time gives every line its order's month
+        items = items.join(orders.select("order_id", "order_month"), "order_id")
+        # range partitioning spreads a month over several write tasks (a month
+        # is ~1/80 of six years of data) while keeping each task's output in
+        # one or two month folders
+        (orders.repartitionByRange(n, "order_date").sortWithinPartitions("order_date")
+         .write.mode("overwrite").partitionBy("order_month").parquet(f"{root}/orders"))
+        (items.repartitionByRange(n, "order_month", "order_id").sortWithinPartitions("order_month", "order_id")
+         .write.mode("overwrite").partitionBy("order_month").parquet(f"{root}/order_items"))
+        o_df, i_df = spark.read.parquet(f"{root}/orders"), spark.read.parquet(f"{root}/order_items")
+    elif buckets and db:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{root}/warehouse'")
         (orders.repartition(buckets, "order_id").write.mode("overwrite")
          .bucketBy(buckets, "order_id").sortBy("order_id").saveAsTable(f"{db}.orders"))
