@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ from tillroll.functions.columns import line_cost, line_revenue, lit_date
 from tillroll.operators import joins
 from tillroll.plans import sales
 from tillroll.schemas import DATASET_SCHEMAS
+from tillroll.sources.ingest import path_missing
 from tillroll.sources.testdata import Star
 
 
@@ -122,8 +124,10 @@ def active_slot(spark: SparkSession, base: str) -> str | None:
     """The slot readers use, from the dataset's pointer (None before the first build)."""
     try:
         return spark.read.json(f"{base}/_current").first()["slot"]
-    except Exception:  # no pointer yet
-        return None
+    except AnalysisException as e:
+        if path_missing(e):  # no pointer yet
+            return None
+        raise
 
 
 def _flip(spark: SparkSession, base: str, slot: str) -> None:

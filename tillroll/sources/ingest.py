@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,11 +180,19 @@ def ingest(spark: SparkSession, table: str, src: str, store: Store, fmt: str = "
     return q
 
 
+def path_missing(e: Exception) -> bool:
+    """True for the analysis error Spark raises when a path does not exist."""
+    cond = getattr(e, "getCondition", None) or getattr(e, "getErrorClass", None)
+    return (cond and cond() == "PATH_NOT_FOUND") or "PATH_NOT_FOUND" in str(e)
+
+
 def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.parquet(path)
-    except Exception:  # nothing loaded yet
-        return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if path_missing(e):  # nothing loaded yet
+            return spark.createDataFrame([], schema)
+        raise
 
 
 AUDIT_DDL = ("job_name string, table_name string, file_path string, file_modification_time timestamp, "
@@ -272,8 +281,9 @@ def refresh_partitions(spark: SparkSession, db: str = "analytics") -> None:
     for t in S.TABLES:
         try:
             spark.sql(f"ALTER TABLE {db}.{t} RECOVER PARTITIONS")
-        except Exception:  # nothing loaded for this table yet
-            pass
+        except Exception as e:  # nothing loaded for this table yet
+            if "does not exist" not in str(e) and not path_missing(e):
+                raise
 
 
 def star_from_store(spark: SparkSession, store: Store, latest_only: bool = True):
