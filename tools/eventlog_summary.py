@@ -2,9 +2,8 @@
 
 usage: BENCH_EVENTLOG_DIR=/tmp/run-x/events python bench.py
        python tools/eventlog_summary.py /tmp/run-x/events
-Per query (timed runs only): jobs, stages, summed task time, input bytes,
-shuffle write bytes (per run), the largest single-task shuffle read (a skew
-signal).
+Per query (timed runs only): jobs, stages, summed task time, shuffle write
+bytes (per run), the largest single-task shuffle read (a skew signal).
 """
 
 from __future__ import annotations
@@ -55,7 +54,6 @@ def main() -> None:
                         continue
                     m = e.get("Task Metrics") or {}
                     agg[g]["task_ms"] += m.get("Executor Run Time", 0)
-                    agg[g]["input_bytes"] += (m.get("Input Metrics") or {}).get("Bytes Read", 0)
                     agg[g]["shuffle_write_bytes"] += (m.get("Shuffle Write Metrics") or {}).get("Shuffle Bytes Written", 0)
                     r = m.get("Shuffle Read Metrics") or {}
                     read = r.get("Remote Bytes Read", 0) + r.get("Local Bytes Read", 0)
@@ -66,11 +64,11 @@ def main() -> None:
                     g = job_group.get(stage_job.get(sid))
                     if g is not None:
                         agg[g]["stages"] += 1
-    print("| query | jobs | stages | task s | input MB | shuffle write MB | max task shuffle read MB |")
-    print("|---|---|---|---|---|---|---|")
+    print("| query | jobs | stages | task s | shuffle write MB | max task shuffle read MB |")
+    print("|---|---|---|---|---|---|")
     for g in sorted(agg):
         a = agg[g]
-        print(f"| {g} | {a['jobs']} | {a['stages']} | {a['task_ms'] / 1000:.2f} | {a['input_bytes'] / 1e6:.1f} | "
+        print(f"| {g} | {a['jobs']} | {a['stages']} | {a['task_ms'] / 1000:.2f} | "
               f"{a['shuffle_write_bytes'] / 1e6:.2f} | {max_read[g] / 1e6:.2f} |")
 
 
