@@ -30,11 +30,14 @@ fit AS (
 
 
 def _forecast_sql(keys: str, where: str = "") -> str:
+    # "+ 0.0" turns DuckDB's -0.0 (ROUND of a tiny negative) into 0.0, as Spark's round gives.
+    yhat = ("intercept + slope * CAST(date_diff('day', DATE '1970-01-01', "
+            "CAST(last_day + CAST(h AS INTEGER) AS DATE)) AS DOUBLE)")
     return f"""
 SELECT {keys}, CAST(last_day + CAST(h AS INTEGER) AS DATE) AS forecast_date,
-       ROUND(intercept + slope * CAST(date_diff('day', DATE '1970-01-01', CAST(last_day + CAST(h AS INTEGER) AS DATE)) AS DOUBLE), 2) AS forecast,
-       ROUND(intercept + slope * CAST(date_diff('day', DATE '1970-01-01', CAST(last_day + CAST(h AS INTEGER) AS DATE)) AS DOUBLE) - 1.96 * std_error, 2) AS lower,
-       ROUND(intercept + slope * CAST(date_diff('day', DATE '1970-01-01', CAST(last_day + CAST(h AS INTEGER) AS DATE)) AS DOUBLE) + 1.96 * std_error, 2) AS upper
+       ROUND({yhat}, 2) + 0.0 AS forecast,
+       ROUND({yhat} - 1.96 * std_error, 2) + 0.0 AS lower,
+       ROUND({yhat} + 1.96 * std_error, 2) + 0.0 AS upper
 FROM (SELECT *, UNNEST(range(1, {P.HORIZON_DAYS + 1})) AS h FROM fit) f
 WHERE slope IS NOT NULL {where}"""
 
