@@ -86,3 +86,14 @@ def test_month_partitioned_star_prunes_and_matches(spark):
                                       FL.last_days(raw.orders, "order_date", "2001-06-30", 90))
     assert sorted(map(tuple, q.collect())) == sorted(map(tuple, want.collect()))
     assert sorted(map(tuple, M.yoy_growth(st.orders).collect())) == sorted(map(tuple, M.yoy_growth(raw.orders).collect()))
+
+
+def test_open_star_reads_back_the_loaded_tables(spark):
+    from tillroll.sources.star import open_star
+    root = shared_dir(spark, "test-star-open")
+    st = load_star_tables(spark, SF001, root)
+    again = open_star(spark, root)
+    for t in ("orders", "order_items", "customers", "products"):
+        assert getattr(again, t).count() == getattr(st, t).count()
+    assert sorted(map(tuple, sales.sales_by_region(again.orders).collect())) == \
+        sorted(map(tuple, sales.sales_by_region(st.orders).collect()))
