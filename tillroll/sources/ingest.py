@@ -19,6 +19,7 @@ it.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -173,7 +174,7 @@ def ingest(spark: SparkSession, table: str, src: str, store: Store, fmt: str = "
          .foreachBatch(_batch_writer(table, schema, store, job, fmt, rules))
          .option("checkpointLocation", store.checkpoint(table))
          .trigger(availableNow=True)
-         .queryName(f"{job}")
+         .queryName(f"{job}-{uuid.uuid4().hex[:8]}")   # unique: two loads may run at once
          .start())
     if await_done:
         q.awaitTermination()
