@@ -187,3 +187,16 @@ def test_failed_rebuild_keeps_the_published_copy(spark):
     assert sorted(map(tuple, DS.read_dataset(spark, "sales_by_region", loc).collect())) == before
     DS.create_dataset(spark, "sales_by_region", star, loc)            # next good build flips the slot
     assert sorted(map(tuple, DS.read_dataset(spark, "sales_by_region", loc).collect())) == before
+
+
+def test_missing_column_and_empty_file(spark):
+    root = shared_dir(spark, "test-short-rows")
+    land, store = f"{root}/landing/orders", I.Store(f"{root}/store")
+    write(land, "a.csv", ORDERS_HEADER + "\n1001,C001,2024-01-15 10:23:00,1250.50,completed\n"
+          + "1002,C002,2024-01-15 11:45:00,890.25,completed,us-west\n")
+    write(land, "b.csv", ORDERS_HEADER + "\n")          # header only
+    write(land, "c.csv", "")                             # empty file
+    I.ingest(spark, "orders", land, store)
+    assert [r["order_id"] for r in I.loaded(spark, store, "orders").collect()] == [1002]
+    errs = I.load_errors(spark, store, 10, ["orders"]).collect()
+    assert len(errs) == 1 and "region_not_null" in errs[0]["reasons"]
