@@ -22,7 +22,7 @@ from tillroll.session import shared_dir
 
 # Text handled at once inside a task: bounds the working set of the numpy
 # code whatever the size of the Arrow batch Spark hands over.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

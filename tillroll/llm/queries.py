@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontaminate, pieces, pii, secrets, topk
+from tillroll.llm import decontaminate, language, pieces, pii, quality, secrets, topk
 from tillroll.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.report(table(spark, sf_dir, "embeddings"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,8 +39,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_language_id": (op1_language_id, None),
     "op2_secret_scan": (op2_secret_scan, secrets.ORACLE),
     "op4_exact_topk": (op4_exact_topk, topk.ORACLE),
+    "op5_quality": (op5_quality, None),
     "op7_decontaminate": (op7_decontaminate, None),
     "op8_sentencepiece": (op8_sentencepiece, None),
     "op10_pii": (op10_pii, None),
