@@ -99,7 +99,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     n, m = count_rows(vectors), count_rows(queries)
     row_blocks, query_blocks = max(1, math.ceil(n / ROWS)), max(1, math.ceil(m / QUERIES))
-    block = lambda c, b: F.pmod(F.xxhash64(c), F.lit(b))
+    block = lambda c, b: F.pmod(F.xxhash64(c), F.lit(b)).cast("int")  # noqa: E731  (both sides of the cogroup need one key type)
     every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
     left = vectors.select("id", "v", F.size("v").alias("dim"), block("id", row_blocks).alias("rb"), every(query_blocks).alias("qb"))
     right = queries.select("id", "v", F.size("v").alias("dim"), block("id", query_blocks).alias("qb"), every(row_blocks).alias("rb"))
