@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontaminate, language, pieces, pii, quality, secrets, topk
+from tillroll.llm import decontaminate, jaccard, language, pieces, pii, quality, secrets, topk
 from tillroll.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,6 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op5_quality": (op5_quality, None),
     "op7_decontaminate": (op7_decontaminate, None),
     "op8_sentencepiece": (op8_sentencepiece, None),
+    "op9_jaccard_join": (op9_jaccard_join, None),
     "op10_pii": (op10_pii, None),
 }
