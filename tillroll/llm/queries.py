@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontaminate, jaccard, language, pieces, pii, quality, secrets, topk
+from tillroll.llm import bwtmerge, decontaminate, fmindex, jaccard, language, pieces, pii, quality, secrets, topk
 from tillroll.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwtmerge.report(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.report(table(spark, sf_dir, "embeddings"))
 
@@ -26,6 +30,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.report(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,8 +53,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_language_id": (op1_language_id, None),
     "op2_secret_scan": (op2_secret_scan, secrets.ORACLE),
+    "op3_suffix_dedup": (op3_suffix_dedup, None),
     "op4_exact_topk": (op4_exact_topk, topk.ORACLE),
     "op5_quality": (op5_quality, None),
+    "op6_substring_dedup": (op6_substring_dedup, None),
     "op7_decontaminate": (op7_decontaminate, None),
     "op8_sentencepiece": (op8_sentencepiece, None),
     "op9_jaccard_join": (op9_jaccard_join, None),
