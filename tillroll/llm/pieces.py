@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.llm import tokens as K
 from tillroll.llm.common import field, schema, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -94,6 +95,7 @@ class Transducer:
         stop = re.escape("".join(alone))
         self.cut = None if inner else re.compile(f"{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+" + (f"|[{stop}]" if alone else ""))
         self.cache = _Cache(self)
+        self.lattice: Lattice | None = None
         self.pairs: dict[tuple[int, int], bool] = {}
         self.made: dict[int, tuple[str, str] | None] = {}
         ranks = {s: r for r, s in enumerate(sorted(set(self.score), reverse=True))}
@@ -261,9 +263,20 @@ class Transducer:
         return last, start
 
     def encode(self, text: str) -> list[int]:
-        s = self.normalise(text)
-        parts = [s] if self.cut is None else self.cut.findall(s)
-        return list(chain.from_iterable(map(self.cache.__getitem__, parts)))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int] | None]:
+        """Ids of many texts; the segments none of them had before are composed together."""
+        normal = [None if t is None else self.normalise(t) for t in texts]
+        parts = [None if s is None else [s] if self.cut is None else self.cut.findall(s) for s in normal]
+        if self.bpe and self.cut is not None:
+            fresh = set().union(*(set(p) for p in parts if p)) - self.cache.keys()
+            fresh = [s for s in fresh if len(s) <= CACHED_LENGTH and SPACE * 2 not in s]
+            if len(fresh) >= 64:
+                self.lattice = self.lattice or Lattice(self)
+                self.cache.learn(*self.lattice.shortest_all(fresh))
+        get = self.cache.__getitem__
+        return [None if p is None else list(chain.from_iterable(map(get, p))) for p in parts]
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids (the transducer run backwards)."""
@@ -271,6 +284,157 @@ class Transducer:
         return raw[1:] if self.dummy_prefix and raw.startswith(" ") else raw
 
 
+class Lattice:
+    """The BPE composition for many segments in lockstep, as table look-ups.
+
+    Symbols are the pieces and the characters that occur in pieces. One hash
+    table knows the lexicon's arcs by the hash of their characters, one the
+    piece that two neighbouring symbols form, one the symbols a piece was
+    merged from. Segments with a character outside the lexicon, which need the
+    byte fallback, are left to the general path.
+    """
+
+    def __init__(self, t: Transducer):
+        pieces = sorted(t.arcs, key=t.arcs.__getitem__)
+        self.known = {c for c in pieces if len(c) == 1}
+        chars = sorted({c for p in pieces for c in p} - self.known)
+        self.names = pieces + chars
+        number = {p: i for i, p in enumerate(self.names)}
+        self.ids = np.array([t.arcs[p] for p in pieces] + [-1] * len(chars), np.int64)
+        self.rank = np.array([2 * t.order[t.arcs[p]] for p in pieces] + [0] * len(chars), np.int64)
+        self.left, self.right = np.full(len(self.names), -1), np.full(len(self.names), -1)
+        pairs: dict[int, int] = {}
+        for p, i in number.items():
+            if len(p) == 1:
+                continue
+            for k in range(1, len(p)):
+                a, b = number.get(p[:k]), number.get(p[k:])
+                if a is not None and b is not None:
+                    pairs[a << 20 | b] = i
+            h = t.halves(t.arcs[p])
+            if h is not None and h[0] in number and h[1] in number:
+                self.left[i], self.right[i] = number[h[0]], number[h[1]]
+        self.pairs = _Table(np.fromiter(pairs, np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs)))
+        point = np.array([ord(c) for p in self.names for c in p], np.int64)
+        size = np.array([len(p) for p in self.names])
+        off = np.cumsum(size) - size
+        self.arcs = _Table(self._hash(self._sums(point), off, off + size), np.arange(len(self.names)))
+        self.longest = int(size[:len(pieces)].max())
+
+    @staticmethod
+    def _sums(point: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(point) + 1, np.uint64)
+        np.cumsum(K.mix(point.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * K.powers(len(point))[0][:len(point)], out=out[1:])
+        return out
+
+    @staticmethod
+    def _hash(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return K.span_hashes(sums, a, b)
+
+    def _may_follow(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether symbol y may follow symbol x (undoing merges, latest first)."""
+        ok = np.ones(len(x), bool)
+        bar = np.full(len(x), 1 << 60)
+        at = np.arange(len(x))
+        while len(at):
+            both = self.pairs.get((x.astype(np.uint64) << np.uint64(20)) | y.astype(np.uint64))
+            clash = (both >= 0) & (self.rank[both] < bar)
+            ok[at[clash]] = False
+            hx, hy = self.right[x] >= 0, self.left[y] >= 0
+            on = ~clash & (hx | hy)
+            at, x, y, hx, hy = at[on], x[on], y[on], hx[on], hy[on]
+            undo_x = hx & (~hy | (self.rank[x] > self.rank[y]))  # at equal rank the merge on the left comes first
+            bar = np.where(undo_x, self.rank[x], self.rank[y] + 1)
+            x, y = np.where(undo_x, self.right[x], x), np.where(undo_x, y, self.left[y])
+        return ok
+
+    def shortest_all(self, segments: list[str]) -> tuple[list[str], list[tuple[int, ...]]]:
+        """The segments of known characters, and their paths."""
+        segments = sorted((s for s in segments if self.known.issuperset(s)), key=len)
+        if not segments:
+            return [], []
+        point = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = np.array([len(s) for s in segments])
+        begin = np.cumsum(size) - size
+        sums = self._sums(point)
+        # Arcs by their length, sorted by where in the segment they end.
+        where = np.arange(len(point)) - np.repeat(begin, size) + 1
+        arcs = []
+        for n in range(1, min(self.longest, int(size[-1])) + 1):
+            e = np.flatnonzero(where >= n) + 1
+            k = self.arcs.get(self._hash(sums, e - n, e))
+            hit = (k >= 0) & (self.ids[k] >= 0)
+            e, k = e[hit], k[hit]
+            order = np.argsort(where[e - 1], kind="stable")
+            e, k = e[order], k[order]
+            arcs.append((e, k, np.searchsorted(where[e - 1], np.arange(1, int(size[-1]) + 2))))
+        last = np.full(len(point) + 1, -1)  # last symbol of the path to each place; place 0 of a segment is no place here
+        width = np.zeros(len(point) + 1, np.int64)
+        for i in range(1, int(size[-1]) + 1):
+            for n in range(len(arcs), 0, -1):
+                e, k, cut = arcs[n - 1]
+                if n > i:
+                    continue
+                e, k = e[cut[i - 1]:cut[i]], k[cut[i - 1]:cut[i]]
+                todo = width[e] == 0
+                e, k = e[todo], k[todo]
+                if not len(e):
+                    continue
+                if n < i:
+                    good = self._may_follow(last[e - n], k)
+                    e, k = e[good], k[good]
+                last[e], width[e] = k, n
+        # Walk back from the ends, all segments at once.
+        place, owner, ids, home = begin + size, np.arange(len(size)), [], []
+        while len(place):
+            ids.append(self.ids[last[place]])
+            home.append(owner)
+            place = place - width[place]
+            on = place > begin[owner]
+            place, owner = place[on], owner[on]
+        ids, home = np.concatenate(ids[::-1]), np.concatenate(home[::-1])
+        order = np.argsort(home, kind="stable")
+        flat, cut = ids[order].tolist(), np.searchsorted(home[order], np.arange(len(size) + 1)).tolist()
+        return segments, [tuple(flat[a:b]) for a, b in zip(cut, cut[1:])]
+
+
+class _Table:
+    """Hash table of unsigned keys to small numbers; -1 where there is none."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(10, int(len(keys) - 1).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.values = np.full(1 << bits, -1, np.int64)
+        self.probes = 0
+        slot = self._slot(keys)
+        left = np.arange(len(keys))
+        while len(left):  # one probe further for all that found their place taken
+            self.probes += 1
+            free = self.values[slot[left]] < 0
+            first = left[free][np.unique(slot[left[free]], return_index=True)[1]]
+            self.keys[slot[first]], self.values[slot[first]] = keys[first], values[first]
+            left = np.setdiff1d(left, first)
+            slot[left] = (slot[left] + 1) % len(self.keys)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        out = np.where(self.keys[slot] == keys, self.values[slot], -1)
+        open_ = np.flatnonzero((out < 0) & (self.values[slot] >= 0))
+        for _ in range(self.probes - 1):
+            if not len(open_):
+                break
+            slot[open_] = (slot[open_] + 1) % len(self.keys)
+            at = slot[open_]
+            hit = self.keys[at] == keys[open_]
+            out[open_[hit]] = self.values[at[hit]]
+            open_ = open_[~hit & (self.values[at] >= 0)]
+        return out
+
+
 class _Cache(dict):
     """Shortest paths of the segments met before, in two generations."""
 
@@ -278,6 +442,12 @@ class _Cache(dict):
         super().__init__()
         self.t, self.old = t, {}
 
+    def learn(self, segments: list[str], paths: list[tuple[int, ...]]) -> None:
+        if len(self) >= CACHED_SEGMENTS:
+            self.old = dict(self)
+            self.clear()
+        self.update(zip(segments, paths))
+
     def __missing__(self, s: str) -> tuple[int, ...]:
         got = self.old.get(s) or self.t.shortest(s)
         if len(s) <= CACHED_LENGTH:
@@ -312,8 +482,8 @@ def encode(docs: DataFrame, model: str = MODEL, columns: list[str] | None = None
 
     def run(batches):
         t = transducer(blob)
-        for batch in slices(batches, text_col, 1 << 20):
-            lists = [None if x is None else t.encode(x) for x in batch.column(text_col).to_pylist()]
+        for batch in slices(batches, text_col):
+            lists = t.encode_all(batch.column(text_col).to_pylist())
             off = np.cumsum([0] + [len(x or ()) for x in lists], dtype=np.int32)
             flat = np.fromiter(chain.from_iterable(x for x in lists if x), np.int32, int(off[-1]))
             null = pa.array([x is None for x in lists], pa.bool_())
