@@ -129,22 +129,26 @@ def repeated_anchors(docs: DataFrame, u: Units, text_col: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.minimum(np.bincount(c, t, len(v)), 2).astype(np.int64))], names=out.names)
 
     twice = docs.select(text_col).mapInArrow(run, out).groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1")
-    place = F.shiftrightunsigned("anchor", 64 - BITMAP_BITS)
-    maps = twice.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    return bitmap(twice, "anchor")
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """Bitmap of the leading BITMAP_BITS bits of a column of hashes; its size does not depend on the data."""
+    place = F.shiftrightunsigned(column, 64 - BITMAP_BITS)
+    maps = df.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     bits = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     for r in maps.toLocalIterator():  # at most 2^BITMAP_BITS bits in all
         lo = (r["bucket"] - 1) * 4096
         part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        if lo >= 0 and lo < len(bits):
+        if 0 <= lo < len(bits):
             bits[lo:lo + 4096] |= part[:len(bits) - lo]
     return bits
 
 
-def _has(bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    place = anchor.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
-    # bitmap_bucket_number(0) is 1 for positions 1..32768 and bit position p - 1; position 0 has bucket 1 and bit 0.
-    p = place.astype(np.int64)
-    q = np.where(p > 0, p - 1, 0)
+def may_have(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in the bitmap (never a wrong no)."""
+    p = (h.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+    q = np.maximum(p - 1, 0)  # bitmap_bucket_number numbers positions from 1
     return (bits[q >> 3] >> (q & 7).astype(np.uint8)) & 1 > 0
 
 
@@ -159,7 +163,7 @@ def routed(docs: DataFrame, u: Units, bits: np.ndarray, key: str, ident: str | N
         seen = np.frombuffer(shared.value, np.uint8)
         for batch in slices(batches, text_col):
             s = segments(u, *text_buffer(batch.column(text_col)))
-            pick = np.flatnonzero(_has(seen, s["anchor"]))
+            pick = np.flatnonzero(may_have(seen, s["anchor"]))
             unit = s["unit"].astype(np.uint64) if u.words else s["unit"]
             content = [unit[a:z].tobytes() for a, z in zip(s["from"][pick].tolist(), s["to"][pick].tolist())]
             d = pa.array(s["doc"][pick])
