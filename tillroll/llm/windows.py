@@ -94,18 +94,19 @@ def segments(u: Units, buf: np.ndarray, off: np.ndarray):
         inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         run, owner = np.repeat(run, parts) + inner * cap, np.repeat(owner, parts)
         length = np.minimum(np.repeat(length, parts) - inner * cap, cap)
-    start, anchor = run, least[run]
+    start, anchor = run, K.mix(least[run])  # a least hash is small; spread it again
     end = start + length + u.size - 1
     times = np.ones(len(run), np.int64)
     if u.inside and len(run):  # is the anchor's gram in the text more than once?
         table = np.zeros(1 << 22, bool)
-        table[anchor >> np.uint64(42)] = True
-        hit = np.flatnonzero(table[grams >> np.uint64(42)])
+        low = least[run]
+        table[(low >> np.uint64(34)) & np.uint64((1 << 22) - 1)] = True
+        hit = np.flatnonzero(table[(grams >> np.uint64(34)) & np.uint64((1 << 22) - 1)])
         home = np.searchsorted(first, hit, side="right") - 1
         hit, home = hit[hit + u.gram <= first[home + 1]], home[hit + u.gram <= first[home + 1]]
         key = K.mix(grams[hit] ^ (home.astype(np.uint64) * np.uint64(K.BASE)))
         vals, counts = np.unique(key, return_counts=True)
-        mine = K.mix(anchor ^ (owner.astype(np.uint64) * np.uint64(K.BASE)))
+        mine = K.mix(low ^ (owner.astype(np.uint64) * np.uint64(K.BASE)))
         times = np.minimum(counts[np.minimum(np.searchsorted(vals, mine), len(vals) - 1)], 2)
     return {"doc": owner, "start": start - first[owner], "windows": length, "anchor": anchor.view(np.int64), "times": times,
             "hash": K.span_hashes(sums, start, end).view(np.int64) if len(run) else np.zeros(0, np.int64),
