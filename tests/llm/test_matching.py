@@ -60,6 +60,7 @@ def test_salted_anchors(spark, monkeypatch):
     """Anchors with more content than a bucket are dealt out window by window."""
     from tillroll.llm import windows
     monkeypatch.setattr(windows, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(bwtmerge, "BUCKET", 2000)
     rows = [(k, " ".join(f"a{k}_{i}" for i in range(8)) + " " + U.LINE * 3 + " " + " ".join(f"b{k}_{i}" for i in range(8))) for k in range(60)]
     docs = spark.createDataFrame(rows, U.SCHEMA)
     assert U.order(fmindex.report(docs).collect()) == U.order(U.substring(rows))

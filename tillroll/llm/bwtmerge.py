@@ -4,14 +4,15 @@ Repeated 200-byte windows meet in buckets (see ``windows``). The segments of a
 bucket form two shards with a suffix order and transform each; these are
 merged by interleave refinement: starting from "all of one, then all of the
 other", each pass sends the interleave through the transforms' symbols in a
-stable counting sort and so settles two more bytes of every suffix, without
+stable counting sort and so settles eight more bytes of every suffix, without
 sorting any suffix again. When the passes cover a window's length (or nothing
 moves), the merged order has equal windows side by side: neighbours with a
 common prefix of a window's length form one interval, and an interval that
 counts two or more starts is repeated.
 
-Symbols are pairs of bytes, with 0 after the end of a segment (0xFF, which
-UTF-8 never holds, makes room for it).
+Symbols are strings of eight bytes, numbered in their order within the bucket,
+with 0 after the end of a segment (0xFF, which UTF-8 never holds, makes room
+for it). Buckets are small enough for 16-bit numbers and a core's cache.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from tillroll.llm import windows as W
 from tillroll.llm.common import slices, text_buffer, written
 from tillroll.llm.fmindex import RESULT, runs_of
 
+STEP = 8  # bytes in a symbol, settled per pass
+BUCKET = 48 << 10
 BYTES = W.Units(size=200, gram=32, words=False, inside=True)
 
 
@@ -37,27 +40,27 @@ class Shard:
 
     def __init__(self, contents: list[bytes], depth: int):
         size = np.array([len(c) for c in contents], np.int64)
-        self.begin = np.cumsum(size + 2) - (size + 2)
+        self.begin = np.cumsum(size + STEP) - (size + STEP)
         self.size = size
-        raw = np.frombuffer(b"\xff\xff".join(contents) + b"\xff\xff", np.uint8) if contents else np.zeros(0, np.uint8)
+        end = b"\xff" * STEP
+        raw = np.frombuffer(end.join(contents) + end if contents else b"", np.uint8)
         self.text = raw + np.uint8(1)  # the ends become 0
         n = len(self.text)
         pad = np.concatenate([self.text, np.zeros(8, np.uint8)])
-        # Predecessor two bytes on, round the segment's own end.
-        back = np.arange(n) - 2
-        back[self.begin], back[self.begin + 1] = self.begin + size, self.begin + size + 1
-        pair = (pad[:n].astype(np.uint16) << np.uint16(8)) | pad[1:n + 1]
-        ends = self.begin + size
-        pair[ends] = pair[ends + 1] = 0
-        self.order = self._sorted(pad, n, depth)
-        self.symbols = pair[back[self.order]]
+        key = np.zeros(n, np.uint64)
+        for j in range(STEP):
+            key |= pad[j:n + j].astype(np.uint64) << np.uint64(56 - 8 * j)
+        self.order = self._sorted(key, n, depth)
+        # Predecessor one symbol on, round the segment's own end.
+        back = np.arange(n) - STEP
+        for j in range(STEP):
+            back[self.begin + j] = self.begin + size + j
+            key[self.begin + size + j] = 0
+        self.symbols = key[back[self.order]]
 
     @staticmethod
-    def _sorted(pad: np.ndarray, n: int, depth: int) -> np.ndarray:
+    def _sorted(key: np.ndarray, n: int, depth: int) -> np.ndarray:
         """Suffixes sorted by their next ``depth`` bytes: eight at first, then doubling where tied."""
-        key = np.zeros(n, np.uint64)
-        for j in range(8):
-            key |= pad[j:n + j].astype(np.uint64) << np.uint64(56 - 8 * j)
         order = np.argsort(key, kind="stable").astype(np.int32)
         k = key[order]
         new = np.ones(n, bool)
@@ -88,12 +91,16 @@ class Shard:
 
 def interleave(a: np.ndarray, b: np.ndarray, passes: int) -> np.ndarray:
     """Which shard each place of the merged order comes from (True: b)."""
-    z = np.zeros(len(a) + len(b), bool)
+    values, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    number = number.astype(np.uint16 if len(values) <= 1 << 16 else np.uint32)
+    a, b = number[:len(a)], number[len(a):]
+    z = np.zeros(len(number), bool)
     z[len(a):] = True
-    merged = np.empty(len(z), np.uint16)
+    merged = np.empty_like(number)
     for _ in range(passes):
-        merged[~z], merged[z] = a, b
-        after = z[np.argsort(merged, kind="stable")]
+        merged[np.flatnonzero(~z)] = a
+        merged[np.flatnonzero(z)] = b
+        after = z.take(np.argsort(merged, kind="stable"))
         if (after == z).all():
             break
         z = after
@@ -107,7 +114,7 @@ def bucket(rows: pa.Table, size: int) -> list[tuple[int, int, list[dict]]]:
     half = np.arange(len(content)) % 2  # the shards
     sides = [[i for i in range(len(content)) if half[i] == k] for k in (0, 1)]
     shards = [Shard([content[i] for i in ids], size) for ids in sides]
-    z = interleave(shards[0].symbols, shards[1].symbols, -(-size // 2))
+    z = interleave(shards[0].symbols, shards[1].symbols, -(-size // STEP))
     shift = len(shards[0].text)
     order = np.empty(len(z), np.int64)
     order[~z], order[z] = shards[0].order, shards[1].order.astype(np.int64) + shift
@@ -116,7 +123,7 @@ def bucket(rows: pa.Table, size: int) -> list[tuple[int, int, list[dict]]]:
     begin = np.concatenate([shards[0].begin, shards[1].begin + shift])
     length = np.concatenate([s.size for s in shards])
     seg = np.array(sides[0] + sides[1], np.int64)
-    owner = np.repeat(np.arange(len(seg)), length + 2)
+    owner = np.repeat(np.arange(len(seg)), length + STEP)
     within = np.arange(len(text)) - begin[owner]
     starts = within <= length[owner] - size  # places where a window starts
     order = order[starts[order]]
@@ -130,7 +137,7 @@ def bucket(rows: pa.Table, size: int) -> list[tuple[int, int, list[dict]]]:
     again[order[times[interval] > 1]] = True
     out = [(a, g, []) for a, g in zip(rows.column("anchor").to_pylist(), rows.column("seg").to_pylist())]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], again, [False]]).astype(np.int8)))
-    for a, e in zip(edge[::2].tolist(), edge[1::2].tolist()):  # the two ends part the segments
+    for a, e in zip(edge[::2].tolist(), edge[1::2].tolist()):  # the ends part the segments
         o = int(seg[owner[a]])
         out[o][2].append({"s": first[o] + int(within[a]), "e": first[o] + int(within[e - 1]) + 1, "v": 0})
     return [r for r in out if r[2]]
@@ -140,7 +147,7 @@ def repeated(docs: DataFrame, units: W.Units, text_col: str) -> DataFrame:
     """``(key, hits)``: per text the windows [s, e) that start anywhere else too."""
     bits = W.repeated_anchors(docs, units, text_col)
     rows = W.routed(docs, units, bits, "_key", None, text_col)
-    copies, rest = W.distinct_segments(rows)
+    copies, rest = W.distinct_segments(rows, units, BUCKET)
     same = copies.select("anchor", "seg", F.array(F.struct(
         F.lit(0).cast("long").alias("s"), F.col("windows").alias("e"), F.lit(0).cast("long").alias("v"))).alias("runs"))
     met = W.dealt(rest, units).groupBy("bucket", "salt").applyInArrow(lambda t: runs_of(bucket(t, units.size)), RESULT)

@@ -177,30 +177,38 @@ def routed(docs: DataFrame, u: Units, bits: np.ndarray, key: str, ident: str | N
     return written(src.mapInArrow(run, out), "segments")
 
 
-def distinct_segments(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def distinct_segments(rows: DataFrame, u: Units, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
     """Distinct segments: those whose anchor has one variant, and the rest.
 
     The first, (anchor, seg, windows, n, least), are copies: each window occurs
     as often as the segment. The rest, with content, bucket, salted, salts, are
-    to be compared. Buckets of anchors hold about BUCKET_BYTES; the segments of
-    an anchor with more content are ``salted``: their windows are dealt out one
-    by one.
+    to be compared; contents are read and shuffled for these alone. Buckets of
+    anchors hold about ``bucket_bytes``; the segments of an anchor with more
+    content are ``salted``: their windows are dealt out one by one.
     """
-    d = rows.groupBy("anchor", "seg").agg(
-        F.max("windows").alias("windows"), F.max("times").alias("times"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n"),
-        F.first("content").alias("content"))
-    d = written(d, "distinct")
-    size = d.groupBy("anchor").agg(F.sum(F.octet_length("content")).alias("bytes"), F.sum("n").alias("all"),
+    d = written(rows.groupBy("anchor", "seg").agg(
+        F.max("windows").alias("windows"), F.max("times").alias("times"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    size = d.groupBy("anchor").agg(F.sum((F.col("windows") + u.size - 1) * (8 if u.words else 1)).alias("bytes"), F.sum("n").alias("all"),
                                    F.count(F.lit(1)).alias("variants"), F.max("times").alias("inner"))
     plain = (F.col("variants") == 1) & (F.col("all") > 1) & (F.col("inner") == 1)
     copies = d.join(size.where(plain).select("anchor"), "anchor").select("anchor", "seg", "windows", "n", "least")
-    rest = written(size.where(~plain & ((F.col("all") > 1) | (F.col("inner") > 1))), "anchors")
+    rest = written(size.where(~plain & ((F.col("all") > 1) | (F.col("inner") > 1))).select("anchor", "bytes"), "anchors")
     total = rest.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(1, total // BUCKET_BYTES)
-    d = d.join(rest.select("anchor", "bytes"), "anchor")
-    return copies, d.select("anchor", "seg", "windows", "n", "least", "content", (F.col("bytes") > BUCKET_BYTES).alias("salted"),
-                            F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("long").alias("bucket"),
-                            F.ceil(F.col("bytes") / BUCKET_BYTES).cast("long").alias("salts"))
+    buckets = max(1, total // bucket_bytes)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(rest, "anchor").tobytes())  # fixed size
+
+    def run(batches):
+        seen = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(may_have(seen, batch.column("anchor").to_numpy())))
+
+    content = rows.select("anchor", "seg", "content")
+    content = content.mapInArrow(run, content.schema).groupBy("anchor", "seg").agg(F.first("content").alias("content"))
+    info = d.join(rest, "anchor").select("anchor", "seg", "windows", "n", "least", "bytes")
+    return copies, content.join(info, ["anchor", "seg"]).select(
+        "anchor", "seg", "windows", "n", "least", "content", (F.col("bytes") > bucket_bytes).alias("salted"),
+        F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("long").alias("bucket"),
+        F.ceil(F.col("bytes") / bucket_bytes).cast("long").alias("salts"))
 
 
 def dealt(d: DataFrame, u: Units) -> DataFrame:
