@@ -9,8 +9,9 @@ number and smallest id, and each bucket of anchors is searched by the caller's
 index. Nothing is lost on the way: anchors and buckets only decide where
 windows meet.
 
-Which anchors occur twice is told to the tasks by a bitmap of fixed size: more
-data make it denser (more segments are routed in vain), never larger.
+Which anchors occur twice is told to the tasks by a bitmap of bounded size:
+beyond its bound, more data make it denser (more segments are routed in vain),
+never larger, and nothing is missed.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.llm import tokens as K
-from tillroll.llm.common import slices, text_buffer, written
+from tillroll.llm.common import count_rows, slices, text_buffer, written
 
-BITMAP_BITS = 27  # 16 MB
+LEAST_BITS, MOST_BITS = 20, 30  # a bitmap has between 128 kB and 128 MB
 MAX_RUN = 4  # a segment holds at most so many times ``size`` windows
 BUCKET_BYTES = 4 << 20  # content of a bucket
 LONG = T.LongType()
@@ -130,25 +131,26 @@ def repeated_anchors(docs: DataFrame, u: Units, text_col: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.minimum(np.bincount(c, t, len(v)), 2).astype(np.int64))], names=out.names)
 
     twice = docs.select(text_col).mapInArrow(run, out).groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1")
-    return bitmap(twice, "anchor")
+    return bitmap(written(twice, "twice"), "anchor")
 
 
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """Bitmap of the leading BITMAP_BITS bits of a column of hashes; its size does not depend on the data."""
-    place = F.shiftrightunsigned(column, 64 - BITMAP_BITS)
+    """Bitmap of the leading bits of a column of hashes: eight bits for each, 128 MB at most."""
+    bits = min(max(LEAST_BITS, (8 * count_rows(df)).bit_length()), MOST_BITS)
+    place = F.shiftrightunsigned(column, 64 - bits)
     maps = df.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    bits = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    for r in maps.toLocalIterator():  # at most 2^BITMAP_BITS bits in all
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in maps.toLocalIterator():  # at most 2^MOST_BITS bits in all
         lo = (r["bucket"] - 1) * 4096
         part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        if 0 <= lo < len(bits):
-            bits[lo:lo + 4096] |= part[:len(bits) - lo]
-    return bits
+        if 0 <= lo < len(out):
+            out[lo:lo + 4096] |= part[:len(out) - lo]
+    return out
 
 
 def may_have(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether each hash may be in the bitmap (never a wrong no)."""
-    p = (h.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+    p = (h.view(np.uint64) >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)).astype(np.int64)
     q = np.maximum(p - 1, 0)  # bitmap_bucket_number numbers positions from 1
     return (bits[q >> 3] >> (q & 7).astype(np.uint8)) & 1 > 0
 
@@ -156,7 +158,7 @@ def may_have(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 def routed(docs: DataFrame, u: Units, bits: np.ndarray, key: str, ident: str | None, text_col: str) -> DataFrame:
     """Written segments that may hold repeats: (key, id, start, windows, anchor, times, seg, content)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bits.tobytes())  # fixed size
+    shared = spark.sparkContext.broadcast(bits.tobytes())  # bounded size
     out = T.StructType([T.StructField(c, LONG) for c in ("key", "id", "start", "windows", "anchor", "times", "seg")]
                        + [T.StructField("content", T.BinaryType())])
 
@@ -195,7 +197,7 @@ def distinct_segments(rows: DataFrame, u: Units, bucket_bytes: int = BUCKET_BYTE
     rest = written(size.where(~plain & ((F.col("all") > 1) | (F.col("inner") > 1))).select("anchor", "bytes"), "anchors")
     total = rest.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(1, total // bucket_bytes)
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap(rest, "anchor").tobytes())  # fixed size
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(rest, "anchor").tobytes())  # bounded size
 
     def run(batches):
         seen = np.frombuffer(shared.value, np.uint8)
