@@ -97,3 +97,26 @@ def test_open_star_reads_back_the_loaded_tables(spark):
         assert getattr(again, t).count() == getattr(st, t).count()
     assert sorted(map(tuple, sales.sales_by_region(again.orders).collect())) == \
         sorted(map(tuple, sales.sales_by_region(st.orders).collect()))
+
+
+def test_date_bounds_reach_the_scan(spark):
+    from tillroll.operators import filters
+    df = filters.between_dates(spark.read.parquet(f"{SF001}/orders.parquet"), "o_orderdate", "1995-01-01", "1995-02-01")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "GreaterThanOrEqual(o_orderdate" in pushed and "LessThan(o_orderdate" in pushed
+
+
+def test_session_keeps_given_settings(tmp_path):
+    """What spark-submit gives survives build_session."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+    code = ("from tillroll.session import build_session; s = build_session(); "
+            "print('GOT', s.conf.get('spark.sql.shuffle.partitions'), s.conf.get('spark.sql.files.maxPartitionBytes'))")
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[1]), "PYSPARK_SUBMIT_ARGS":
+                        "--master local[1] --conf spark.ui.enabled=false --conf spark.sql.shuffle.partitions=20000 "
+                        "--conf spark.sql.files.maxPartitionBytes=256m pyspark-shell"}
+    got = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "GOT 20000 256m" in got.stdout, got.stderr[-2000:]

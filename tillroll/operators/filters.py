@@ -1,8 +1,9 @@
 """Dashboard filters and parameters (F1-F11) as predicates and joins.
 
-Date predicates compare a DATE column against literals or a scalar
-subquery, so Parquet min/max statistics can skip row groups and a
-date-partitioned table gets partition pruning.
+Date predicates compare the stored column, uncast, against bounds of its own
+type, so they reach the Parquet scan (row groups are skipped by their min/max
+statistics where the file is clustered by date), and a date-partitioned table
+gets partition pruning.
 """
 
 from __future__ import annotations
@@ -16,17 +17,14 @@ from tillroll.functions.columns import lit_date
 PART_MONTH = "order_month"
 
 
-def _day(col: str) -> Column:
-    return F.to_date(F.col(col))
-
-
 def _date_range(df: DataFrame, col: str, lo: Column, hi: Column, hi_inclusive: bool) -> DataFrame:
-    """lo <= day(col) < hi (or <= hi). On a star partitioned by
-    ``order_month`` the same range is also stated on the partition column,
-    which Catalyst cannot derive from the date predicate itself, so only the
-    months in range are listed and read (partition pruning)."""
-    d = _day(col)
-    cond = (d >= lo) & ((d <= hi) if hi_inclusive else (d < hi))
+    """lo <= day(col) < hi (or <= hi), stated on the stored column. On a star
+    partitioned by ``order_month`` the same range is also stated on the
+    partition column, which Catalyst cannot derive from the date predicate
+    itself, so only the months in range are listed and read."""
+    kind = df.schema[col].dataType
+    end = F.date_add(hi, 1) if hi_inclusive else hi
+    cond = (F.col(col) >= lo.cast(kind)) & (F.col(col) < end.cast(kind))
     if col == "order_date" and PART_MONTH in df.columns:
         cond = cond & (F.col(PART_MONTH) >= F.trunc(lo, "month")) & (F.col(PART_MONTH) <= F.trunc(hi, "month"))
     return df.where(cond)
@@ -52,6 +50,11 @@ def between_dates(df: DataFrame, col: str, lo, hi) -> DataFrame:
     return _date_range(df, col, lit_date(lo), lit_date(hi), False)
 
 
+def between_days(df: DataFrame, col: str, lo: Column, hi: Column) -> DataFrame:
+    """lo <= day <= hi for DATE expressions."""
+    return _date_range(df, col, lo, hi, True)
+
+
 def filter_in(df: DataFrame, col: str, values) -> DataFrame:
     """multi-select dimension filter."""
     return df.where(F.col(col).isin(list(values)))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.columns import line_cost, line_revenue, lit_date
 from tillroll.operators import joins
+from tillroll.operators import filters
 from tillroll.plans import sales
 from tillroll.schemas import DATASET_SCHEMAS
 from tillroll.sources.ingest import path_missing
@@ -186,7 +187,7 @@ def refresh_incremental(spark: SparkSession, name: str, star: Star, location: st
     if not ds.by_month:
         raise ValueError(f"{name} is not partitioned by month")
     day = F.trunc(lit_date(since), "month")
-    recent = Star(orders=star.orders.where(F.to_date("order_date") >= day),
+    recent = Star(orders=star.orders.where(F.col("order_date") >= day.cast(star.orders.schema["order_date"].dataType)),
                   order_items=star.order_items, customers=star.customers, products=star.products)
     df = conform(ds.build(recent), name)
     base = _base(location, name)
@@ -200,8 +201,7 @@ def refresh_incremental(spark: SparkSession, name: str, star: Star, location: st
 
 def retain(df: DataFrame, date_col: str, as_of, days: int) -> DataFrame:
     """Keep the last ``days`` days of history up to ``as_of``."""
-    d = F.to_date(date_col)
-    return df.where((d > F.date_sub(lit_date(as_of), days)) & (d <= lit_date(as_of)))
+    return filters.last_days(df, date_col, as_of, days)
 
 
 def dataset_view(spark: SparkSession, name: str, star: Star) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.operators import filters
 from tillroll.functions.columns import (
     completed, days_since_order, line_cost, line_revenue, lit_date, order_size_category,
     pct, ratio,
@@ -138,9 +139,8 @@ def kpi_total_revenue(orders: DataFrame) -> DataFrame:
 
 def executive_kpis(orders: DataFrame, as_of) -> DataFrame:
     """Current-month KPIs (completed orders, month of ``as_of`` up to it)."""
-    d = F.to_date("order_date")
     day = lit_date(as_of)
-    cur = completed(orders).where((d >= F.trunc(day, "month")) & (d <= day))
+    cur = filters.between_days(completed(orders), "order_date", F.trunc(day, "month"), day)
     return (cur.agg(F.sum("total_amount").alias("revenue"),
                     F.countDistinct("order_id").alias("orders"),
                     F.countDistinct("customer_id").alias("customers"),

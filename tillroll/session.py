@@ -30,22 +30,34 @@ SCALE_CONF = {
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.ui.enabled": "false",
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "tillroll", extra: dict | None = None) -> SparkSession:
+    """A session with the settings above wherever nobody has set another.
+
+    What spark-submit, the cluster's defaults or an existing session give
+    stays as it is; ``shuffle_partitions`` and ``extra`` are what the caller
+    asks for expressly.
+    """
+    existing = SparkSession.getActiveSession()
     builder = SparkSession.builder.appName(app_name)
     if master:  # under spark-submit the cluster's master is used
         builder = builder.master(master)
-    conf = dict(SCALE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = os.environ.get("TILLROLL_DRIVER_MEMORY", "16g")
-    conf.update(extra or {})
-    for k, v in conf.items():
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", os.environ.get("TILLROLL_DRIVER_MEMORY", "16g"))
+            builder = builder.config("spark.ui.enabled", "false")
+    for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    if existing is None:
+        given = spark.sparkContext.getConf()
+        for k, v in SCALE_CONF.items():
+            if not given.contains(k) and spark.conf.isModifiable(k):
+                spark.conf.set(k, v)
+    if shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
@@ -54,9 +66,10 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local tests) a private folder is created and registered. Under Spark
-    Connect there is no SparkContext; the server's setting is used as is.
+    Reads ``spark.checkpoint.dir`` from the session. Where it is unset, a
+    local session gets a private folder; on a cluster that is an error, since
+    a folder of one machine is not shared. Under Spark Connect there is no
+    SparkContext; the server's setting is used as is.
     """
     try:
         sc = spark.sparkContext
@@ -67,12 +80,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Local tests only: the cluster always names a shared folder.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tillroll-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever file system its scheme (or the default) names."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def path_is_file(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh, uniquely named folder under the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
