@@ -67,6 +67,14 @@ def test_salted_anchors(spark, monkeypatch):
     assert U.order(bwtmerge.report(docs).collect()) == U.order(U.suffixes(rows))
 
 
+def test_bitmap_keeps_every_place(spark):
+    """Place 0 has a bit of its own, and so has place 1."""
+    from tillroll.llm import windows
+    held, other = np.array([0, 5 << 44, -1]), np.array([1 << 44, 4 << 44, 6 << 44])
+    bits = windows.bitmap(spark.createDataFrame([(int(x),) for x in held], "h long"), "h")
+    assert windows.may_have(bits, held).all() and not windows.may_have(bits, other).any()
+
+
 def test_clashing_columns(spark):
     docs, extra = U.clashing(spark)
     plain = U.edge(spark)

@@ -137,7 +137,7 @@ def repeated_anchors(docs: DataFrame, u: Units, text_col: str) -> np.ndarray:
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
     """Bitmap of the leading bits of a column of hashes: eight bits for each, 128 MB at most."""
     bits = min(max(LEAST_BITS, (8 * count_rows(df)).bit_length()), MOST_BITS)
-    place = F.shiftrightunsigned(column, 64 - bits)
+    place = F.shiftrightunsigned(column, 64 - bits) + 1  # the bitmap functions number positions from 1
     maps = df.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     out = np.zeros(1 << (bits - 3), np.uint8)
     for r in maps.toLocalIterator():  # at most 2^MOST_BITS bits in all
@@ -151,8 +151,7 @@ def bitmap(df: DataFrame, column: str) -> np.ndarray:
 def may_have(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether each hash may be in the bitmap (never a wrong no)."""
     p = (h.view(np.uint64) >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)).astype(np.int64)
-    q = np.maximum(p - 1, 0)  # bitmap_bucket_number numbers positions from 1
-    return (bits[q >> 3] >> (q & 7).astype(np.uint8)) & 1 > 0
+    return (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
 
 
 def routed(docs: DataFrame, u: Units, bits: np.ndarray, key: str, ident: str | None, text_col: str) -> DataFrame:
