@@ -75,6 +75,18 @@ def test_bitmap_keeps_every_place(spark):
     assert windows.may_have(bits, held).all() and not windows.may_have(bits, other).any()
 
 
+def test_copies_share_their_hits(spark):
+    """However many copies a text has, its repeated windows are listed once."""
+    from pyspark.sql import functions as F
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(7, text)] * 40 + [(3, text)], U.SCHEMA)
+    own = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.xxhash64("doc_id", "text").alias("_key"))
+    for hits in (bwtmerge.repeated(own.withColumn("_key", F.xxhash64("_text")), bwtmerge.BYTES, "_text"),
+                 fmindex.repeated(own, fmindex.WORDS, "_id", "_text")):
+        for r in hits.collect():
+            assert len(r["hits"]) == len(set(r["hits"])) > 0
+
+
 def test_clashing_columns(spark):
     docs, extra = U.clashing(spark)
     plain = U.edge(spark)

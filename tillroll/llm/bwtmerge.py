@@ -152,7 +152,8 @@ def repeated(docs: DataFrame, units: W.Units, text_col: str) -> DataFrame:
         F.lit(0).cast("long").alias("s"), F.col("windows").alias("e"), F.lit(0).cast("long").alias("v"))).alias("runs"))
     met = W.dealt(rest, units).groupBy("bucket", "salt").applyInArrow(lambda t: runs_of(bucket(t, units.size)), RESULT)
     out = written(same.unionByName(met), "runs")
-    hit = (rows.select("key", "start", "anchor", "seg").join(out, ["anchor", "seg"])
+    places = rows.select("key", "start", "anchor", "seg").distinct()  # once for all copies of a text
+    hit = (places.join(out, ["anchor", "seg"])
            .select("key", F.expr("transform(runs, r -> struct(start + r.s as s, start + r.e as e))").alias("r")))
     return hit.groupBy("key").agg(F.flatten(F.collect_list("r")).alias("hits"))
 

@@ -159,7 +159,8 @@ def repeated(docs: DataFrame, units: W.Units, id_col: str, text_col: str) -> Dat
         F.lit(0).cast("long").alias("s"), F.col("windows").alias("e"), F.coalesce("least", F.lit(NO_ID)).alias("v"))).alias("runs"))
     met = W.dealt(rest, units).groupBy("bucket", "salt").applyInArrow(lambda t: runs_of(shard(t, units.size)), RESULT)
     out = written(same.unionByName(met), "runs")
-    hit = (rows.select("key", "id", "start", "anchor", "seg").join(out, ["anchor", "seg"])
+    places = rows.select("key", "id", "start", "anchor", "seg").distinct()  # once for all copies of a row
+    hit = (places.join(out, ["anchor", "seg"])
            .select("key", "start", F.filter("runs", lambda r: r["v"] < F.coalesce("id", F.lit(NO_ID))).alias("runs")).where("size(runs) > 0")
            .select("key", F.expr("transform(runs, r -> struct(start + r.s as s, start + r.e as e))").alias("r")))
     return hit.groupBy("key").agg(F.flatten(F.collect_list("r")).alias("hits"))
