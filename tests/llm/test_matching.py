@@ -75,6 +75,25 @@ def test_bitmap_keeps_every_place(spark):
     assert windows.may_have(bits, held).all() and not windows.may_have(bits, other).any()
 
 
+def test_hot_window_is_searched_once(spark, tmp_path, monkeypatch):
+    """A window that many differing segments share is one row of its bucket, counted for all of them."""
+    from tillroll.llm import windows
+    monkeypatch.setattr(windows, "BUCKET_BYTES", 2000)
+    rows = [(k, f"a{k} {U.LINE} b{k} c{k} d{k}") for k in range(300)]
+    real = fmindex.shard
+
+    def watched(t, size):
+        got = t.column("content").to_pylist()
+        (tmp_path / f"{len(got)}_{len(set(got))}_{id(t)}").touch()
+        return real(t, size)
+
+    monkeypatch.setattr(fmindex, "shard", watched)
+    docs = spark.createDataFrame(rows, U.SCHEMA)
+    assert U.order(fmindex.report(docs).collect()) == U.order(U.substring(rows))
+    sizes = [tuple(map(int, f.name.split("_")[:2])) for f in tmp_path.iterdir()]
+    assert sizes and all(n == distinct < 60 for n, distinct in sizes)
+
+
 def test_copies_share_their_hits(spark):
     """However many copies a text has, its repeated windows are listed once."""
     from pyspark.sql import functions as F

@@ -147,10 +147,10 @@ def repeated(docs: DataFrame, units: W.Units, text_col: str) -> DataFrame:
     """``(key, hits)``: per text the windows [s, e) that start anywhere else too."""
     bits = W.repeated_anchors(docs, units, text_col)
     rows = W.routed(docs, units, bits, "_key", None, text_col)
-    copies, rest = W.distinct_segments(rows, units, BUCKET)
+    copies, whole, hot = W.distinct_segments(rows, units, BUCKET)
     same = copies.select("anchor", "seg", F.array(F.struct(
         F.lit(0).cast("long").alias("s"), F.col("windows").alias("e"), F.lit(0).cast("long").alias("v"))).alias("runs"))
-    met = W.dealt(rest, units).groupBy("bucket", "salt").applyInArrow(lambda t: runs_of(bucket(t, units.size)), RESULT)
+    met = W.compared(whole, hot, units, lambda t: runs_of(bucket(t, units.size)), RESULT)
     out = written(same.unionByName(met), "runs")
     places = rows.select("key", "start", "anchor", "seg").distinct()  # once for all copies of a text
     hit = (places.join(out, ["anchor", "seg"])

@@ -154,10 +154,10 @@ def repeated(docs: DataFrame, units: W.Units, id_col: str, text_col: str) -> Dat
     """
     bits = W.repeated_anchors(docs, units, text_col)
     rows = W.routed(docs, units, bits, "_key", id_col, text_col)
-    copies, rest = W.distinct_segments(rows, units, W.BUCKET_BYTES)
+    copies, whole, hot = W.distinct_segments(rows, units, W.BUCKET_BYTES)
     same = copies.select("anchor", "seg", F.array(F.struct(
         F.lit(0).cast("long").alias("s"), F.col("windows").alias("e"), F.coalesce("least", F.lit(NO_ID)).alias("v"))).alias("runs"))
-    met = W.dealt(rest, units).groupBy("bucket", "salt").applyInArrow(lambda t: runs_of(shard(t, units.size)), RESULT)
+    met = W.compared(whole, hot, units, lambda t: runs_of(shard(t, units.size)), RESULT)
     out = written(same.unionByName(met), "runs")
     places = rows.select("key", "id", "start", "anchor", "seg").distinct()  # once for all copies of a row
     hit = (places.join(out, ["anchor", "seg"])

@@ -16,6 +16,7 @@ never larger, and nothing is missed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,7 @@ from tillroll.llm.common import count_rows, slices, text_buffer, written
 LEAST_BITS, MOST_BITS = 20, 30  # a bitmap has between 128 kB and 128 MB
 MAX_RUN = 4  # a segment holds at most so many times ``size`` windows
 BUCKET_BYTES = 4 << 20  # content of a bucket
+SINGLE_BYTES = 128 << 10  # content cut into single windows at once
 LONG = T.LongType()
 
 
@@ -178,65 +180,95 @@ def routed(docs: DataFrame, u: Units, bits: np.ndarray, key: str, ident: str | N
     return written(src.mapInArrow(run, out), "segments")
 
 
-def distinct_segments(rows: DataFrame, u: Units, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Distinct segments: those whose anchor has one variant, and the rest.
+def distinct_segments(rows: DataFrame, u: Units, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Distinct segments: those whose anchor has one variant, and the rest in two parts.
 
     The first, (anchor, seg, windows, n, least), are copies: each window occurs
-    as often as the segment. The rest, with content, bucket, salted, salts, are
-    to be compared; contents are read and shuffled for these alone. Buckets of
-    anchors hold about ``bucket_bytes``; the segments of an anchor with more
-    content are ``salted``: their windows are dealt out one by one.
+    as often as the segment. The rest, with content, are to be compared;
+    contents are read and shuffled for these alone. The second have a bucket
+    of anchors that holds about ``bucket_bytes``. The third, None where there
+    are none, belong to anchors with more content: their windows are dealt out
+    one by one over ``salts``.
     """
     d = written(rows.groupBy("anchor", "seg").agg(
         F.max("windows").alias("windows"), F.max("times").alias("times"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    size = d.groupBy("anchor").agg(F.sum((F.col("windows") + u.size - 1) * (8 if u.words else 1)).alias("bytes"), F.sum("n").alias("all"),
-                                   F.count(F.lit(1)).alias("variants"), F.max("times").alias("inner"))
+    width = 8 if u.words else 1
+    size = d.groupBy("anchor").agg(F.sum((F.col("windows") + u.size - 1) * width).alias("bytes"), F.sum(F.col("windows") * u.size * width).alias("single"),
+                                   F.sum("n").alias("all"), F.count(F.lit(1)).alias("variants"), F.max("times").alias("inner"))
     plain = (F.col("variants") == 1) & (F.col("all") > 1) & (F.col("inner") == 1)
     copies = d.join(size.where(plain).select("anchor"), "anchor").select("anchor", "seg", "windows", "n", "least")
-    rest = written(size.where(~plain & ((F.col("all") > 1) | (F.col("inner") > 1))).select("anchor", "bytes"), "anchors")
-    total = rest.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(1, total // bucket_bytes)
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap(rest, "anchor").tobytes())  # bounded size
+    rest = written(size.where(~plain & ((F.col("all") > 1) | (F.col("inner") > 1))).select("anchor", "bytes", "single"), "anchors")
+    fits = F.col("bytes") <= bucket_bytes
+    total, large = rest.agg(F.sum(F.when(fits, F.col("bytes"))), F.count(F.when(~fits, True))).first()
+    buckets = max(1, (total or 0) // bucket_bytes)
 
-    def run(batches):
-        seen = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            yield batch.filter(pa.array(may_have(seen, batch.column("anchor").to_numpy())))
+    def with_content(anchors: DataFrame) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast(bitmap(anchors, "anchor").tobytes())  # bounded size
 
-    content = rows.select("anchor", "seg", "content")
-    content = content.mapInArrow(run, content.schema).groupBy("anchor", "seg").agg(F.first("content").alias("content"))
-    info = d.join(rest, "anchor").select("anchor", "seg", "windows", "n", "least", "bytes")
-    return copies, content.join(info, ["anchor", "seg"]).select(
-        "anchor", "seg", "windows", "n", "least", "content", (F.col("bytes") > bucket_bytes).alias("salted"),
-        F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("long").alias("bucket"),
-        F.ceil(F.col("bytes") / bucket_bytes).cast("long").alias("salts"))
+        def run(batches):
+            seen = np.frombuffer(shared.value, np.uint8)
+            for batch in batches:
+                yield batch.filter(pa.array(may_have(seen, batch.column("anchor").to_numpy())))
 
+        content = rows.select("anchor", "seg", "content")
+        content = content.mapInArrow(run, content.schema).groupBy("anchor", "seg").agg(F.first("content").alias("content"))
+        return content.join(d.join(anchors, "anchor"), ["anchor", "seg"])
 
-def dealt(d: DataFrame, u: Units) -> DataFrame:
-    """Rows of buckets: whole segments, or single windows of the salted ones, by their content.
+    whole = with_content(rest.where(fits)).select("anchor", "seg", "windows", "n", "least", "content",
+                                                  F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("long").alias("bucket"))
+    hot = written(with_content(rest.where(~fits)).select("anchor", "seg", "n", "least", "content", F.ceil(F.col("single") / bucket_bytes).cast("long").alias("salts")),
+                  "salted") if large else None
+    return copies, whole, hot
 
-    Returns (bucket, salt, seg, anchor, first, windows, n, least, content).
-    """
+
+def single_windows(hot: DataFrame, u: Units, content: bool) -> DataFrame:
+    """``(anchor, salt, seg, first, win, n, least)``, and ``content`` if asked for: every window of the segments by its hash."""
     width = 8 if u.words else 1
-    out = T.StructType([T.StructField(c, LONG) for c in ("bucket", "salt", "seg", "anchor", "first", "windows", "n", "least")]
-                       + [T.StructField("content", T.BinaryType())])
+    names = ("anchor", "salt", "seg", "first", "win", "n", "least")
+    out = T.StructType([T.StructField(c, LONG) for c in names] + ([T.StructField("content", T.BinaryType())] if content else []))
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if not r["salted"]:
-                    rows.append((r["bucket"], -1, r["seg"], r["anchor"], 0, r["windows"], r["n"], r["least"], r["content"]))
-                    continue
-                for k in range(r["windows"]):
-                    part = r["content"][k * width:(k + u.size) * width]
-                    units = np.frombuffer(part, np.uint64 if u.words else np.uint8).astype(np.uint64)
-                    h = int(K.mix((units * K.powers(u.size)[0][:u.size]).sum(keepdims=True))[0])
-                    rows.append((r["anchor"], h % r["salts"], r["seg"], r["anchor"], k, 1, r["n"], r["least"], part))
-            cols = list(zip(*rows)) if rows else [[] for _ in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 8 else pa.int64()) for i, c in enumerate(cols)], names=out.names)
-
-    return d.select("bucket", "salted", "salts", "seg", "anchor", "windows", "n", "least", "content").mapInArrow(run, out)
+        for batch in slices(batches, "content", SINGLE_BYTES):
+            parts = batch.column("content").to_pylist()
+            raw = b"".join(parts)
+            length = np.array([len(p) // width for p in parts], np.int64)
+            begin, count = np.cumsum(length) - length, length - u.size + 1
+            row = np.repeat(np.arange(len(parts)), count)
+            first = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            at = begin[row] + first
+            if u.words:
+                unit = np.frombuffer(raw, np.uint64)
+                sums = np.zeros(len(unit) + 1, np.uint64)
+                np.cumsum(unit * K.powers(len(unit))[0][:len(unit)], out=sums[1:])
+            else:
+                sums = K.prefix_sums(np.frombuffer(raw, np.uint8))
+            win = K.span_hashes(sums, at, at + u.size)
+            salt = (win % batch.column("salts").to_numpy().astype(np.uint64)[row]).astype(np.int64)
+            of = lambda c: batch.column(c).take(pa.array(row))  # noqa: B023,E731
+            cols = [of("anchor"), pa.array(salt), of("seg"), pa.array(first), pa.array(win.view(np.int64)), of("n"), of("least")]
+            if content:
+                cols.append(pa.array([raw[a:a + u.size * width] for a in (at * width).tolist()], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=out.names)
+
+    return hot.mapInArrow(run, out)
+
+
+def compared(whole: DataFrame, hot: DataFrame | None, u: Units, search: Callable[[pa.Table], pa.Table], result: T.StructType) -> DataFrame:
+    """``result``, (anchor, seg, runs), of the segments to be compared: ``search`` finds the runs in a bucket.
+
+    A window of the salted segments is searched once, with the number and the
+    least id of all places that hold it, and the answer goes back to them.
+    """
+    first = F.lit(0).cast("long").alias("first")
+    found = whole.select("bucket", "anchor", "seg", first, "n", "least", "content").groupBy("bucket").applyInArrow(search, result)
+    if hot is None:
+        return found
+    one = single_windows(hot, u, True).groupBy("anchor", "salt", "win", "content").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    answers = (one.select("anchor", "salt", F.col("win").alias("seg"), first, "n", "least", "content")
+               .groupBy("anchor", "salt").applyInArrow(search, result).withColumnRenamed("seg", "win"))
+    back = single_windows(hot, u, False).select("anchor", "seg", "first", "win").join(answers, ["anchor", "win"])
+    moved = F.expr("transform(runs, r -> struct(first + r.s as s, first + r.e as e, r.v as v))")
+    return found.unionByName(back.select("anchor", "seg", moved.alias("runs")))
 
 
 def merged_ranges(ranges: Column) -> Column:
