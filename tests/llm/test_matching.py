@@ -144,6 +144,40 @@ def test_crf_learns_its_table_and_viterbi_is_exact():
     assert pii.added_spans([text], [pii.base_spans(text)], crf)[0] == [("crf_phone", 5, 19)]
 
 
+def test_every_labelled_line_gives_its_spans():
+    crf = pii.model()
+    for line in pii.LABELLED.splitlines():
+        text, want, last = "", [], 0
+        for tok in line.split():
+            w, _, t = tok.rpartition("/")
+            tag = pii.TAGS.index(t) if w and t in pii.TAGS else 0
+            w = w if tag else tok
+            start = len(text) + bool(text)
+            text += " " * bool(text) + w
+            if tag:
+                want = [*want[:-1], (want[-1][0], want[-1][1], len(text))] if tag == last else [*want, (f"crf_{t.lower()}", start, len(text))]
+            last = tag
+        base = pii.base_spans(text)
+        want = [x for x in want if not any(s < x[2] and x[1] < z for _, s, z in base)]
+        assert pii.added_spans([text], [base], crf)[0] == want, line
+    plain = "the old man went home and said nothing more " * 50
+    text = plain + "write to jane.doe (at) example.com soon " + plain
+    assert [text[s:z] for _, s, z in pii.added_spans([text], [[]], crf)[0]] == ["jane.doe (at) example.com"]
+
+
+def test_whole_texts_are_decoded_exactly():
+    """Settling sure words first gives the path of a Viterbi pass over the whole text."""
+    rng = np.random.default_rng(2)
+    words = [f"{a}{b}" for a in ("Ab", "c.", "7", "@x", "(e)", "F&") for b in ("", "g", "HH", "1-2", ",")]
+    texts = [[words[i] for i in rng.integers(0, len(words), n)] for n in (0, 1, 2, 300, 0, 40, 3)]
+    for trans, bias in ((0.1, 4), (1, 2), (3, 0)):
+        crf = pii.Crf()
+        crf.unary[:], crf.trans[:] = rng.normal(size=crf.unary.shape), trans * rng.normal(size=crf.trans.shape)
+        crf.unary[:, 0] += bias / 7
+        want = crf.decode([pii.sequence_features(t) for t in texts if t])
+        assert all((a == b).all() for a, b in zip([p for p, t in zip(crf.decode_texts(texts), texts) if t], want))
+
+
 def test_trigram_queries_are_necessary():
     """Any text a rule matches satisfies its query."""
     def holds(q, t):

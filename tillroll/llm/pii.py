@@ -1,17 +1,19 @@
 """Personal data: regular kinds by rule, further spans by a linear-chain CRF.
 
-Base spans come from the four declared patterns. The CRF labels the words
-around every digit or ``@`` (no labelled kind lacks both) and adds the runs
-it labels as an entity where no base span lies: phone numbers written without
+Base spans come from the four declared patterns. The CRF labels every word of
+every text and adds the runs it labels as an entity where no base span lies:
+phone numbers written without
 a country code, obfuscated mail addresses and other identifiers the patterns
 cannot describe. It is trained in numpy (forward-backward gradient) on the
-small labelled table below and decoded by Viterbi over batches of sequences of
-similar length.
+small labelled table below. Decoding is by Viterbi: words that no run of
+entity tags could hold are settled at once, and the runs between them share
+batches of similar length.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ fax 212.555.0147/PHONE is open
 mobile: 07700/PHONE 900123/PHONE please
 write to jane.doe/EMAIL (at)/EMAIL example.com/EMAIL soon
 mail bob42/EMAIL [at]/EMAIL mail7.example.org/EMAIL for details
+reach tom/EMAIL (at)/EMAIL office.org/EMAIL please
+write to kim.lee/EMAIL (at)/EMAIL mail.net/EMAIL now.
 contact me@localhost/EMAIL for access
 send it to anna@intranet/EMAIL or leave it
 his ssn is 078-05-1120/ID on file
@@ -69,12 +73,26 @@ model X200 beat A10 and B52
 the number 5927243074273351 is long and 0759539412582376 too
 of 592724307427 units !!
 2001-09-09 and 1999-12-31 are dates
+The old man, who lived by the sea, said: "Come in!" and smiled.
+Nobody knew the Answer; still, They went on. Then it was over.
+Und dann sprach Er: Die Zeit ist um, der Tag war Lang.
+Hier steht Ein Satz. Dort, hinter dem Haus, Spielen Kinder.
+El niño y la Señora, muy lejos; aussi très Déjà façon, über große Äpfel.
+Le Chat est sur la table. Mais où est donc Or?
+THE END OF THE DAY IS NEAR, SAY ALL OF US!! WHO KNOWS?
+I SAW A BIG DOG AND HE SAW ME TOO
+this *** and that &&& or %%% of $$$ it ### ;; ::
+and&&& the%%% of*** to$$$ is!! in## a?? THE!! OF&&& DE%% Und$$ Des**
+word| next | other || ... -- - = + / # * ~
+What? No! Yes; perhaps: "maybe" (or not) 'so' [here] {there}.
+well-known e.g. this, i.e. that, and/or both; don't it's we'll l'eau d'un
+a b c d e f g h. A. B. C. Mr. Dr. St. etc. p.m. U.S. Ph.D.
+congratulations extraordinarily misunderstanding Internationalisation, responsibilities.
 """.strip()
 
 TAGS = ("O", "PHONE", "EMAIL", "ID")
 _KIND = {1: "crf_phone", 2: "crf_email", 3: "crf_id"}
 BINS = 1 << 12
-CONTEXT = 3
 
 
 def _luhn(digits: str) -> bool:
@@ -115,43 +133,55 @@ _SHAPE = str.maketrans({**{c: "d" for c in "0123456789"}, **{chr(c): "x" for c i
                         **{chr(c): "X" for c in range(65, 91)}})
 
 
-def _shape(word: str) -> tuple[str, str]:
-    """Shape of the word's first 24 characters, whole and with runs collapsed."""
-    s = re.sub(r"[^\x00-\x7f]", "x", word[:24].translate(_SHAPE))
-    return s, re.sub(r"(.)\1+", r"\1", s)
-
-
 def _bin(s: str) -> int:
-    h = 2166136261
-    for b in s.encode():
-        h = ((h ^ b) * 16777619) & 0xFFFFFFFF
-    return h % BINS
+    return zlib.crc32(s.encode()) % BINS
 
 
+_SHAPES: dict[str, tuple[int, int, str]] = {}
 _FEATS: dict[str, tuple[int, int, int, int]] = {}
+KEPT = 200_000  # entries kept of each
+
+
+def _shape(word: str) -> tuple[int, int, str]:
+    """Shape of the word's first 24 characters: bin of the whole, bin with runs collapsed, the latter."""
+    s = word[:24].translate(_SHAPE)
+    got = _SHAPES.get(s)
+    if got is None:
+        full = re.sub(r"[^\x00-\x7f]", "x", s)
+        short = re.sub(r"(.)\1+", r"\1", full)
+        got = (_bin("f" + full), _bin("s" + short), short)
+        if len(_SHAPES) < KEPT:
+            _SHAPES[s] = got
+    return got
 
 
 def _features(word: str) -> tuple[int, int, int, int]:
     """Hashed features of one word: shape, collapsed shape, length, cue."""
     got = _FEATS.get(word)
     if got is None:
-        full, short = _shape(word)
+        full, collapsed, short = _shape(word)
         cue = word.lower().strip(".:,()[]") if not _HOOK.search(word) else "#"
-        got = (_bin("f" + full), _bin("s" + short), _bin(f"n{min(len(word), 20)}{short}"), _bin("c" + cue[:24]))
-        if len(_FEATS) < 200_000:
+        got = (full, collapsed, _bin(f"n{min(len(word), 20)}{short}"), _bin("c" + cue[:24]))
+        if len(_FEATS) < KEPT:
             _FEATS[word] = got
     return got
 
 
+def _before(f: np.ndarray) -> np.ndarray:
+    """Feature bins that words (rows of ``_features``) give to the word after them."""
+    return (f[:, [1, 3]] * np.array([31, 37]) + np.array([7, 11])) % BINS
+
+
+def _after(f: np.ndarray) -> np.ndarray:
+    """Feature bins that words give to the word before them."""
+    return (f[:, [1]] * 41 + 13) % BINS
+
+
 def sequence_features(words: list[str]) -> np.ndarray:
     """Feature bins per word: its own four and its neighbours' shapes and cues."""
-    f = [_features(w) for w in words]
     none = (_bin("<"),) * 4
-    rows = []
-    for i, own in enumerate(f):
-        p, n = (f[i - 1] if i else none), (f[i + 1] if i + 1 < len(f) else none)
-        rows.append((*own, (p[1] * 31 + 7) % BINS, (p[3] * 37 + 11) % BINS, (n[1] * 41 + 13) % BINS))
-    return np.array(rows, np.int64)
+    f = np.array([none, *(_features(w) for w in words), none], np.int64)
+    return np.concatenate([f[1:-1], _before(f)[:-2], _after(f)[2:]], 1)
 
 
 class Crf:
@@ -191,8 +221,47 @@ class Crf:
                 self.trans *= 1 - rate * l2
         return self
 
-    def decode(self, seqs: list[np.ndarray], cells: int = 1 << 16) -> list[np.ndarray]:
-        """Viterbi paths; sequences of similar length share a numpy batch."""
+    def decode(self, seqs: list[np.ndarray]) -> list[np.ndarray]:
+        """Viterbi paths of sequences of features."""
+        return self._paths([self._scores(x) for x in seqs])
+
+    def decode_texts(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Viterbi paths over all words of each text.
+
+        A word that lies in no run of other tags that could gain over O is O on
+        the best path; only the runs between such words, with one on either
+        side, need decoding.
+        """
+        ends = np.cumsum([len(t) for t in texts])
+        number: dict[str, int] = {}
+        at = np.array([number.setdefault(w, len(number)) for t in texts for w in t], np.int64)
+        if not len(at):
+            return [np.zeros(0, np.int8) for _ in texts]
+        f = np.array([*(_features(w) for w in number), (_bin("<"),) * 4], np.int64)  # the last: outside the text
+        first, last = np.zeros(len(at), bool), np.zeros(len(at), bool)
+        some = np.array([len(t) > 0 for t in texts])
+        last[ends[some] - 1] = True
+        first[0], first[1:] = True, last[:-1]
+        before, after = np.where(first, len(number), np.roll(at, 1)), np.where(last, len(number), np.roll(at, -1))
+        own, back, ahead = self.unary[f].sum(1), self.unary[_before(f)].sum(1), self.unary[_after(f)].sum(1)
+        e = own[at] + back[before] + ahead[after]
+        # What a run of other tags gains over O, at most: w of each word, and what its two edges add.
+        over = self.trans - self.trans[0, 0]
+        inner, edges = over[1:, 1:].max(), max(0, over[0, 1:].max()) + max(0, over[1:, 0].max())
+        sums = np.cumsum((e[:, 1:] - e[:, :1]).max(1) + inner)
+        least = np.minimum.accumulate(np.concatenate([[0], sums[:-1]]))
+        most = np.maximum.accumulate(sums[::-1])[::-1]
+        open_ = most - least + edges - inner > -1e-6  # the best run that holds the word
+        start = np.flatnonzero(open_ & (first | ~np.roll(open_, 1)))
+        stop = np.flatnonzero(open_ & (last | ~np.roll(open_, -1))) + 1
+        lo, hi = np.where(first[start], start, start - 1), np.where(last[stop - 1], stop, stop + 1)
+        tags = np.zeros(len(at), np.int8)
+        for path, a, z, left in zip(self._paths([e[a:z] for a, z in zip(lo.tolist(), hi.tolist())]), start.tolist(), stop.tolist(), (start - lo).tolist()):
+            tags[a:z] = path[left:left + z - a]
+        return np.split(tags, ends[:-1])
+
+    def _paths(self, seqs: list[np.ndarray], cells: int = 1 << 16) -> list[np.ndarray]:
+        """Viterbi paths of tag scores; sequences of similar length share a numpy batch."""
         out: list[np.ndarray | None] = [None] * len(seqs)
         order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
         i = 0
@@ -203,10 +272,9 @@ class Crf:
             ids = order[i:longest + 1]
             i = longest + 1
             n = np.array([len(seqs[j]) for j in ids])
-            x = np.zeros((len(ids), n.max(), seqs[ids[0]].shape[1]), np.int64)
+            e = np.zeros((len(ids), n.max(), seqs[ids[0]].shape[1]))
             for r, j in enumerate(ids):
-                x[r, :n[r]] = seqs[j]
-            e = self._scores(x)
+                e[r, :n[r]] = seqs[j]
             score, back = e[:, 0], np.zeros(e.shape, np.int8)
             for t in range(1, e.shape[1]):
                 cand = score[:, :, None] + self.trans[None]
@@ -247,22 +315,6 @@ def model(labelled: str = LABELLED) -> Crf:
     return _MODEL[labelled]
 
 
-def windows(text: str) -> list[list[re.Match]]:
-    """Word runs within CONTEXT words of a word holding a digit or an @."""
-    out: list[list[re.Match]] = []
-    hooks = [m.start() for m in _HOOK.finditer(text)]
-    if not hooks:
-        return out
-    words = list(_WORD.finditer(text))
-    starts = np.array([w.start() for w in words])
-    hot = np.unique(np.searchsorted(starts, hooks, side="right") - 1)
-    lo, hi = np.maximum(hot - CONTEXT, 0), np.minimum(hot + CONTEXT + 1, len(words))
-    cut = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
-    for a, z in zip(lo[cut].tolist(), hi[np.append(cut[1:], len(hot)) - 1].tolist()):
-        out.append(words[a:z])
-    return out
-
-
 def _trim(word: str, start: int) -> tuple[int, int]:
     """Span of a word without sentence punctuation around it."""
     left = len(word) - len(word.lstrip(",;:\"'"))
@@ -273,23 +325,17 @@ def _trim(word: str, start: int) -> tuple[int, int]:
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], crf: Crf) -> list[list[tuple[str, int, int]]]:
     """CRF entities of each text that touch no base span."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    seqs, home = [], []
-    for i, text in enumerate(texts):
-        for w in windows(text):
-            seqs.append([m.group() for m in w])
-            home.append((i, w))
-    paths = crf.decode([sequence_features(s) for s in seqs]) if seqs else []
-    for (i, w), path in zip(home, paths):
-        t = 0
-        while t < len(path):
-            e = t
-            while e + 1 < len(path) and path[e + 1] == path[t]:
-                e += 1
-            if path[t] and any(_HOOK.search(m.group()) for m in w[t:e + 1]):
-                start, end = _trim(w[t].group(), w[t].start())[0], _trim(w[e].group(), w[e].start())[1]
+    paths = crf.decode_texts([_WORD.findall(t) for t in texts])
+    for i, path in enumerate(paths):
+        if not path.any():
+            continue
+        w = list(_WORD.finditer(texts[i]))
+        cut = np.flatnonzero(np.diff(path)) + 1
+        for t, e in zip([0, *cut.tolist()], [*cut.tolist(), len(path)]):
+            if path[t]:
+                start, end = _trim(w[t].group(), w[t].start())[0], _trim(w[e - 1].group(), w[e - 1].start())[1]
                 if start < end and not any(s < end and start < z for _, s, z in base[i]):
                     out[i].append((_KIND[int(path[t])], start, end))
-            t = e + 1
     return out
 
 
