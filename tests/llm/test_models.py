@@ -74,6 +74,15 @@ def test_quality(spark):
     assert all(r["keep"] == bool((r["text"] or "").split()) for r in quality.score(U.edge(spark), None).collect())
 
 
+def test_few_labels_do_not_replace_the_other_documents(spark):
+    """A labels table of a few rows leaves unlabelled documents in the training sample."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    few = labels.where("doc_id % 20 = 0")
+    rows = quality.score(docs, quality.train(docs, few), ["doc_id"]).join(labels, "doc_id").collect()
+    assert 0 < few.count() < 50 and np.mean([r["keep"] for r in rows if r["quality"] == 1 and r["toxic"] == 0]) > 0.95
+
+
 def test_sentencepiece_equals_the_library(spark):
     import sentencepiece
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)

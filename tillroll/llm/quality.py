@@ -253,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
 
     The sample holds at most ``sample`` documents of up to 20,000 characters:
     by a hash of the id, up to a quarter each of those given as toxic and as
-    of low quality, the rest from the others.
+    of low quality, the rest from the others, labelled or not.
     """
     none = F.array(F.lit(NONE), F.lit(NONE))
     given = given_votes(labels, docs)
@@ -264,8 +264,8 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
     order = F.xxhash64("doc_id", F.lit("draw"))
     ids = docs.where(F.length("text").between(1, 20_000)).select("doc_id").join(given, "doc_id", "left")
     ids = ids.select("doc_id", F.coalesce(F.get("given", F.lit(0)) * 10 + F.get("given", F.lit(1)), F.lit(22)).alias("g")).where("doc_id IS NOT NULL")
-    toxic, low, rest = F.col("g") % 10 == BAD, F.floor(F.col("g") / 10) == BAD, F.col("g") != 22
-    picks = [(toxic, sample // 4), (~toxic & low, sample // 4), (~toxic & ~low & rest, sample // 2)]
+    toxic, low = F.col("g") % 10 == BAD, F.floor(F.col("g") / 10) == BAD
+    picks = [(toxic, sample // 4), (~toxic & low, sample // 4), (~toxic & ~low, sample // 2)]
     if labels is None or not labels.take(1):
         picks = [(F.lit(True), sample)]
     chosen = [ids.where(w).orderBy(order).limit(k).select("doc_id") for w, k in picks]
@@ -288,6 +288,12 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
     q_all, t_all = matrix([v for v, *_ in table], [g for _, g, _ in table])
     q_some, t_some = matrix(got.column("votes").to_pylist(), got.column("given").to_pylist())
     bins = {k: [x.values.to_numpy().astype(np.int64) for x in got.column(k)] for k in ("levels", "words")}
+    gold = t_some[:, -1] != NONE
+    first = _fit(t_all, counts, t_some[gold], [b for b, g in zip(bins["words"], gold) if g], WORD_BINS, 2e-2, 4)
+    if len(first["at"]):  # "no insult" says nothing where the given labels' own scorer finds toxic words
+        w = np.zeros(WORD_BINS)
+        w[first["at"]] = first["w"]
+        t_some[~gold & np.array([w[b].sum() + first["b"] > 0 for b in bins["words"]], bool), len(TOXIC) - 1] = NONE
     return {"quality": _fit(q_all, counts, q_some, bins["levels"], LEVEL_BINS, 1e-4, 1),
             "toxic": _fit(t_all, counts, t_some, bins["words"], WORD_BINS, 2e-2, 4)}
 
