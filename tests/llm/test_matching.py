@@ -32,6 +32,14 @@ def test_exact_operators(spark, case):
     assert U.order(decontaminate.report(docs, bench.limit(0)).collect()) == U.order(U.contaminated(rows, []))
 
 
+def test_items_without_an_id_contaminate(spark):
+    """A benchmark row of null id counts for the hits, and is not among the items."""
+    bench = spark.createDataFrame([(None, U.LINE), (4, "fox the quick")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.report(U.edge(spark), bench).collect()}
+    assert (got[10]["n_hit"], got[10]["n_items"], got[10]["contaminated"], got[10]["items_sha256"]) == (14, 0, True, U.sha(""))
+    assert got[9]["n_items"] == 1 and not got[4]["contaminated"]
+
+
 def test_decontamination_in_passes(spark):
     """A benchmark over the size bound is searched in passes, with the same result."""
     bench = spark.createDataFrame(BENCH, "item_id long, text string")

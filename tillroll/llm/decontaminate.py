@@ -55,10 +55,10 @@ def patterns(bench: DataFrame, window: int = WINDOW, text_col: str = "text",
              id_col: str = "item_id") -> DataFrame:
     """Distinct ``(pattern, items)`` of the benchmark; items are id strings.
 
-    Items without words, or with a null id, give no pattern.
+    Items without words give no pattern; a null id is in no list of items.
     """
     w = bench.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w"))
-    w = w.where(F.col("item").isNotNull() & (F.size("w") > 0))
+    w = w.where(F.size("w") > 0)
     n = F.size("w")
     starts = F.sequence(F.lit(1), F.greatest(n - F.lit(window - 1), F.lit(1)))
     p = w.select("item", F.explode(F.transform(
@@ -193,7 +193,8 @@ def scan(docs: DataFrame, bench: DataFrame, columns: list[str] | None = None, wi
 
     Returns ``columns`` of docs (default: all) plus ``n_words``, ``hits``
     (word ranges ``[start, end)`` covered by occurrences) and ``items``
-    (ids, as strings, of the items with an occurring window). One row per row
+    (ids, as strings, of the items with an occurring window; an item of null
+    id counts for ``hits`` alone). One row per row
     of docs; null, empty and wordless texts have no words and no hits, and an
     empty benchmark gives no hits.
     """
