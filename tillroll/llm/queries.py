@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import bwtmerge, decontaminate, fmindex, jaccard, language, pieces, pii, quality, secrets, topk
+from tillroll.llm import (bwtmerge, chat, decontaminate, fmindex, jaccard, language, pieces, pii, quality, resample, secrets, topk,
+                          whiten)
 from tillroll.llm.common import table
 
 
@@ -50,6 +51,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.report(table(spark, sf_dir, "embeddings"))
+
+
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_language_id": (op1_language_id, None),
     "op2_secret_scan": (op2_secret_scan, secrets.ORACLE),
@@ -61,4 +74,7 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_sentencepiece": (op8_sentencepiece, None),
     "op9_jaccard_join": (op9_jaccard_join, None),
     "op10_pii": (op10_pii, None),
+    "op11_resample": (op11_resample, resample.ORACLE),
+    "op12_chat_format": (op12_chat_format, chat.ORACLE),
+    "op13_whiten": (op13_whiten, None),
 }
