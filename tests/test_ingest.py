@@ -73,13 +73,14 @@ def test_blank_discount_takes_default(spark):
 def test_batch_rerun_overwrites_its_partition(spark):
     """foreachBatch is at-least-once: running a batch again replaces its output."""
     root = shared_dir(spark, "test-rerun")
-    store = I.Store(f"{root}/store")
-    batch = (spark.createDataFrame([(1001, "C001", None, None, "completed", "us-east")], S.ORDERS)
-             .withColumn("_corrupt_record", F.lit(None).cast("string"))
-             .withColumn("_file", F.lit("f.csv")).withColumn("_mtime", F.current_timestamp()))
+    land, store = f"{root}/landing/orders", I.Store(f"{root}/store")
+    write(land, "a.csv", csv_text(ORDERS_HEADER, ORDERS[:4] + [(1, "C001", "", "", "completed", "us-east")]))
+    listing = spark.read.format("binaryFile").load(land).select(
+        "path", F.col("_metadata.file_path").alias("file_path"), F.col("modificationTime").alias("file_modification_time"), "length")
     fn = I._batch_writer("orders", S.ORDERS, store, "orders_import_job", "csv", I.table_rules("orders", S.ORDERS))
-    fn(batch, 7)
-    fn(batch, 7)
+    fn(listing, 7)
+    fn(listing, 7)
+    assert I.loaded(spark, store, "orders").count() == 4
     assert spark.read.parquet(store.rejects("orders")).count() == 1
     assert spark.read.parquet(store.audit("orders")).count() == 1
 
@@ -200,3 +201,157 @@ def test_missing_column_and_empty_file(spark):
     assert [r["order_id"] for r in I.loaded(spark, store, "orders").collect()] == [1002]
     errs = I.load_errors(spark, store, 10, ["orders"]).collect()
     assert len(errs) == 1 and "region_not_null" in errs[0]["reasons"]
+    # files without rows are in the history and in the detail
+    hist = {r["file_path"].rsplit("/", 1)[1]: (r["rows_loaded"], r["rows_rejected"], r["status"])
+            for r in I.load_history(spark, store, 10, ["orders"]).collect()}
+    assert hist == {"a.csv": (1, 1, "partial"), "b.csv": (0, 0, "empty"), "c.csv": (0, 0, "empty")}
+    assert I.load_detail(spark, store, "orders_import_job", ["orders"]).count() == 3
+    job = I.load_jobs(spark, store, "%_import_job", ["orders"]).first()
+    assert (job["files"], job["latest_status"]) == (3, "partial")  # the worst of the newest batch
+
+
+def test_only_empty_files(spark):
+    root = shared_dir(spark, "test-empty-files")
+    land, store = f"{root}/landing/orders", I.Store(f"{root}/store")
+    write(land, "c.csv", "")
+    I.ingest(spark, "orders", land, store)
+    assert I.loaded(spark, store, "orders").count() == 0
+    assert [r["status"] for r in I.load_history(spark, store, 10, ["orders"]).collect()] == ["empty"]
+
+
+def test_bad_field_is_a_reject_in_the_batch_scan_too(spark):
+    """A discount of abc is no 0.00, whatever columns a query selects; good rows keep defaults."""
+    root = shared_dir(spark, "test-scan")
+    land = f"{root}/landing/order_items"
+    write(land, "a.csv", ITEMS_HEADER + "\n1,P1,2,3.00,abc\n1,P2,2,3.00,\n2,P1,x,3.00,0.10\n2,P2,1,3.00,0.10,9\n2,P3,1,3.00\n,P4,1,3.00,0.10\n")
+    got = I.scan(spark, "order_items", land)
+    reasons = {r["raw_line"]: r["reasons"] for r in got.rejected.collect()}
+    assert set(reasons) == {"1,P1,2,3.00,abc", "2,P1,x,3.00,0.10", "2,P2,1,3.00,0.10,9", "2,P3,1,3.00", ",P4,1,3.00,0.10"}
+    assert reasons["1,P1,2,3.00,abc"] == ["malformed_line"] and reasons[",P4,1,3.00,0.10"] == ["order_id_not_null"]
+    read = I.read_csv(spark, "order_items", land)
+    assert [(r["order_id"], r["product_id"], str(r["discount"])) for r in read.collect()] == [(1, "P2", "0.00")]
+    assert [r["order_id"] for r in read.select("order_id").collect()] == [1] and read.count() == 1
+    assert got.rejected.count() == 5
+
+
+def test_malformed_json_and_parquet_rules(spark):
+    root = shared_dir(spark, "test-scan-json")
+    write(f"{root}/j", "a.json", '{"order_id": 1, "product_id": "P1", "quantity": 2, "unit_price": 3.00}\n{"order_id": "x", "product_id": "P1", "quantity": 2, "unit_price": 3.00}\n{broken\n')
+    got = I.scan(spark, "order_items", f"{root}/j", "json")
+    assert [(r["order_id"], str(r["discount"])) for r in got.good.collect()] == [(1, "0.00")]
+    assert got.rejected.count() == 2
+    spark.createDataFrame([(1, "P1", 1, None, None), (2, "P2", 1, None, None)], S.ORDER_ITEMS).write.parquet(f"{root}/p")
+    got = I.scan(spark, "order_items", f"{root}/p", "parquet")
+    assert got.good.count() == 0 and {tuple(r["reasons"]) for r in got.rejected.collect()} == {("unit_price_not_null",)}
+
+
+def test_quoted_newlines_with_multi_line(spark):
+    root = shared_dir(spark, "test-multiline")
+    land, store = f"{root}/landing/customers", I.Store(f"{root}/store")
+    write(land, "a [x].csv", CUSTOMERS_HEADER + '\nC1,"Ann\nLee",a@b.c,2024-01-01,Premium,US\nC2,Bo,b@b.c,2024-01-01,Basic,US\n')
+    I.ingest(spark, "customers", land, store, multi_line=True)
+    assert {r["customer_id"]: r["name"] for r in I.loaded(spark, store, "customers").collect()} == {"C1": "Ann\nLee", "C2": "Bo"}
+    hist = I.load_history(spark, store, 10, ["customers"]).collect()   # a name with blanks and brackets is one file
+    assert [(r["rows_loaded"], r["status"]) for r in hist] == [(2, "loaded")]
+
+
+def test_retry_life_cycle(spark):
+    """Rejects are retried end to end: mended lines load once, under a batch of their own; the rest stays open."""
+    root = shared_dir(spark, "test-retry")
+    land, store = f"{root}/landing/order_items", I.Store(f"{root}/store")
+    write(land, "a.csv", ITEMS_HEADER + "\n1,P1,2.0,3.00,0.10\n1,P1,2.0,3.00,0.10\n1,P2,1,3.00,\n2,P1,n/a,3.00,0.10\n")
+    I.ingest(spark, "order_items", land, store)
+    assert I.loaded(spark, store, "order_items").count() == 1
+    mend = lambda line: F.regexp_replace(line, r"^([^,]*,[^,]*,[0-9]+)\.0,", "$1,")
+    assert I.retry(spark, "order_items", store) == 0                     # nothing has changed
+    assert I.retry(spark, "order_items", store, repair=mend) == 2        # equal lines are two rejects
+    got = I.loaded(spark, store, "order_items")
+    assert sorted((r["order_id"], r["product_id"], r["quantity"], r["batch_id"]) for r in got.collect()) == [
+        (1, "P1", 2, -1), (1, "P1", 2, -1), (1, "P2", 1, 0)]
+    assert I.retry(spark, "order_items", store, repair=mend) == 0 and I.loaded(spark, store, "order_items").count() == 3
+    assert [r["raw_line"] for r in I.load_errors(spark, store, 10, ["order_items"]).collect()] == ["2,P1,n/a,3.00,0.10"]
+    assert I.retry(spark, "order_items", store, repair=lambda c: F.regexp_replace(c, "n/a", "7")) == 1
+    assert dict(I.loaded(spark, store, "order_items").groupBy("batch_id").count().collect()) == {0: 1, -1: 2, -2: 1}
+    assert I.load_errors(spark, store, 10, ["order_items"]).count() == 0
+    jobs = {r["job_name"]: (r["rows_loaded"], r["rows_rejected"], r["latest_status"])
+            for r in I.load_jobs(spark, store, "%_job", ["order_items"]).collect()}
+    assert jobs == {"order_items_import_job": (1, 3, "partial"), "order_items_retry_job": (3, 1, "loaded")}
+
+
+def test_retry_that_died_is_repeated_without_copies(spark):
+    """Good rows written, keys not committed: the next run replaces them."""
+    from tillroll.session import path_exists
+    root = shared_dir(spark, "test-retry-died")
+    land, store = f"{root}/landing/order_items", I.Store(f"{root}/store")
+    write(land, "a.csv", ITEMS_HEADER + "\n1,P1,2.0,3.00,0.10\n2,P1,3.0,3.00,0.10\n")
+    I.ingest(spark, "order_items", land, store)
+    mend = lambda line: F.regexp_replace(line, r"\.0,", ",")
+    resolved = store.resolved
+    store.resolved = lambda t: "nowhere://" + resolved(t) if path_exists(spark, f"{store.table(t)}/batch_id=-1") else resolved(t)
+    try:
+        I.retry(spark, "order_items", store, repair=mend)
+        raise AssertionError("the commit should have failed")
+    except Exception as e:
+        assert "nowhere" in str(e)
+    del store.resolved
+    assert I.loaded(spark, store, "order_items").count() == 2 and I.open_rejects(spark, store, "order_items").count() == 2
+    assert I.retry(spark, "order_items", store, repair=mend) == 2
+    assert I.loaded(spark, store, "order_items").count() == 2 and I.open_rejects(spark, store, "order_items").count() == 0
+
+
+def test_latest_load_wins(spark):
+    """Corrections up and down, in one batch and in later ones; two lines of one file stay; a retried
+    reject counts as its own file's row."""
+    import time
+    root = shared_dir(spark, "test-latest")
+    land, store = f"{root}/landing/order_items", I.Store(f"{root}/store")
+    first = "1,P1,5,3.00,0.10\n1,P2,5,3.00,0.10\n2,P1,9,3.00,0.10\n3,P1,1,1.00,0.00\n4,P1,4.0,1.00,0.00\n"
+    write(land, "b.csv", ITEMS_HEADER + "\n" + first)
+    time.sleep(0.05)
+    write(land, "a.csv", ITEMS_HEADER + "\n1,P1,2,3.00,0.10\n1,P1,2,3.00,0.10\n1,P1,1,3.00,0.50\n2,P1,99,3.00,0.10\n4,P1,7,1.00,0.00\n")
+    I.ingest(spark, "order_items", land, store)                     # one batch, the newer file has the smaller name
+    write(f"{root}/landing/orders", "o.csv", csv_text(ORDERS_HEADER, ORDERS))
+    write(f"{root}/landing/customers", "c.csv", CUSTOMERS_HEADER + "\n")
+    write(f"{root}/landing/products", "p.csv", PRODUCTS_HEADER + "\n")
+    for t in ("orders", "customers", "products"):
+        I.ingest(spark, t, f"{root}/landing/{t}", store)
+    rows = lambda: sorted((r["order_id"], r["product_id"], r["quantity"]) for r in I.star_from_store(spark, store).order_items.collect())
+    want = [(1, "P1", 1), (1, "P1", 2), (1, "P1", 2), (1, "P2", 5), (2, "P1", 99), (3, "P1", 1), (4, "P1", 7)]
+    assert rows() == want
+    assert I.retry(spark, "order_items", store, repair=lambda c: F.regexp_replace(c, r"\.0,", ",")) == 1
+    assert rows() == want                                            # order 4 of the old file loses to the new file
+    time.sleep(0.05)
+    write(land, "c.csv", ITEMS_HEADER + "\n2,P1,1,3.00,0.10\n")
+    I.ingest(spark, "order_items", land, store)
+    assert rows() == [w if w[0] != 2 else (2, "P1", 1) for w in want]
+
+
+def test_latest_version_with_null_keys(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), (None, 2, "c"), (7, 1, "d"), (7, None, "e")], "k int, v int, x string")
+    got = quality.latest_version(df, ["k"], ["v"]).collect()
+    assert sorted(r["x"] for r in got) == ["b", "c", "d"]
+
+
+def test_timed_load_registers_partitions(spark):
+    """A load with a timed trigger keeps picking up files; its rows are in the catalog table without another call."""
+    import time
+    import uuid
+    root = shared_dir(spark, "test-continuous")
+    land, store, db = f"{root}/landing/orders", I.Store(f"{root}/store"), f"live_{uuid.uuid4().hex[:8]}"
+    I.create_tables(spark, db, store.root)
+    write(land, "a.csv", csv_text(ORDERS_HEADER, ORDERS[:6]))
+    q = I.ingest(spark, "orders", land, store, every="1 second", db=db)
+
+    def reaches(n):
+        for _ in range(120):
+            if spark.table(f"{db}.orders").count() == n:
+                return True
+            assert q.isActive, q.exception()
+            time.sleep(0.5)
+        return False
+    try:
+        assert reaches(6)
+        write(land, "b.csv", csv_text(ORDERS_HEADER, ORDERS[6:]))
+        assert reaches(10)
+    finally:
+        q.stop()

@@ -156,3 +156,19 @@ def dedupe(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys and c not in order]
     best = F.max(F.struct(*[F.col(c) for c in order + rest])).alias("_best")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.{c}").alias(c) for c in order + rest])
+
+
+def latest_version(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
+    """V8 "latest load wins": of every key the rows of its greatest version, all of them.
+
+    The greatest version per key is an ordinary aggregate, one row per key and
+    task before the shuffle; the join back is by key and version, an inner join
+    whose row side AQE can split where one key holds much of the table. Null
+    keys are keys like others.
+    """
+    newest = (df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+              .agg(F.max(F.struct(*version)).alias("_v"))
+              .select(*[f"_k{i}" for i in range(len(keys))], *[F.col(f"_v.{c}").alias(f"_v{i}") for i, c in enumerate(version)]))
+    same = [df[k].eqNullSafe(newest[f"_k{i}"]) for i, k in enumerate(keys)]
+    same += [df[c].eqNullSafe(newest[f"_v{i}"]) for i, c in enumerate(version)]
+    return df.join(newest, reduce(lambda a, b: a & b, same)).select(*[df[c] for c in df.columns])
