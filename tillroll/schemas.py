@@ -102,4 +102,17 @@ DATASET_SCHEMAS: dict[str, list[tuple[str, T.DataType]]] = {
     "category_performance": [("category", T.StringType()), ("orders", T.LongType()),
                              ("units_sold", T.LongType()), ("revenue", D(38, 4)),
                              ("cost", D(38, 2)), ("profit", D(38, 4))],
+    "daily_rollup": [("order_date", T.DateType()), ("region", T.StringType()), ("category", T.StringType()),
+                     ("revenue", D(38, 4)), ("cost", D(38, 2)), ("units_sold", T.LongType()),
+                     ("lines", T.LongType()), ("orders", T.LongType())],
+    "order_sets": [("order_date", T.DateType()), ("region", T.StringType()),
+                   ("categories", T.ArrayType(T.StringType())), ("orders", T.LongType())],
+    "orders_with_customers": [("order_id", T.LongType()), ("customer_id", T.StringType()), ("order_date", T.TimestampNTZType()),
+                              ("total_amount", D(12, 2)), ("status", T.StringType()), ("region", T.StringType()),
+                              ("name", T.StringType()), ("customer_segment", T.StringType()), ("country", T.StringType())],
+    "product_sales": [("order_id", T.LongType()), ("product_id", T.StringType()), ("quantity", T.IntegerType()),
+                      ("line_amount", D(22, 2)), ("discount", D(4, 2)), ("product_name", T.StringType()),
+                      ("category", T.StringType()), ("subcategory", T.StringType()), ("unit_cost", D(12, 2)),
+                      ("customer_id", T.StringType()), ("order_date", T.TimestampNTZType()),
+                      ("total_amount", D(12, 2)), ("status", T.StringType()), ("region", T.StringType())],
 }

@@ -87,20 +87,58 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def _fs(spark: SparkSession, path: str):
+    """Hadoop path and its file system, whatever the scheme (or the default) names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists, on whatever file system its scheme (or the default) names."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
 
 
 def path_is_file(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    p, fs = _fs(spark, path)
     return fs.exists(p) and fs.getFileStatus(p).isFile()
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly under a folder (none if it does not exist)."""
+    p, fs = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    p, fs = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def publish_small(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file under a temporary name and rename it: readers see it
+    whole or not at all. False, and nothing changed, where the path is taken."""
+    p, fs = _fs(spark, path)
+    tmp, _ = _fs(spark, f"{path}.{uuid.uuid4().hex[:8]}.tmp")
+    out = fs.create(tmp, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not fs.exists(p) and fs.rename(tmp, p):
+        return True
+    fs.delete(tmp, False)
+    return False
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh, uniquely named folder under the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
