@@ -2,6 +2,7 @@
 time-zone independence, stream dedupe."""
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -115,3 +116,64 @@ def test_daily_windows_count_backfill(spark):
         live.run_daily(spark, store.root, f"{root}/daily", f"{root}/checkpoint")
     got = spark.read.parquet(f"{root}/daily").agg({"orders": "sum"}).first()[0]
     assert got == len(lines) - 1 == I.loaded(spark, store, "orders").count()
+
+
+def _files(spark, rows, ddl, name):
+    """Rows as a file stream, one file per list, in that order."""
+    import time
+    path = shared_dir(spark, name)
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, ddl).coalesce(1).write.parquet(f"{path}/{k}")
+        time.sleep(0.05)
+    return (spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")), [r for p in rows for r in p]
+
+
+def _t(h, m=0, day=1):
+    return dt.datetime(2024, 5, day, h, m)
+
+
+def test_late_rows_are_counted(spark):
+    """Closed, late and open add up to the rows read, for all three feeds; a late burst is in the side table."""
+    ddl = "ts timestamp_ntz, event_type string, value double, order_date timestamp_ntz, status string, total_amount decimal(12,2)"
+    row = lambda t, e="error", v=1.0: (t, e, v, t, "completed" if e == "error" else "pending", Decimal(2))
+    rows = [[row(_t(1, 5)), row(_t(1, 6), "view"), row(_t(2, 0)), row(None)],
+            [row(_t(5)), row(_t(1, 7))],                         # 01:07 is in time: its window had not closed before this batch
+            [row(_t(1, 8)), row(_t(1, 9)), row(_t(5, 1)), row(_t(3))],   # 01 and 03 have closed
+            [row(_t(9, day=3))], [row(_t(5, 2))]]
+    for k, (feed, step) in enumerate([(live.traffic_feed(), None), (live.alerts_feed(limit=3), "error"), (live.orders_feed("1 hour"), None)]):
+        stream, all_rows = _files(spark, rows, ddl, f"test-late-{k}")
+        root = shared_dir(spark, f"test-late-out-{k}")
+        live.run_counted(stream, feed, root)
+        read = len([r for r in all_rows if step is None or r[1] == step])
+        b = live.balance(stream, feed, root).first()
+        assert b["closed"] + b["late"] + b["open"] == read and b["late"] == 5 and b["open"] == 1
+        late = {(r["window_start"] and r["window_start"].hour): r[feed.rows] for r in live.late_rows(stream, feed, root).collect()}
+        assert late == {None: 1, 1: 2, 3: 1, 5: 1}
+        closed = live.closed_windows(stream, feed, root)
+        assert closed.groupBy("window_start", *feed.keys).count().where("count > 1").count() == 0
+        if k == 0:
+            got = {(r["window_start"].hour, r["event_type"]): (r["events"], r["value"]) for r in closed.collect()}
+            assert got == {(1, "error"): (2, 2.0), (1, "view"): (1, 1.0), (2, "error"): (1, 1.0), (5, "error"): (2, 2.0)}
+        if k == 1:
+            assert closed.count() == 0                            # the late burst has not raised the alert, and is counted
+
+
+def test_counted_windows_equal_the_native_ones(spark):
+    stream = live.stream_table(spark, SF001, "events")
+    root = shared_dir(spark, "test-counted")
+    live.run_counted(stream, live.traffic_feed("1 day"), root)
+    got = live.closed_windows(stream, live.traffic_feed("1 day"), root)
+    want = _run(spark, live.live_traffic(live.stream_table(spark, SF001, "events"), "1 day"), "test-native")
+    cols = ["window_start", "window_end", "event_type", "events"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    live.run_counted(stream, live.traffic_feed("1 day"), root)     # nothing new: nothing changes
+    assert live.closed_windows(stream, live.traffic_feed("1 day"), root).count() == want.count()
+
+
+def test_counted_windows_of_an_empty_stream(spark):
+    ddl = "ts timestamp_ntz, event_type string, value double"
+    stream, _ = _files(spark, [[]], ddl, "test-none")
+    root = shared_dir(spark, "test-none-out")
+    live.run_counted(stream, live.traffic_feed(), root)
+    assert live.closed_windows(stream, live.traffic_feed(), root).count() == 0
+    assert tuple(live.balance(stream, live.traffic_feed(), root).first()) == (0, 0, 0)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tillroll import schemas as S
 from tillroll.catalog.common import oracle, out
-from tillroll.catalog.sales_entries import A1_SQL, A2_SQL, A3_SQL, A4_SQL, A5_SQL
+from tillroll.catalog.sales_entries import A1_SQL, A2_SQL, A3_SQL, A5_SQL
 from tillroll.plans import datasets as DS
 from tillroll.plans.metrics import latest_order_day
 from tillroll.session import shared_dir
@@ -24,23 +24,23 @@ from tillroll.sources import ingest as I
 from tillroll.sources import testdata as td
 
 # Landing files hold this many rows each, so the number of files (and of
-# write tasks) grows with the table, like a stream of small deliveries.
-ROWS_PER_LANDING_FILE = 2000
+# write tasks) grows with the table; there are enough for every load batch.
+ROWS_PER_LANDING_FILE = 50_000
 # Load batches the multi-batch entries are split into.
 BATCHES = 3
-FILES_SQL = f"CAST(CEIL(COUNT(*) / {ROWS_PER_LANDING_FILE}.0) AS BIGINT)"
+FILES_SQL = f"GREATEST({BATCHES}, CAST(CEIL(COUNT(*) / {ROWS_PER_LANDING_FILE}.0) AS BIGINT))"
 AS_OF_SQL = "(SELECT MAX(CAST(order_date AS DATE)) FROM star_orders_plain)"
 
 
 def landing_files(df: DataFrame) -> int:
-    return max(1, math.ceil(df.count() / ROWS_PER_LANDING_FILE))
+    return max(BATCHES, math.ceil(df.count() / ROWS_PER_LANDING_FILE))
 
 
-def land(df: DataFrame, path: str, fmt: str = "csv", files: int | None = None) -> str:
+def land(df: DataFrame, path: str, fmt: str = "csv", files: int | None = None, by: str | None = None) -> str:
     """Write a frame as landing files of ~ROWS_PER_LANDING_FILE rows each
-    (round-robin, so none is empty)."""
+    (round-robin, so none is empty; with ``by`` the rows of a key share a file)."""
     files = files or landing_files(df)
-    w = df.repartition(files).write.mode("overwrite")
+    w = (df.repartition(files, by) if by else df.repartition(files)).write.mode("overwrite")
     if fmt in ("csv", "json"):
         w = w.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     if fmt == "csv":
@@ -143,15 +143,33 @@ S7_SQL = oracle("""SELECT order_id, product_id, CAST(line_number AS BIGINT) AS l
        CAST(discount AS DOUBLE) AS discount FROM star_items""")
 
 
+def _ingest_with_empties(spark, sf):
+    """The orders, a file of a header line alone and a file of no bytes, loaded in batches."""
+    root = shared_dir(spark, "ingest-empties")
+    orders = ref_orders(spark, sf)
+    files = landing_files(orders)
+    land(orders, f"{root}/landing/orders", files=files)
+    land(orders.limit(0), f"{root}/landing/header_only", files=1)
+    spark.createDataFrame([], "value string").coalesce(1).write.text(f"{root}/landing/nothing")
+    store = I.Store(f"{root}/store")
+    I.ingest(spark, "orders", f"{root}/landing/*/*.*", store, max_files=math.ceil(files / BATCHES))
+    return store
+
+
 def _s8(spark, sf):
-    store = _ingest_orders(spark, sf)
-    h = I.load_history(spark, store, 10, ["orders"])
-    return h.agg(F.count(F.lit(1)).alias("files_listed"), F.sum("rows_loaded").alias("rows_loaded"),
-                 F.sum("rows_rejected").alias("rows_rejected"))
+    """Every landing file is in the history, those without rows too; LIMIT n keeps the newest n."""
+    store = _ingest_with_empties(spark, sf)
+    whole = I.load_history(spark, store, None, ["orders"])
+    top = I.load_history(spark, store, 2, ["orders"]).agg(F.count(F.lit(1)).alias("n"))
+    return (whole.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("rows_loaded").alias("rows_loaded"),
+                                        F.sum("rows_rejected").alias("rows_rejected"))
+            .withColumn("listed_with_limit_2", top.scalar()))
 
 
-S8_SQL = oracle(f"""SELECT CAST(LEAST({FILES_SQL}, 10) AS BIGINT) AS files_listed,
-       CAST(COUNT(*) AS BIGINT) AS rows_loaded, CAST(0 AS BIGINT) AS rows_rejected FROM star_orders""")
+EMPTIES_SQL = "(SELECT COUNT(*) FROM (SELECT 1 UNION ALL SELECT 2) e)"
+S8_SQL = oracle(f"""SELECT 'loaded' AS status, {FILES_SQL} AS files, CAST(COUNT(*) AS BIGINT) AS rows_loaded,
+       CAST(0 AS BIGINT) AS rows_rejected, CAST(2 AS BIGINT) AS listed_with_limit_2 FROM star_orders
+UNION ALL SELECT 'empty', {EMPTIES_SQL}, 0, 0, 2""")
 
 
 def _reject_store(spark, sf):
@@ -168,6 +186,101 @@ def _reject_store(spark, sf):
     return store
 
 
+def mixed_lines(spark, sf):
+    """Line items as landing text: line 1 of an order has a quantity like 23.0,
+    line 2 has n/a, the others fit."""
+    return td.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
+        F.when(F.col("l_linenumber") == 1, F.concat(F.col("l_quantity").cast("int"), F.lit(".0")))
+        .when(F.col("l_linenumber") == 2, "n/a").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("quantity"),
+        F.col("l_extendedprice").cast("decimal(10,2)").alias("unit_price"),
+        F.col("l_discount").cast("decimal(3,2)").alias("discount"))
+
+
+def _mixed_store(spark, sf):
+    root = shared_dir(spark, "mixed")
+    src = land(mixed_lines(spark, sf), f"{root}/landing/order_items")
+    store = I.Store(f"{root}/store")
+    I.ingest(spark, "order_items", src, store)
+    return store
+
+
+def _s1_rejects(spark, sf):
+    """The rejected half of a batch scan."""
+    src = land(mixed_lines(spark, sf), shared_dir(spark, "s1-rejects"))
+    return I.scan(spark, "order_items", src).rejected.select("raw_line", F.array_join("reasons", ",").alias("reasons"))
+
+
+LINE_SQL = """CAST(l_orderkey AS VARCHAR) || ',' || CAST(l_partkey AS VARCHAR) || ',' || {quantity} || ',' ||
+       CAST(CAST(l_extendedprice AS DECIMAL(10,2)) AS VARCHAR) || ',' || CAST(CAST(l_discount AS DECIMAL(3,2)) AS VARCHAR)"""
+S1R_SQL = f"""SELECT {LINE_SQL.format(quantity="CASE l_linenumber WHEN 1 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || '.0' ELSE 'n/a' END")} AS raw_line,
+       'malformed_line,quantity_not_null' AS reasons FROM lineitem WHERE l_linenumber <= 2"""
+
+
+def _s7_scan(spark, sf):
+    """Batch scan: a blank discount is the default, a bad one rejects its line."""
+    li = td.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("int").alias("quantity"),
+        F.col("l_extendedprice").cast("decimal(10,2)").alias("unit_price"),
+        F.when(F.col("l_linenumber") == 1, "abc").when(F.col("l_linenumber") != 2, F.col("l_discount").cast("decimal(3,2)").cast("string")).alias("discount"))
+    return out(I.read_csv(spark, "order_items", land(li, shared_dir(spark, "s7-scan"))))
+
+
+S7S_SQL = """SELECT l_orderkey AS order_id, CAST(l_partkey AS VARCHAR) AS product_id, CAST(l_quantity AS BIGINT) AS quantity,
+       CAST(CAST(l_extendedprice AS DECIMAL(10,2)) AS DOUBLE) AS unit_price,
+       CASE l_linenumber WHEN 2 THEN 0.0::DOUBLE ELSE CAST(CAST(l_discount AS DECIMAL(3,2)) AS DOUBLE) END AS discount
+FROM lineitem WHERE l_linenumber <> 1"""
+
+
+def _retried(spark, sf):
+    """Ingest, then retry twice with the same repair: quantities like 23.0 lose their fraction."""
+    store = _mixed_store(spark, sf)
+    mend = lambda line: F.regexp_replace(line, r"^([^,]*,[^,]*,[0-9]+)\.0,", "$1,")
+    I.retry(spark, "order_items", store, repair=mend)
+    I.retry(spark, "order_items", store, repair=mend)      # adds nothing
+    return store
+
+
+def _v7(spark, sf):
+    """Rows that the retries have loaded."""
+    return out(I.loaded(spark, _retried(spark, sf), "order_items").where("batch_id < 0").drop("batch_id"))
+
+
+V7_SQL = """SELECT l_orderkey AS order_id, CAST(l_partkey AS VARCHAR) AS product_id, CAST(l_quantity AS BIGINT) AS quantity,
+       CAST(CAST(l_extendedprice AS DECIMAL(10,2)) AS DOUBLE) AS unit_price,
+       CAST(CAST(l_discount AS DECIMAL(3,2)) AS DOUBLE) AS discount FROM lineitem WHERE l_linenumber = 1"""
+
+
+def _v7_open(spark, sf):
+    """Rejects that stay open after the retries."""
+    return I.open_rejects(spark, _retried(spark, sf), "order_items").select(
+        "raw_line", F.array_join("reasons", ",").alias("reasons"))
+
+
+V7O_SQL = f"""SELECT {LINE_SQL.format(quantity="'n/a'")} AS raw_line, 'malformed_line,quantity_not_null' AS reasons
+FROM lineitem WHERE l_linenumber = 2"""
+
+
+def _v8_latest(spark, sf):
+    """Items land, then corrected items of every fifth order, up or down, in a newer file; one load takes both."""
+    root = shared_dir(spark, "v8-latest")
+    li = td.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("int").alias("quantity"),
+        F.col("l_extendedprice").cast("decimal(10,2)").alias("unit_price"), F.col("l_discount").cast("decimal(3,2)").alias("discount"))
+    land(li, f"{root}/landing/1_first", by="order_id")
+    fixed = li.where("order_id % 5 = 0").withColumn("quantity", F.when(F.col("order_id") % 10 == 0, F.col("quantity") * 2).otherwise(F.lit(0)))
+    land(fixed, f"{root}/landing/2_fix", by="order_id")
+    store = I.Store(f"{root}/store")
+    I.ingest(spark, "order_items", f"{root}/landing/*", store)
+    return out(I.current_rows(spark, store, "order_items"))
+
+
+V8L_SQL = """SELECT l_orderkey AS order_id, CAST(l_partkey AS VARCHAR) AS product_id,
+       CAST(CASE WHEN l_orderkey % 10 = 0 THEN l_quantity * 2 WHEN l_orderkey % 5 = 0 THEN 0 ELSE l_quantity END AS BIGINT) AS quantity,
+       CAST(CAST(l_extendedprice AS DECIMAL(10,2)) AS DOUBLE) AS unit_price,
+       CAST(CAST(l_discount AS DECIMAL(3,2)) AS DOUBLE) AS discount FROM lineitem"""
+
+
 def _s9_errors(spark, sf):
     store = _reject_store(spark, sf)
     return (I.load_errors(spark, store, 10, ["order_items"])
@@ -196,26 +309,35 @@ UNION ALL SELECT 'quantity_not_null', COUNT(*) FROM lineitem"""
 
 
 def _s10(spark, sf):
-    store = _ingest_orders(spark, sf)
-    return I.load_jobs(spark, store, "%_import_job", ["orders"]).drop("last_load_time")
+    """Three jobs of one store with three outcomes, and a table outside the pattern's reach."""
+    store = _mixed_store(spark, sf)
+    I.ingest(spark, "orders", land(ref_orders(spark, sf), f"{store.root}/landing/orders"), store)
+    I.ingest(spark, "products", land(ref_orders(spark, sf).select("order_id"), f"{store.root}/landing/products"), store)
+    I.ingest(spark, "data_import", f"{store.root}/landing/orders", store, job="orders_import_copy")
+    return (I.load_jobs(spark, store, "%_import_job", ["orders", "order_items", "products", "data_import"])
+            .drop("last_load_time"))
 
 
 S10_SQL = oracle(f"""SELECT 'orders_import_job' AS job_name, 'orders' AS table_name,
        {FILES_SQL} AS files, CAST(COUNT(*) AS BIGINT) AS rows_loaded,
-       CAST(0 AS BIGINT) AS rows_rejected, 'loaded' AS latest_status FROM star_orders""")
+       CAST(0 AS BIGINT) AS rows_rejected, 'loaded' AS latest_status FROM star_orders
+UNION ALL SELECT 'products_import_job', 'products', {FILES_SQL}, 0, COUNT(*), 'failed' FROM star_orders
+UNION ALL SELECT 'order_items_import_job', 'order_items', {FILES_SQL},
+       COUNT(*) FILTER (WHERE l_linenumber > 2), COUNT(*) FILTER (WHERE l_linenumber <= 2), 'partial' FROM lineitem""")
 
 
 def _s11(spark, sf):
     """Per-file detail; file names and per-file row counts depend on the
     writer, so the compared columns are the per-file outcome."""
-    store = _ingest_orders(spark, sf)
+    store = _ingest_with_empties(spark, sf)
     return I.load_detail(spark, store, "orders_import_job", ["orders"]).select(
         "job_name", "table_name", "rows_rejected", "status", (F.col("rows_loaded") > 0).alias("has_rows"))
 
 
 S11_SQL = oracle(f"""SELECT 'orders_import_job' AS job_name, 'orders' AS table_name, CAST(0 AS BIGINT) AS rows_rejected,
        'loaded' AS status, (SELECT COUNT(*) > 0 FROM star_orders) AS has_rows
-FROM (SELECT UNNEST(range({FILES_SQL})) AS i FROM star_orders) f""")
+FROM (SELECT UNNEST(range({FILES_SQL})) AS i FROM star_orders) f
+UNION ALL SELECT 'orders_import_job', 'orders', 0, 'empty', FALSE FROM (SELECT UNNEST(range({EMPTIES_SQL}))) e""")
 
 
 def _s6(spark, sf):
@@ -268,24 +390,44 @@ UNION ALL SELECT 'category_performance', 'ok', (SELECT COUNT(DISTINCT category)
 UNION ALL SELECT 'orders_with_customers', 'ok', (SELECT COUNT(*) FROM star_orders), NULL
 UNION ALL SELECT 'product_sales', 'ok', (SELECT COUNT(*) FROM star_ps), NULL
 UNION ALL SELECT 'daily_rollup', 'ok', (SELECT COUNT(*) FROM (SELECT DISTINCT CAST(order_date AS DATE), region, category
-  FROM star_ps WHERE status = 'completed') t), NULL""", """star_ps AS (
+  FROM star_ps WHERE status = 'completed') t), NULL
+UNION ALL SELECT 'order_sets', 'ok', (SELECT COUNT(*) FROM (SELECT DISTINCT day, region, cats FROM (
+  SELECT order_id, CAST(order_date AS DATE) AS day, region, list_sort(list(DISTINCT category)) AS cats
+  FROM star_ps WHERE status = 'completed' GROUP BY 1, 2, 3) s) t), NULL""", """star_ps AS (
   SELECT oi.*, p.category, p.product_name, o.order_date, o.status, o.region
   FROM star_items oi JOIN star_products p ON oi.product_id = p.product_id
   JOIN star_orders o ON oi.order_id = o.order_id)""")
 
 
 def _s15(spark, sf):
+    """Daily sales published, then a star in which one month has lost all its
+    orders and later amounts have changed; only the months from there on are rebuilt."""
     loc = shared_dir(spark, "datasets")
     star = _star(spark, sf)
     DS.create_dataset(spark, "daily_sales", star, loc)
-    since = F.date_sub(latest_order_day(star.orders), 30)    # scalar subquery, stays in the plan
-    DS.refresh_incremental(spark, "daily_sales", star, loc, since)
+    gone = F.trunc(F.date_sub(latest_order_day(star.orders), 60), "month")   # scalar subquery, stays in the plan
+    o = star.orders.where(F.trunc("order_date", "month") != gone)
+    o = o.withColumn("total_amount", F.when(F.to_date("order_date") >= gone, F.col("total_amount") + 1)
+                     .otherwise(F.col("total_amount")).cast("decimal(12,2)"))
+    changed = td.Star(orders=o, order_items=star.order_items, customers=star.customers, products=star.products)
+    DS.refresh_incremental(spark, "daily_sales", changed, loc, F.date_sub(latest_order_day(star.orders), 60))
     return out(DS.read_dataset(spark, "daily_sales", loc))
 
 
+GONE_SQL = f"date_trunc('month', {AS_OF_SQL} - INTERVAL 60 DAY)"
+S15_SQL = oracle(f"""SELECT CAST(order_date AS DATE) AS order_date, COUNT(DISTINCT order_id) AS orders,
+       CAST(SUM(total_amount + CASE WHEN CAST(order_date AS DATE) >= {GONE_SQL} THEN 1 ELSE 0 END) AS DOUBLE) AS revenue
+FROM star_orders_plain WHERE status = 'completed' AND date_trunc('month', order_date) <> {GONE_SQL}
+GROUP BY CAST(order_date AS DATE)""")
+
+
 def _s16(spark, sf):
+    """A published dataset after retention: older months are gone from storage."""
+    loc = shared_dir(spark, "datasets")
     star = _star(spark, sf)
-    return out(DS.retain(DS.build("daily_sales", star), "order_date", latest_order_day(star.orders), 365))
+    DS.create_dataset(spark, "daily_sales", star, loc)
+    DS.retain_dataset(spark, "daily_sales", loc, latest_order_day(star.orders), 365)
+    return out(DS.read_dataset(spark, "daily_sales", loc))
 
 
 S16_SQL = oracle(f"""SELECT * FROM (
@@ -297,10 +439,7 @@ WHERE order_date > {AS_OF_SQL} - INTERVAL 365 DAY AND order_date <= {AS_OF_SQL}"
 
 
 def _s17(spark, sf):
-    view = f"sales_by_region_{uuid.uuid4().hex[:8]}"
-    df = DS.build("sales_by_region", _star(spark, sf))
-    df.createOrReplaceTempView(view)
-    return out(spark.sql(f"SELECT * FROM {view}"))
+    return out(DS.dataset_view(spark, "sales_by_region", _star(spark, sf)))
 
 
 def _s19(spark, sf):
@@ -330,8 +469,33 @@ def _s20_category(spark, sf):
     return out(DS.category_from_rollup(DS.read_dataset(spark, "daily_rollup", loc)))
 
 
+CHOICE = ["PROMO", "SMALL"]
+
+
+def _s20_orders(spark, sf):
+    """Distinct orders per region over all categories and over a choice of them, from the published sets."""
+    loc = shared_dir(spark, "datasets")
+    DS.create_dataset(spark, "order_sets", _star(spark, sf), loc)
+    sets = DS.read_dataset(spark, "order_sets", loc)
+    every = DS.orders_from_sets(sets, ["region"]).withColumn("categories", F.lit("all"))
+    some = DS.orders_from_sets(sets, ["region"], CHOICE).withColumn("categories", F.lit("some"))
+    return every.unionByName(some)
+
+
+S20O_SQL = oracle(f"""
+SELECT region, COUNT(DISTINCT order_id) AS orders, 'all' AS categories FROM lines GROUP BY region
+UNION ALL SELECT region, COUNT(DISTINCT order_id), 'some' FROM lines WHERE category IN {tuple(CHOICE)} GROUP BY region""",
+                  """lines AS (SELECT o.region, o.order_id, p.category FROM star_items oi JOIN star_products p ON oi.product_id = p.product_id
+  JOIN star_orders o ON oi.order_id = o.order_id WHERE o.status = 'completed')""")
+
 ENTRIES = {
     "s1_csv_scan": (_s1, REF_ORDERS_SQL),
+    "s1_scan_rejects": (_s1_rejects, S1R_SQL),
+    "s7_scan_default": (_s7_scan, S7S_SQL),
+    "v7_retry_rejects": (_v7, V7_SQL),
+    "v7_open_rejects": (_v7_open, V7O_SQL),
+    "v8_latest_load_wins": (_v8_latest, V8L_SQL),
+    "s20_orders_from_sets": (_s20_orders, S20O_SQL),
     "s2_ingest_orders": (_s2, REF_ORDERS_SQL),
     "s3_load_each_file_once": (_s3, S3_SQL),
     "s4_batch_files_per_load": (_s4, S4_SQL),
@@ -346,7 +510,7 @@ ENTRIES = {
     "s12_create_dataset": (_dataset("category_performance"), A5_SQL),
     "s13_create_single_dataset": (_dataset("top_products"), A2_SQL),
     "s14_refresh_datasets": (_s14, S14_SQL),
-    "s15_refresh_incremental": (_s15, A4_SQL),
+    "s15_refresh_incremental": (_s15, S15_SQL),
     "s16_retention": (_s16, S16_SQL),
     "s17_dataset_view": (_s17, A1_SQL),
     "s18_json_source": (_s18("json"), REF_ORDERS_SQL),

@@ -28,14 +28,33 @@ def _tables(spark, sf):
             "customers": td.customers(spark, sf), "products": td.products(spark, sf)}
 
 
+# Faults put into the tables, derived from their keys: column -> (key, every
+# n-th key). V1 sees NULLs, V6 values that break a rule.
+NULLED = {"orders": {"status": ("order_id", 97), "region": ("order_id", 89)}, "order_items": {"quantity": ("order_id", 83)},
+          "customers": {"name": ("customer_id", 11)}, "products": {"subcategory": ("product_id", 13)}}
+BROKEN = {"orders": {"status": ("order_id", 97, "'lost'"), "total_amount": ("order_id", 89, "-total_amount")},
+          "order_items": {"quantity": ("order_id", 83, "-quantity"), "discount": ("product_id", 79, "1.5")}}
+
+
+def _fault_columns(cols, faults):
+    """SELECT list in which every n-th key's column has the fault (NULL where none is given)."""
+    def one(c):
+        if c not in faults:
+            return c
+        key, n, *value = faults[c]
+        return f"CASE WHEN {key} % {n} = 0 THEN {value[0] if value else 'NULL'} ELSE {c} END AS {c}"
+    return [one(c) for c in cols]
+
+
 def _v1(spark, sf):
     t = _tables(spark, sf)
+    t = {n: df.selectExpr(*_fault_columns(NN[n], NULLED[n])) for n, df in t.items()}
     return reduce(DataFrame.unionByName, [Q.check_not_null(t[n], cols, n) for n, cols in NN.items()])
 
 
 V1_SQL = oracle("\nUNION ALL\n".join(
     f"SELECT '{n}' AS table_name, '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count "
-    f"FROM {SQL_TABLE[n]}" for n, cols in NN.items() for c in cols))
+    f"FROM (SELECT {', '.join(_fault_columns(cols, NULLED[n]))} FROM {SQL_TABLE[n]}) t" for n, cols in NN.items() for c in cols))
 
 
 def _v2_items_product(spark, sf):
@@ -68,19 +87,29 @@ ORDERS_DECLARED = T.StructType([
 ORDERS_LENGTHS = {"customer_id": 10, "status": 20, "region": 50}
 
 
+# Orders as text, with a bad value at every n-th order.
+AS_TEXT = ["CASE WHEN order_id % 97 = 0 THEN 'no' || CAST(order_id AS {t}) ELSE CAST(order_id AS {t}) END AS order_id",
+           "CAST(customer_id AS {t}) AS customer_id",
+           "CASE WHEN order_id % 89 = 0 THEN 'yesterday' ELSE CAST(order_date AS {t}) END AS order_date",
+           "CASE WHEN order_id % 83 = 0 THEN 'free' ELSE CAST(total_amount AS {t}) END AS total_amount",
+           "CASE WHEN order_id % 79 = 0 THEN status || ' but not delivered' ELSE status END AS status",
+           "CASE WHEN order_id % 73 = 0 THEN NULL ELSE region END AS region"]
+
+
 def _v3(spark, sf):
-    return Q.check_types(td.orders(spark, sf), ORDERS_DECLARED, ORDERS_LENGTHS, "orders")
+    text = td.orders(spark, sf).selectExpr(*[c.format(t="STRING") for c in AS_TEXT])
+    return Q.check_types(text, ORDERS_DECLARED, ORDERS_LENGTHS, "orders")
 
 
 V3_SQL = oracle("""
 SELECT 'orders' AS table_name, 'order_id' AS column_name,
-       COUNT(*) FILTER (WHERE order_id IS NOT NULL AND TRY_CAST(CAST(order_id AS VARCHAR) AS INTEGER) IS NULL) AS violations
-FROM star_orders
-UNION ALL SELECT 'orders', 'customer_id', COUNT(*) FILTER (WHERE customer_id IS NOT NULL AND length(CAST(customer_id AS VARCHAR)) > 10) FROM star_orders
-UNION ALL SELECT 'orders', 'order_date', COUNT(*) FILTER (WHERE order_date IS NOT NULL AND TRY_CAST(CAST(order_date AS VARCHAR) AS TIMESTAMP) IS NULL) FROM star_orders
-UNION ALL SELECT 'orders', 'total_amount', COUNT(*) FILTER (WHERE total_amount IS NOT NULL AND TRY_CAST(CAST(total_amount AS VARCHAR) AS DECIMAL(10,2)) IS NULL) FROM star_orders
-UNION ALL SELECT 'orders', 'status', COUNT(*) FILTER (WHERE status IS NOT NULL AND length(status) > 20) FROM star_orders
-UNION ALL SELECT 'orders', 'region', COUNT(*) FILTER (WHERE region IS NOT NULL AND length(region) > 50) FROM star_orders""")
+       COUNT(*) FILTER (WHERE order_id IS NOT NULL AND TRY_CAST(order_id AS INTEGER) IS NULL) AS violations FROM texts
+UNION ALL SELECT 'orders', 'customer_id', COUNT(*) FILTER (WHERE length(customer_id) > 10) FROM texts
+UNION ALL SELECT 'orders', 'order_date', COUNT(*) FILTER (WHERE order_date IS NOT NULL AND TRY_CAST(order_date AS TIMESTAMP) IS NULL) FROM texts
+UNION ALL SELECT 'orders', 'total_amount', COUNT(*) FILTER (WHERE total_amount IS NOT NULL AND TRY_CAST(total_amount AS DECIMAL(10,2)) IS NULL) FROM texts
+UNION ALL SELECT 'orders', 'status', COUNT(*) FILTER (WHERE length(status) > 20) FROM texts
+UNION ALL SELECT 'orders', 'region', COUNT(*) FILTER (WHERE length(region) > 50) FROM texts""",
+                f"texts AS (SELECT {', '.join(c.format(t='VARCHAR') for c in AS_TEXT)} FROM star_orders)")
 
 
 def _v4(spark, sf):
@@ -133,8 +162,11 @@ def order_rules():
 
 
 def _v6(spark, sf):
-    return Q.validation_summary(td.order_items(spark, sf), item_rules(), "order_items").unionByName(
-        Q.validation_summary(td.orders(spark, sf), order_rules(), "orders"))
+    items, orders = td.order_items(spark, sf), td.orders(spark, sf)
+    items = items.selectExpr(*_fault_columns(items.columns, BROKEN["order_items"]))
+    orders = orders.selectExpr(*_fault_columns(orders.columns, BROKEN["orders"]))
+    return Q.validation_summary(items, item_rules(), "order_items").unionByName(
+        Q.validation_summary(orders, order_rules(), "orders"))
 
 
 V6_SQL = oracle("""
@@ -142,32 +174,18 @@ SELECT 'order_items' AS table_name,
        COUNT(*) FILTER (WHERE ok) AS good_rows, COUNT(*) FILTER (WHERE NOT ok) AS rejected_rows
 FROM (SELECT COALESCE(order_id IS NOT NULL, FALSE) AND COALESCE(product_id IS NOT NULL, FALSE)
              AND COALESCE(quantity > 0, FALSE) AND COALESCE(line_amount >= 0, FALSE)
-             AND COALESCE(discount IS NULL OR discount BETWEEN 0 AND 1, FALSE) AS ok FROM star_items) i
+             AND COALESCE(discount IS NULL OR discount BETWEEN 0 AND 1, FALSE) AS ok FROM bad_items) i
 UNION ALL
 SELECT 'orders', COUNT(*) FILTER (WHERE ok), COUNT(*) FILTER (WHERE NOT ok)
 FROM (SELECT order_id IS NOT NULL AND customer_id IS NOT NULL AND order_date IS NOT NULL
              AND total_amount IS NOT NULL AND status IS NOT NULL AND region IS NOT NULL
              AND length(CAST(customer_id AS VARCHAR)) <= 10 AND length(status) <= 20 AND length(region) <= 50
              AND COALESCE(status IN ('completed', 'pending', 'cancelled'), FALSE)
-             AND COALESCE(total_amount >= 0, FALSE) AS ok FROM star_orders) o""")
-
-ORDERS_LINE_SCHEMA = T.StructType([
-    T.StructField("order_id", T.LongType()), T.StructField("customer_id", T.LongType()),
-    T.StructField("order_date", T.TimestampNTZType()), T.StructField("total_amount", T.DecimalType(12, 2)),
-    T.StructField("status", T.StringType())])
-
-
-def _v7(spark, sf):
-    o = td.orders_plain(spark, sf)
-    raw = o.select(F.to_csv(F.struct(*[F.col(f.name) for f in ORDERS_LINE_SCHEMA.fields])).alias("raw_line"))
-    good, _still = Q.retry_rejects(raw, ORDERS_LINE_SCHEMA, "raw_line",
-                                   {"total_not_negative": F.col("total_amount") >= 0})
-    return out(good)
-
-
-V7_SQL = oracle("""SELECT order_id, customer_id, order_date, CAST(total_amount AS DOUBLE) AS total_amount, status
-FROM star_orders_plain WHERE total_amount >= 0""")
-
+             AND COALESCE(total_amount >= 0, FALSE) AS ok FROM bad_orders) o""",
+                "bad_items AS (SELECT " + ", ".join(_fault_columns(
+                    ["order_id", "product_id", "line_number", "quantity", "line_amount", "discount"], BROKEN["order_items"])) + """ FROM star_items),
+bad_orders AS (SELECT """ + ", ".join(_fault_columns(
+                    ["order_id", "customer_id", "order_date", "total_amount", "status", "region"], BROKEN["orders"])) + " FROM star_orders)")
 
 def _v8(spark, sf):
     return out(Q.dedupe(td.order_items(spark, sf), ["order_id", "line_number"],
@@ -190,6 +208,5 @@ ENTRIES = {
     "v4_referential": (_v4, V4_SQL),
     "v5_reconcile_orders": (_v5, V5_SQL),
     "v6_validate_summary": (_v6, V6_SQL),
-    "v7_retry_rejects": (_v7, V7_SQL),
     "v8_dedupe_items": (_v8, V8_SQL),
 }

@@ -79,7 +79,69 @@ FROM events WHERE event_type = 'error' GROUP BY 1, 2, 3
 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 1 HOUR
    AND COUNT(*) >= 60"""
 
+FEEDS = {  # feed -> (table, id, time, width, DuckDB: key column, row filter, sums)
+    "orders": (live.orders_feed("1 day"), "star_orders_plain", "order_id", "order_date", "day", "status", "TRUE"),
+    "traffic": (live.traffic_feed("1 hour"), "events", "event_id", "ts", "hour", "event_type", "TRUE"),
+    "alerts": (live.alerts_feed("1 day", limit=40), "events", "event_id", "ts", "day", "event_type", "event_type = 'error'"),
+}
+
+
+def _arrivals(spark, sf, name):
+    """The feed's table as two deliveries: every third row by id comes after all the others, and mostly too late."""
+    feed, _, key, *_ = FEEDS[name]
+    rows = td.orders_plain(spark, sf) if name == "orders" else td.events(spark, sf)
+    root = shared_dir(spark, f"arrivals-{name}")
+    for k, part in enumerate((rows.where(F.col(key) % 3 != 0), rows.where(F.col(key) % 3 == 0))):
+        part.coalesce(1).write.parquet(f"{root}/landing/{k}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing/*")
+    live.run_counted(stream, feed, f"{root}/out")
+    return stream, feed, f"{root}/out"
+
+
+def _late(name):
+    def run(spark, sf):
+        return out(live.late_rows(*_arrivals(spark, sf, name)))
+    return run
+
+
+def _counted(name):
+    def run(spark, sf):
+        return out(live.closed_windows(*_arrivals(spark, sf, name)))
+    return run
+
+
+def _balance(spark, sf):
+    """Closed, late, open and read rows of the three feeds."""
+    parts = []
+    for name, (feed, *_rest) in FEEDS.items():
+        stream, feed, root = _arrivals(spark, sf, name)
+        parts.append(live.balance(stream, feed, root).select(F.lit(name).alias("feed"), "*"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("read", F.expr("closed + late + open"))
+
+
+def _rows_sql(name):
+    """Rows of a feed with their window and whether they came late."""
+    _, table, key, ts, unit, by, where = FEEDS[name]
+    end = f"date_trunc('{unit}', {ts}) + INTERVAL 1 {unit}"
+    return f"""SELECT *, date_trunc('{unit}', {ts}) AS window_start, {end} AS window_end,
+  {key} % 3 = 0 AND {end} <= (SELECT MAX({ts}) FROM {table} WHERE {where} AND {key} % 3 <> 0) - INTERVAL 1 HOUR AS late,
+  {end} <= (SELECT MAX({ts}) FROM {table} WHERE {where}) - INTERVAL 1 HOUR AS shut FROM {table} WHERE {where}"""
+
+
+BALANCE_SQL = oracle("\nUNION ALL\n".join(
+    f"""SELECT '{name}' AS feed, COUNT(*) FILTER (WHERE shut AND NOT late) AS closed, COUNT(*) FILTER (WHERE late) AS late,
+       COUNT(*) FILTER (WHERE NOT shut AND NOT late) AS open, COUNT(*) AS read FROM ({_rows_sql(name)}) r""" for name in FEEDS))
+T2C_SQL = oracle(f"""SELECT window_start, window_end, status, COUNT(*) AS orders, CAST(SUM(total_amount) AS DOUBLE) AS revenue
+FROM ({_rows_sql("orders")}) r WHERE shut AND NOT late GROUP BY 1, 2, 3""")
+T2L_SQL = T2C_SQL.replace("shut AND NOT late", "late")
+T4C_SQL = f"""SELECT window_start, window_end, event_type, COUNT(*) AS events
+FROM ({_rows_sql("alerts")}) r WHERE shut AND NOT late GROUP BY 1, 2, 3 HAVING COUNT(*) >= 40"""
+
 ENTRIES = {
+    "t2_orders_counted": (_counted("orders"), T2C_SQL),
+    "t2_late_orders": (_late("orders"), T2L_SQL),
+    "t4_alerts_counted": (_counted("alerts"), T4C_SQL),
+    "t_live_balance": (_balance, BALANCE_SQL),
     "t1_file_arrival_ingest": (_t1, T1_SQL),
     "t2_live_orders": (_t2, T2_SQL),
     "t3_live_traffic": (_t3, T3_SQL),

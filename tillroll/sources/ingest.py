@@ -244,7 +244,8 @@ def _batch_writer(table: str, schema: T.StructType, store: Store, job: str, fmt:
                            F.col(SOURCE[1]).alias("file_modification_time"), F.monotonically_increasing_id().alias("position"),
                            "raw_line", "reasons", F.current_timestamp().alias("error_time"))
          .write.mode("overwrite").parquet(at(store.rejects)))
-        good, bad = spark.read.parquet(at(store.table)), spark.read.parquet(at(store.rejects))
+        good = spark.read.schema(f"{SOURCE[0]} string").parquet(at(store.table))
+        bad = spark.read.schema("file_path string").parquet(at(store.rejects))
         seen = batch_files(spark, store.checkpoint(table), batch_id)
         seen = spark.createDataFrame(files, LISTING_DDL) if seen is None else seen
         (_audit_rows(seen, _counts(good, SOURCE[0], "rows_loaded"),
@@ -331,7 +332,7 @@ def retry(spark: SparkSession, table: str, store: Store, fmt: str = "csv", schem
     p = parse(raw, table, schema, rules, [*SOURCE, *key])
     staged = f"{store.retries(table)}/retry_id={run}"
     p.good.write.mode("overwrite").parquet(staged)
-    good = spark.read.parquet(staged)
+    good = spark.read.schema(p.good.schema).parquet(staged)
     n = good.agg(F.count(F.lit(1))).first()[0]
     if not n:
         return 0
@@ -389,11 +390,12 @@ def audit(spark: SparkSession, store: Store, tables=None) -> DataFrame:
     return out
 
 
-def load_history(spark: SparkSession, store: Store, n: int = 10, tables=None) -> DataFrame:
-    """Newest loaded files first: file, rows, status, LIMIT n."""
-    return (audit(spark, store, tables)
-            .select("job_name", "file_path", "rows_loaded", "rows_rejected", "status", "load_time", "batch_id")
-            .orderBy(F.col("load_time").desc(), F.col("batch_id").desc(), "file_path").limit(n))
+def load_history(spark: SparkSession, store: Store, n: int | None = 10, tables=None) -> DataFrame:
+    """Newest loaded files first: file, rows, status, LIMIT n (None: all)."""
+    h = (audit(spark, store, tables)
+         .select("job_name", "file_path", "rows_loaded", "rows_rejected", "status", "load_time", "batch_id")
+         .orderBy(F.col("load_time").desc(), F.col("batch_id").desc(), "file_path"))
+    return h if n is None else h.limit(n)
 
 
 def load_errors(spark: SparkSession, store: Store, n: int = 10, tables=None) -> DataFrame:
@@ -467,22 +469,22 @@ def refresh_partitions(spark: SparkSession, db: str = "analytics") -> None:
                 raise
 
 
-def star_from_store(spark: SparkSession, store: Store, latest_only: bool = True):
-    """The star schema over the loaded tables of a store.
+def current_rows(spark: SparkSession, store: Store, table: str, latest_only: bool = True) -> DataFrame:
+    """The rows of a loaded table without lineage.
 
     With ``latest_only`` the newest file wins (V8): of every primary key the
     rows of the file with the latest modification time (then the greatest
     path) are kept, all of them, so two lines of one file stay two lines.
-    Order items carry ``unit_price``; the builders derive ``line_amount``.
     """
-    from tillroll.sources.testdata import Star
+    df = loaded(spark, store, table, lineage=True)
+    keys = S.PRIMARY_KEYS[table]
+    if latest_only and keys:
+        df = latest_version(df, keys, ["source_time", "source_file"])
+    return df.drop("batch_id", *SOURCE)
 
-    def table(t: str) -> DataFrame:
-        df = loaded(spark, store, t, lineage=True)
-        keys = S.PRIMARY_KEYS[t]
-        if latest_only and keys:
-            df = latest_version(df, keys, ["source_time", "source_file"])
-        return df.drop("batch_id", *SOURCE)
 
-    return Star(orders=table("orders"), order_items=table("order_items"),
-                customers=table("customers"), products=table("products"))
+def star_from_store(spark: SparkSession, store: Store, latest_only: bool = True):
+    """The star schema over the loaded tables of a store (``current_rows`` of
+    each). Order items carry ``unit_price``; the builders derive ``line_amount``."""
+    from tillroll.sources.testdata import Star
+    return Star(**{t: current_rows(spark, store, t, latest_only) for t in ("orders", "order_items", "customers", "products")})

@@ -12,6 +12,9 @@ Mapping (a decision, the reference has no such data):
 * products    <- part: p_type -> category, p_brand -> subcategory,
                  p_retailprice -> unit_cost.
 
+An order without its customer, or a customer without a nation, stays, with a
+NULL region and country.
+
 Everything is lazy: Catalyst prunes the columns a query does not use and
 pushes filters into the Parquet scans. nation (25 rows) and region (5 rows)
 are fixed-size by definition and fall under the broadcast threshold; the
@@ -58,7 +61,7 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     g = geography(spark, sf_dir)
-    return (c.join(g, c.c_nationkey == g.nation_key)
+    return (c.join(g, c.c_nationkey == g.nation_key, "left")
             .select(c.c_custkey.alias("customer_id"), c.c_name.alias("name"),
                     c.c_mktsegment.alias("customer_segment"), g.country, g.region))
 
@@ -66,7 +69,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     c = customers(spark, sf_dir).select("customer_id", "region")
-    return (o.join(c, o.o_custkey == c.customer_id)
+    return (o.join(c, o.o_custkey == c.customer_id, "left")
             .select(o.o_orderkey.alias("order_id"), o.o_custkey.alias("customer_id"),
                     o.o_orderdate.alias("order_date"),
                     o.o_totalprice.cast(MONEY).alias("total_amount"),
@@ -130,14 +133,14 @@ star_geo AS (
 star_customers AS (
   SELECT c.c_custkey AS customer_id, c.c_name AS name, c.c_mktsegment AS customer_segment,
          g.country, g.region
-  FROM customer c JOIN star_geo g ON c.c_nationkey = g.nation_key),
+  FROM customer c LEFT JOIN star_geo g ON c.c_nationkey = g.nation_key),
 star_orders AS (
   SELECT o.o_orderkey AS order_id, o.o_custkey AS customer_id, o.o_orderdate AS order_date,
          CAST(o.o_totalprice AS DECIMAL(12,2)) AS total_amount,
          CASE o.o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending'
               WHEN 'P' THEN 'cancelled' END AS status,
          c.region
-  FROM orders o JOIN star_customers c ON o.o_custkey = c.customer_id),
+  FROM orders o LEFT JOIN star_customers c ON o.o_custkey = c.customer_id),
 star_orders_plain AS (
   SELECT o.o_orderkey AS order_id, o.o_custkey AS customer_id, o.o_orderdate AS order_date,
          CAST(o.o_totalprice AS DECIMAL(12,2)) AS total_amount,

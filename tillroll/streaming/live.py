@@ -3,9 +3,13 @@
 Each feed is an event-time tumbling-window aggregate with a watermark
 (1 hour by default) in append mode: a window is emitted once the watermark
 passes its end and its state is dropped, so state stays bounded however
-long the stream runs; events later than the watermark are ignored. The
-state is keyed by (window, key) and partitioned by it across the state
-store, with partial aggregation before the shuffle.
+long the stream runs; events later than the watermark are ignored, and nothing
+says how many. The state is keyed by (window, key) and partitioned by it across
+the state store, with partial aggregation before the shuffle.
+
+``run_counted`` computes the same windows without losing a row unseen: what
+comes after its window has closed is counted per window in a side table, so
+that rows emitted, late and still open add up to the rows read (``balance``).
 
 Event times in the tables are wall-clock TIMESTAMP_NTZ; watermarks need an
 instant, so ``event_time`` maps the wall clock to the instant with the same
@@ -15,10 +19,13 @@ UTC reading (pure arithmetic, independent of the session time zone) and
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillroll.session import path_is_file
+from tillroll.session import child_names, delete_path, path_is_file
 from tillroll.sources.testdata import MONEY, status_name
 
 WATERMARK = "1 hour"
@@ -69,6 +76,141 @@ def orders_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
                     status_name(o.o_orderstatus).alias("status"))
 
 
+@dataclass
+class Feed:
+    """A windowed feed: event time, window width, keys, and sums and counts
+    that add up over partial results; ``least`` keeps the closed windows whose
+    measure reaches a limit (alerts)."""
+    ts: str
+    width: str
+    keys: list[str]
+    sums: dict[str, str | None]   # measure -> summed column, None for a count of rows
+    rows: str                     # the measure that counts rows
+    only: tuple[str, str] | None = None   # column and the value it must have
+    least: tuple[str, int] | None = None
+
+
+def orders_feed(width: str = "1 day") -> Feed:
+    """T2 as a feed."""
+    return Feed("order_date", width, ["status"], {"orders": None, "revenue": "total_amount"}, "orders")
+
+
+def traffic_feed(width: str = "1 hour") -> Feed:
+    """T3 as a feed."""
+    return Feed("ts", width, ["event_type"], {"events": None, "value": "value"}, "events")
+
+
+def alerts_feed(width: str = "1 hour", limit: int = 10, event_type: str = "error") -> Feed:
+    """T4 as a feed."""
+    return Feed("ts", width, ["event_type"], {"events": None}, "events", ("event_type", event_type), ("events", limit))
+
+
+def _partial(batch: DataFrame, feed: Feed) -> DataFrame:
+    """A micro-batch per window and key. Rows of null event time belong to no window: their window is null."""
+    rows = batch if feed.only is None else batch.where(F.col(feed.only[0]) == feed.only[1])
+    w = F.window(event_time(F.col(feed.ts)), feed.width)
+    aggs = [(F.count(F.lit(1)) if c is None else F.sum(c)).alias(m) for m, c in feed.sums.items()]
+    timed = rows.where(F.col(feed.ts).isNotNull()).groupBy(w.alias("w"), *feed.keys).agg(*aggs, F.max(event_time(F.col(feed.ts))).alias("newest"))
+    untimed = rows.where(F.col(feed.ts).isNull()).groupBy(*feed.keys).agg(*aggs)
+    return (timed.select("w.start", "w.end", *feed.keys, *feed.sums, "newest")
+            .unionByName(untimed.select(F.lit(None).cast("timestamp").alias("start"), F.lit(None).cast("timestamp").alias("end"),
+                                        *feed.keys, *feed.sums, F.lit(None).cast("timestamp").alias("newest"))))
+
+
+def _batch_ids(spark: SparkSession, path: str) -> list[int]:
+    return [int(n[9:]) for n in child_names(spark, path) if n.startswith("batch_id=")]
+
+
+def _batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of all batch folders of a path."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names) if _batch_ids(spark, path) else spark.createDataFrame([], schema)
+
+
+def run_counted(stream: DataFrame, feed: Feed, root: str, delay: str = WATERMARK, states_kept: int = 2) -> None:
+    """Run a feed to completion over the available input, counting late rows.
+
+    Folders under ``root``, each written per micro-batch (a batch run again
+    replaces its own, so the results are exactly once):
+
+        closed/   windows that have closed, each written once
+        late/     rows per window that came after it had closed, or without event time
+        open/     partial sums of the windows still open, and the newest event time seen
+
+    A window closes when the newest event time of the batches so far, less the
+    delay, has passed its end. A row is late when its window had closed before
+    its batch. State is the open windows alone: one row per window and key.
+    """
+    spark = stream.sparkSession
+    part = _partial(spark.createDataFrame([], stream.schema), feed).schema  # the shape of the partial sums
+
+    def step(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        got = _partial(batch, feed)
+        last = max((b for b in _batch_ids(spark, f"{root}/open") if b < n), default=None)
+        held = spark.createDataFrame([], part) if last is None else spark.read.schema(part).parquet(f"{root}/open/batch_id={last}")
+        # the mark row: a window of no keys that carries the newest event time of all batches before
+        mark = held.where("start is null").agg(F.max("newest")).first()[0]
+        line = lambda t: F.lit(t).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        shut = F.col("end") <= line(mark) if mark is not None else F.lit(False)
+        late = got.where(F.col("end").isNull() | shut)
+        fresh = got.where(F.col("end").isNotNull() & ~shut)
+        sums = [F.sum(m).cast(part[m].dataType).alias(m) for m in feed.sums]
+        state = (held.where("start is not null").unionByName(fresh).groupBy("start", "end", *feed.keys)
+                 .agg(*sums, F.max("newest").alias("newest")))
+        at = lambda name: f"{root}/{name}/batch_id={n}"
+        late.drop("newest").write.mode("overwrite").parquet(at("late"))
+        state.write.mode("overwrite").parquet(at("merged"))
+        state = spark.read.schema(part).parquet(at("merged"))
+        newest = state.agg(F.max("newest")).first()[0]
+        newest = max([t for t in (mark, newest) if t is not None], default=None)
+        done = F.col("end") <= line(newest) if newest is not None else F.lit(False)
+        state.where(done).drop("newest").write.mode("overwrite").parquet(at("closed"))
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in part.fields if f.name != "newest"]
+        marked = spark.range(1).select(*empty, F.lit(newest).cast("timestamp").alias("newest"))
+        # written last: the next batch starts from it
+        state.where(~done).unionByName(marked).write.mode("overwrite").parquet(at("open"))
+        delete_path(spark, at("merged"))
+        for b in _batch_ids(spark, f"{root}/open"):
+            if b <= n - states_kept:
+                delete_path(spark, f"{root}/open/batch_id={b}")
+
+    (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def _shape(stream: DataFrame, feed: Feed) -> T.StructType:
+    spark = stream.sparkSession
+    return _partial(spark.createDataFrame([], stream.schema), feed).drop("newest").schema
+
+
+def _named(df: DataFrame, feed: Feed) -> DataFrame:
+    return df.select(wall_clock(F.col("start")).alias("window_start"), wall_clock(F.col("end")).alias("window_end"),
+                     *feed.keys, *feed.sums)
+
+
+def closed_windows(stream: DataFrame, feed: Feed, root: str) -> DataFrame:
+    """The windows that ``run_counted`` has closed; of an alert feed those at or over the limit."""
+    df = _named(_batches(stream.sparkSession, f"{root}/closed", _shape(stream, feed)), feed)
+    return df if feed.least is None else df.where(F.col(feed.least[0]) >= feed.least[1])
+
+
+def late_rows(stream: DataFrame, feed: Feed, root: str) -> DataFrame:
+    """Rows that came too late, per window and key (null window: no event time)."""
+    late = _batches(stream.sparkSession, f"{root}/late", _shape(stream, feed))
+    return _named(late.groupBy("start", "end", *feed.keys).agg(*[F.sum(m).alias(m) for m in feed.sums]), feed)
+
+
+def balance(stream: DataFrame, feed: Feed, root: str) -> DataFrame:
+    """One row: rows in closed windows, rows late, rows in open windows. Their sum is the rows read."""
+    spark, shape = stream.sparkSession, _shape(stream, feed)
+    last = max(_batch_ids(spark, f"{root}/open"), default=None)
+    open_now = (spark.createDataFrame([], shape) if last is None
+                else spark.read.schema(shape).parquet(f"{root}/open/batch_id={last}").where("start is not null"))
+    parts = {"closed": _batches(spark, f"{root}/closed", shape), "late": _batches(spark, f"{root}/late", shape), "open": open_now}
+    sums = [df.agg(F.coalesce(F.sum(feed.rows), F.lit(0)).alias(n)) for n, df in parts.items()]
+    return sums[0].select("closed", sums[1].scalar().alias("late"), sums[2].scalar().alias("open"))
+
+
 def _windowed(stream: DataFrame, ts: str, width: str, keys: list[str], aggs: dict[str, Column],
               watermark: str) -> DataFrame:
     t = stream.withColumn("_et", event_time(F.col(ts))).withWatermark("_et", watermark)
