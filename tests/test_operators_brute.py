@@ -81,3 +81,45 @@ def test_dedupe_with_hot_key(spark):
         if k not in want or (ts, payload) > want[k]:
             want[k] = (ts, payload)
     assert got == want
+
+
+def test_distinct_orders_of_repeated_ids_per_level(spark):
+    """An order on several days, months and years, in copies, counts once per group at every level."""
+    import datetime as dt
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tillroll.plans import drilldown, metrics
+    rng = random.Random(4)
+    rows = [(rng.randrange(12), dt.datetime(2023, 1, 1) + dt.timedelta(days=rng.randrange(900)), "completed", 1.0) for _ in range(150)]
+    rows += rows[:30] + [(None, dt.datetime(2023, 5, 5), "completed", 2.0), (3, None, "completed", 4.0), (99, dt.datetime(2023, 1, 1), "pending", 9.0)]
+    df = spark.createDataFrame(rows, "order_id int, order_date timestamp_ntz, status string, total_amount double")
+    done = [(i, t and t.date(), a) for i, t, s, a in rows if s == "completed"]
+
+    def want(of):
+        out = {}
+        for i, d, a in done:
+            g = out.setdefault(of(d), [set(), 0.0])
+            g[0] |= {i} - {None}
+            g[1] += a
+        return {k: (len(s), a) for k, (s, a) in out.items()}
+    got = {(r["level"], r["year"], r["quarter"], r["month"], r["day"]): (r["orders"], r["revenue"]) for r in drilldown.time_drilldown(df).collect()}
+    parts = lambda d: (d and d.year, d and (d.month + 2) // 3, d and d.month, d)
+    for level, n in ((15, 0), (7, 1), (3, 2), (1, 3), (0, 4)):
+        here = {k[1:]: v for k, v in got.items() if k[0] == level}
+        assert here == want(lambda d: (*parts(d)[:n], *[None] * (4 - n))), level
+    week = {r["period"]: (r["orders"], r["revenue"]) for r in metrics.periodic_sales(df).where("grain = 'week'").collect()}
+    assert week == want(lambda d: d and d - dt.timedelta(days=d.weekday()))
+    geo = df.withColumn("region", F.concat(F.lit("r"), F.day("order_date") % 3)).withColumn("country", F.concat("region", F.day("order_date") % 5))
+    flat = [tuple(r) for r in geo.where("status = 'completed'").select("order_id", "region", "country").collect()]
+    for r in drilldown.geo_drilldown(geo).collect():
+        met = {i for i, a, b in flat if i is not None and (r["level"] == 3 or (a == r["region"] and (r["level"] == 1 or b == r["country"])))}
+        assert r["orders"] == len(met), r
+
+
+def test_left_orders_keeps_everyone(spark):
+    from tillroll.plans.sales import customers_left_orders
+    c = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "customer_id int, customer_segment string")
+    o = spark.createDataFrame([(10, 1), (11, 1), (12, 9), (13, None)], "order_id int, customer_id int")
+    assert sorted(map(str, customers_left_orders(c, o).collect())) == sorted(map(str, c.join(o, "customer_id", "left").collect()))

@@ -9,6 +9,7 @@ from tillroll.functions.columns import completed, line_revenue
 from tillroll.operators import filters as FL, ranking
 from tillroll.plans import metrics as M
 from tillroll.plans.sales import completed_lines
+from tillroll.session import shared_dir
 from tillroll.sources import testdata as td
 
 AS_OF_SQL = "(SELECT MAX(CAST(order_date AS DATE)) FROM star_orders_plain)"
@@ -147,7 +148,9 @@ GRANTS = [("analyst_emea", "EUROPE"), ("analyst_emea", "MIDDLE EAST"), ("analyst
 
 
 def _f10(spark, sf):
-    grants = spark.createDataFrame(GRANTS, "user string, region string")
+    path = shared_dir(spark, "grants")   # a stored table: its size is known, so the plan can broadcast it while it is small
+    spark.createDataFrame(GRANTS, "user string, region string").coalesce(1).write.parquet(path)
+    grants = spark.read.parquet(path)
     return out(FL.rows_for(td.orders(spark, sf), grants, "analyst_emea")
                .select("order_id", "region", "total_amount"))
 

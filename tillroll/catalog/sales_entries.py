@@ -135,9 +135,8 @@ FROM star_items oi JOIN star_orders_plain o ON oi.order_id = o.order_id""")
 
 def _j3(spark, sf):
     """J3 row level: customers LEFT JOIN orders."""
-    return (td.customers(spark, sf).select("customer_id", "customer_segment")
-            .join(td.orders_plain(spark, sf).select("customer_id", "order_id", "status"),
-                  "customer_id", "left"))
+    return sales.customers_left_orders(td.customers(spark, sf).select("customer_id", "customer_segment"),
+                                       td.orders_plain(spark, sf).select("customer_id", "order_id", "status"))
 
 
 J3_SQL = oracle("""

@@ -21,6 +21,7 @@ from tillroll.functions.columns import (
 )
 from tillroll.operators.joins import baskets, co_occurrence
 from tillroll.operators.ranking import ntile_global
+from tillroll.plans.drilldown import distinct_per_level
 
 
 def latest_order_day(orders: DataFrame) -> Column:
@@ -222,16 +223,16 @@ GRAINS = ("day", "week", "month")
 def periodic_sales(orders: DataFrame, grains=GRAINS) -> DataFrame:
     """C20: completed orders and revenue per day, ISO week and month.
 
-    One pass over the orders: each row is expanded to its three periods and
-    aggregated once (partial aggregation before the shuffle).
+    The orders are shuffled once, by order; the periods are added up from one
+    row per day.
     """
-    d = F.to_date("order_date")
-    periods = F.array(*[F.struct(F.lit(g).alias("grain"), F.date_trunc(g, d).cast("date").alias("period"))
-                        for g in grains])
-    return (completed(orders)
-            .select("order_id", "total_amount", F.explode(periods).alias("p"))
-            .groupBy("p.grain", "p.period")
-            .agg(F.countDistinct("order_id").alias("orders"), F.sum("total_amount").alias("revenue")))
+    of = {f"_{g}": lambda c, g=g: F.date_trunc(g, c["day"]).cast("date") for g in grains}
+    days = distinct_per_level(completed(orders).select("order_id", F.to_date("order_date").alias("day"), "total_amount"),
+                              "order_id", ["day"], of, ["total_amount"])
+    periods = F.array(*[F.struct(F.lit(g).alias("grain"), F.date_trunc(g, F.col("day")).cast("date").alias("period"),
+                                 F.col(f"_{g}").alias("n")) for g in grains])
+    return (days.select("total_amount", F.inline(periods)).groupBy("grain", "period")
+            .agg(F.sum("n").alias("orders"), F.sum("total_amount").alias("revenue")))
 
 
 def cross_sell(items: DataFrame, anchors: DataFrame) -> DataFrame:

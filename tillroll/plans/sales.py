@@ -55,6 +55,21 @@ def top_products(items: DataFrame, products: DataFrame, orders: DataFrame, n: in
             .limit(n))
 
 
+def customers_left_orders(customers: DataFrame, orders: DataFrame) -> DataFrame:
+    """Customers LEFT JOIN orders, every column of both, built skew-safe.
+
+    An outer join cannot split its right side, so all orders of one customer
+    would meet in one task. Here the orders are the left side of an inner join,
+    which AQE splits where one customer holds much of the table, and the
+    customers without orders come from an anti join against the distinct
+    customer ids (partial aggregation first).
+    """
+    rest = [c for c in orders.columns if c != "customer_id"]
+    matched = orders.join(customers, "customer_id").select(*customers.columns, *rest)
+    lonely = customers.join(orders.select("customer_id").distinct(), "customer_id", "left_anti")
+    return matched.unionByName(lonely.select(*customers.columns, *[F.lit(None).cast(orders.schema[c].dataType).alias(c) for c in rest]))
+
+
 def segment_rows(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """The rows of ``customers LEFT JOIN orders WHERE status = 'completed' OR
     status IS NULL``, built skew-safe.
