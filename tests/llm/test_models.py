@@ -149,3 +149,23 @@ def test_pipeline_edge_rows(spark):
         assert got.columns == docs.columns or name == corpus_pipeline.STAGES[-1][0]
         assert got.count() <= len(U.EDGE)
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_long_texts_without_spaces(spark):
+    """A text of 5 MB without a space, and one of 2 MB of one letter, encode whole and come back."""
+    import sentencepiece
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("etaoinshrdlué") for _ in range(400_000)), "x" * 2_000_000]
+    texts.append(texts[0] * 12)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pieces.report(docs).collect()}
+    assert all(got[i]["round_trip"] for i in range(3))
+    assert got[0]["ids"] == lib.encode(texts[0]) and got[0]["n_ids"] == len(got[0]["ids"])
+
+
+def test_output_names_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a", "x")], "doc_id long, text string, IDS string")
+    with pytest.raises(ValueError):
+        pieces.encode(docs)
+    assert pieces.encode(docs, columns=["doc_id"]).count() == 1

@@ -1,8 +1,8 @@
 """Helpers shared by the operators: table access and Arrow text buffers.
 
-Every operator selects the columns it needs from its input by name before
-anything else, so extra columns (whatever they are called) never clash with
-the ones it adds.
+The reports select the columns they need from their input by name before
+anything else, so extra columns never clash with theirs. Where an operator
+hands input columns on beside its own, ``refuse`` raises on a clash by name.
 """
 
 from __future__ import annotations
@@ -48,6 +48,13 @@ def schema(*fields: StructField) -> StructType:
     return StructType(list(fields))
 
 
+def refuse(columns: list[str], added: list[str]) -> None:
+    """Raise where a column handed on has the name of one that is added (Spark ignores case)."""
+    clash = {c.lower() for c in columns} & {c.lower() for c in added}
+    if clash:
+        raise ValueError(f"input columns {sorted(clash)} have names of output columns: rename them or leave them out of columns")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared scratch folder and read it back.
 

@@ -25,6 +25,7 @@ import heapq
 import math
 import re
 import struct
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -34,13 +35,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.llm import tokens as K
-from tillroll.llm.common import field, schema, slices
+from tillroll.llm.common import field, refuse, schema, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHED_SEGMENTS = 200_000  # per worker process and generation
+CACHED_BYTES = 48 << 20  # paths kept per worker process and generation, with the objects around them
 CACHED_LENGTH = 48
+LOCKSTEP = 40_000  # segments composed together
+TEXT_BYTES = 1 << 20  # text handled at once
 
 
 def _fields(buf: bytes):
@@ -96,6 +99,7 @@ class Transducer:
         self.cut = None if inner else re.compile(f"{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+" + (f"|[{stop}]" if alone else ""))
         self.cache = _Cache(self)
         self.lattice: Lattice | None = None
+        self.spelling: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self.pairs: dict[tuple[int, int], bool] = {}
         self.made: dict[int, tuple[str, str] | None] = {}
         ranks = {s: r for r, s in enumerate(sorted(set(self.score), reverse=True))}
@@ -180,7 +184,7 @@ class Transducer:
                 got = self.merged(x + y) == [x, y]
             else:
                 got = self._seam(x, y)
-            if len(self.pairs) >= 1_000_000:
+            if len(self.pairs) >= 200_000:
                 self.pairs.clear()
             self.pairs[a, b] = got
         return got
@@ -203,18 +207,18 @@ class Transducer:
 
     # -- composition and shortest path -----------------------------------------
 
-    def shortest(self, s: str) -> tuple[int, ...]:
-        """Output labels of the shortest path of a normalised string.
+    def shortest(self, s: str) -> bytes:
+        """Output labels (as int32 bytes) of the shortest path of a normalised string.
 
         The lattice's states are the positions, with the last piece where the
         acceptor of neighbours needs it. An arc outside the lexicon is one
         character, by byte fallback or as an unknown.
         """
-        last, start = (self._bpe if self.bpe else self._unigram)(s)
-        out: list[int] = []
+        last, width = (self._bpe if self.bpe else self._unigram)(s)
+        out = array("i")
         i = len(s)
         while i:
-            j = start[i]
+            j = i - width[i]
             if last[i] >= 0:
                 out.append(last[i])
             elif self.bytes:
@@ -223,11 +227,13 @@ class Transducer:
                 out.append(self.unk)
             i = j
         out.reverse()
-        return tuple(out)
+        return out.tobytes()
 
-    def _unigram(self, s: str) -> tuple[list[int], list[int]]:
+    def _unigram(self, s: str) -> tuple[array, array]:
+        """Last piece and its length at every position."""
         n = len(s)
-        dist, last, start = [0.0] + [math.inf] * n, [-1] * (n + 1), [0] * (n + 1)
+        dist, last, width = array("d", [math.inf]) * (n + 1), array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1)
+        dist[0] = 0.0
         for i in range(1, n + 1):
             for j in range(max(0, i - self.longest), i):
                 k = self.arcs.get(s[j:i], -2)
@@ -235,13 +241,13 @@ class Transducer:
                     continue
                 w = dist[j] + (self.unk_weight if k < 0 else -self.score[k])
                 if w < dist[i]:
-                    dist[i], last[i], start[i] = w, k, j
-        return last, start
+                    dist[i], last[i], width[i] = w, k, i - j
+        return last, width
 
-    def _bpe(self, s: str) -> tuple[list[int], list[int]]:
+    def _bpe(self, s: str) -> tuple[array, array]:
         """Weights are 0 or infinite and a prefix has one encoding: each
         position keeps the one last piece that a finite path can have there."""
-        last, start = [-1] * (len(s) + 1), [0] * (len(s) + 1)
+        last, width = array("i", [-1]) * (len(s) + 1), array("i", [0]) * (len(s) + 1)
         arcs, lengths, pairs, joins = self.arcs.get, self.lengths.get, self.pairs.get, self.joins
         for i in range(1, len(s) + 1):
             for size in lengths(s[i - 2:i], ()) if i > 1 else ():
@@ -256,32 +262,67 @@ class Transducer:
                     ok = pairs((before, k))
                     if not (joins(before, k) if ok is None else ok):
                         continue
-                last[i], start[i] = k, j
+                last[i], width[i] = k, size
                 break
             else:
-                last[i], start[i] = arcs(s[i - 1], -2), i - 1
-        return last, start
+                last[i], width[i] = arcs(s[i - 1], -2), 1
+        return last, width
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[list[int] | None]:
-        """Ids of many texts; the segments none of them had before are composed together."""
+        """Ids of many texts."""
+        return [None if p is None else np.frombuffer(p, np.int32).tolist() for p in self.paths(texts)]
+
+    def paths(self, texts: list[str | None]) -> list[bytes | None]:
+        """Ids (as int32 bytes) of many texts; the segments none of them had before are composed together."""
         normal = [None if t is None else self.normalise(t) for t in texts]
         parts = [None if s is None else [s] if self.cut is None else self.cut.findall(s) for s in normal]
         if self.bpe and self.cut is not None:
-            fresh = set().union(*(set(p) for p in parts if p)) - self.cache.keys()
+            self.cache.turn()
+            fresh = set().union(*(p for p in parts if p))
+            fresh.difference_update(self.cache)
+            self.cache.recall(fresh)
             fresh = [s for s in fresh if len(s) <= CACHED_LENGTH and SPACE * 2 not in s]
             if len(fresh) >= 64:
                 self.lattice = self.lattice or Lattice(self)
-                self.cache.learn(*self.lattice.shortest_all(fresh))
+                for k in range(0, len(fresh), LOCKSTEP):
+                    self.cache.learn(*self.lattice.shortest_all(fresh[k:k + LOCKSTEP]))
+        else:
+            self.cache.turn()
         get = self.cache.__getitem__
-        return [None if p is None else list(chain.from_iterable(map(get, p))) for p in parts]
+        return [None if p is None else b"".join(map(get, p)) for p in parts]
+
+    def surfaces(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids after one another, and the offset of every id (the transducer run backwards)."""
+        if self.spelling is None:
+            size = np.array([len(x) for x in self.surface])
+            self.spelling = np.frombuffer(b"".join(self.surface), np.uint8), np.cumsum(size) - size, size
+        flat, begin, size = self.spelling
+        each = size[ids]
+        off = np.concatenate([[0], np.cumsum(each)])
+        return flat[np.repeat(begin[ids] - off[:-1], each) + np.arange(off[-1])], off
+
+    def decode_all(self, ids: np.ndarray, cut: np.ndarray) -> list[bytes]:
+        """UTF-8 texts of many sequences, one after another in ``ids`` and cut at ``cut``."""
+        raw, off = self.surfaces(ids)
+        raw, off = raw.tobytes(), off[cut].tolist()
+        return [self._text(raw[a:b]) for a, b in zip(off, off[1:])]
+
+    def _text(self, raw: bytes) -> bytes:
+        if self.dummy_prefix and raw.startswith(b" "):
+            raw = raw[1:]
+        try:
+            raw.decode()
+            return raw
+        except UnicodeDecodeError:
+            return raw.decode("utf-8", "replace").encode()
 
     def decode(self, ids) -> str:
-        """The text of a sequence of ids (the transducer run backwards)."""
-        raw = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return raw[1:] if self.dummy_prefix and raw.startswith(" ") else raw
+        """The text of a sequence of ids."""
+        ids = np.asarray(ids, np.int64)
+        return self.decode_all(ids, np.array([0, len(ids)]))[0].decode()
 
 
 class Lattice:
@@ -320,6 +361,13 @@ class Lattice:
         off = np.cumsum(size) - size
         self.arcs = _Table(self._hash(self._sums(point), off, off + size), np.arange(len(self.names)))
         self.longest = int(size[:len(pieces)].max())
+        # lengths of the arcs that end in two given characters, as a set of bits
+        ends: dict[int, int] = {}
+        for p in pieces:
+            if len(p) > 1:
+                key = ord(p[-2]) << 21 | ord(p[-1])
+                ends[key] = ends.get(key, 0) | 1 << min(len(p), 62)
+        self.ends = _Table(np.fromiter(ends, np.uint64, len(ends)), np.fromiter(ends.values(), np.int64, len(ends)))
 
     @staticmethod
     def _sums(point: np.ndarray) -> np.ndarray:
@@ -348,7 +396,7 @@ class Lattice:
             x, y = np.where(undo_x, self.right[x], x), np.where(undo_x, y, self.left[y])
         return ok
 
-    def shortest_all(self, segments: list[str]) -> tuple[list[str], list[tuple[int, ...]]]:
+    def shortest_all(self, segments: list[str]) -> tuple[list[str], list[bytes]]:
         """The segments of known characters, and their paths."""
         segments = sorted((s for s in segments if self.known.issuperset(s)), key=len)
         if not segments:
@@ -359,9 +407,11 @@ class Lattice:
         sums = self._sums(point)
         # Arcs by their length, sorted by where in the segment they end.
         where = np.arange(len(point)) - np.repeat(begin, size) + 1
+        pair = (point.astype(np.uint64) << np.uint64(21))[:-1] | point.astype(np.uint64)[1:]
+        fits = np.concatenate([[0], np.maximum(self.ends.get(pair), 0)]) | 2
         arcs = []
         for n in range(1, min(self.longest, int(size[-1])) + 1):
-            e = np.flatnonzero(where >= n) + 1
+            e = np.flatnonzero((where >= n) & (fits >> min(n, 62) & 1 == 1)) + 1
             k = self.arcs.get(self._hash(sums, e - n, e))
             hit = (k >= 0) & (self.ids[k] >= 0)
             e, k = e[hit], k[hit]
@@ -394,8 +444,9 @@ class Lattice:
             place, owner = place[on], owner[on]
         ids, home = np.concatenate(ids[::-1]), np.concatenate(home[::-1])
         order = np.argsort(home, kind="stable")
-        flat, cut = ids[order].tolist(), np.searchsorted(home[order], np.arange(len(size) + 1)).tolist()
-        return segments, [tuple(flat[a:b]) for a, b in zip(cut, cut[1:])]
+        flat = ids[order].astype(np.int32).tobytes()
+        cut = (4 * np.searchsorted(home[order], np.arange(len(size) + 1))).tolist()
+        return segments, [flat[a:b] for a, b in zip(cut, cut[1:])]
 
 
 class _Table:
@@ -436,25 +487,34 @@ class _Table:
 
 
 class _Cache(dict):
-    """Shortest paths of the segments met before, in two generations."""
+    """Shortest paths of the segments met before, in two generations of bounded bytes."""
 
     def __init__(self, t: Transducer):
         super().__init__()
-        self.t, self.old = t, {}
+        self.t, self.old, self.held = t, {}, 0
 
-    def learn(self, segments: list[str], paths: list[tuple[int, ...]]) -> None:
-        if len(self) >= CACHED_SEGMENTS:
+    def turn(self) -> None:
+        """Between texts: the younger generation becomes the older one when it has grown past its bound."""
+        if self.held > CACHED_BYTES:
             self.old = dict(self)
             self.clear()
+            self.held = 0
+
+    def learn(self, segments: list[str], paths: list[bytes]) -> None:
+        self.held += 2 * sum(map(len, segments)) + sum(map(len, paths)) + 220 * len(segments)
         self.update(zip(segments, paths))
 
-    def __missing__(self, s: str) -> tuple[int, ...]:
+    def recall(self, segments: set[str]) -> None:
+        """Take those of the segments that the older generation knows into the younger, and out of the set."""
+        known = segments & self.old.keys()
+        if known:
+            self.learn(list(known), [self.old[s] for s in known])
+            segments -= known
+
+    def __missing__(self, s: str) -> bytes:
         got = self.old.get(s) or self.t.shortest(s)
         if len(s) <= CACHED_LENGTH:
-            if len(self) >= CACHED_SEGMENTS:
-                self.old = dict(self)
-                self.clear()
-            self[s] = got
+            self.learn([s], [got])
         return got
 
 
@@ -468,36 +528,46 @@ def transducer(blob: bytes) -> Transducer:
     return _LOADED[key]
 
 
+def _blob(model: str) -> bytes:
+    with open(model, "rb") as f:  # a vocabulary file of the installation, read on the driver
+        return f.read()
+
+
+def _encoded(t: Transducer, col: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Ids of a text column after one another, the texts' offsets among them, and the list array."""
+    lists = t.paths(col.to_pylist())
+    off = np.concatenate([[0], np.cumsum([len(x) // 4 if x else 0 for x in lists])]).astype(np.int32)
+    flat = np.frombuffer(b"".join(x for x in lists if x), np.int32)
+    return flat, off, pa.ListArray.from_arrays(pa.array(off), pa.array(flat), mask=pa.array([x is None for x in lists], pa.bool_()))
+
+
 def encode(docs: DataFrame, model: str = MODEL, columns: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """``columns`` of docs (default: all) plus ``ids``, array of int.
 
     Null texts have null ids, empty ones an empty array; whole texts are
-    encoded, one row per row.
+    encoded, one row per row. A column already called ``ids`` has to be renamed
+    or left out of ``columns`` (ValueError).
     """
-    with open(model, "rb") as f:  # a vocabulary file of the installation, read on the driver
-        blob = f.read()
+    blob = _blob(model)
     keep = columns or docs.columns
+    refuse(keep, ["ids"])
     names = list(dict.fromkeys([*keep, text_col]))
     out = schema(*[field(docs, c) for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def run(batches):
         t = transducer(blob)
-        for batch in slices(batches, text_col):
-            lists = t.encode_all(batch.column(text_col).to_pylist())
-            off = np.cumsum([0] + [len(x or ()) for x in lists], dtype=np.int32)
-            flat = np.fromiter(chain.from_iterable(x for x in lists if x), np.int32, int(off[-1]))
-            null = pa.array([x is None for x in lists], pa.bool_())
-            ids = pa.ListArray.from_arrays(pa.array(off), pa.array(flat), mask=null)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [ids], names=out.names)
+        for batch in slices(batches, text_col, TEXT_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [_encoded(t, batch.column(text_col))[2]], names=out.names)
 
     return docs.select(*names).mapInArrow(run, out)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, columns: list[str] | None = None, ids_col: str = "ids") -> DataFrame:
-    """``columns`` (default: all) plus ``decoded``; null ids give null."""
-    with open(model, "rb") as f:
-        blob = f.read()
+    """``columns`` (default: all) plus ``decoded``; null ids give null. A column
+    already called ``decoded`` has to be renamed or left out (ValueError)."""
+    blob = _blob(model)
     keep = columns or encoded.columns
+    refuse(keep, ["decoded"])
     names = list(dict.fromkeys([*keep, ids_col]))
     out = schema(*[field(encoded, c) for c in keep], T.StructField("decoded", T.StringType()))
 
@@ -507,8 +577,10 @@ def decode(encoded: DataFrame, model: str = MODEL, columns: list[str] | None = N
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 col = part.column(ids_col)
-                off, flat, null = col.offsets.to_pylist(), col.values, col.is_null().to_pylist()
-                texts = [None if z else t.decode(flat.slice(a, b - a).to_pylist()) for a, b, z in zip(off, off[1:], null)]
+                lists = [x or [] for x in col.to_pylist()]
+                cut = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+                texts = t.decode_all(np.fromiter(chain.from_iterable(lists), np.int64, int(cut[-1])), cut)
+                texts = [x.decode() if ok else None for x, ok in zip(texts, col.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(texts, pa.string())], names=out.names)
 
     return encoded.select(*names).mapInArrow(run, out)
@@ -518,7 +590,20 @@ def report(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """Ids of every whole text, and whether decoding them gives it back.
 
     The space symbol itself decodes to a space; ``round_trip`` allows for it.
+    Both directions run in one pass, so a task has one Python process.
     """
-    e = decode(encode(docs, model, ["doc_id", "text"]), model)
-    return e.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
-                    F.col("decoded").eqNullSafe(F.replace("text", F.lit(SPACE), F.lit(" "))).alias("round_trip"))
+    blob = _blob(model)
+    out = schema(field(docs, "doc_id"), T.StructField("n_ids", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
+                 T.StructField("round_trip", T.BooleanType()))
+    space = SPACE.encode()
+
+    def run(batches):
+        t = transducer(blob)
+        for batch in slices(batches, "text", TEXT_BYTES):
+            flat, off, ids = _encoded(t, batch.column("text"))
+            texts = batch.column("text").cast(pa.large_binary())
+            back = [x.as_py() is None or x.as_py().replace(space, b" ") == d for x, d in zip(texts, t.decode_all(flat, off))]
+            n = pa.array(np.diff(off).astype(np.int64), mask=np.asarray(ids.is_null()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, ids, pa.array(back, pa.bool_())], names=out.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, out)
