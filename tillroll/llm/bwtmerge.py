@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from tillroll.llm import tokens as K
 from tillroll.llm import windows as W
-from tillroll.llm.common import slices, text_buffer, written
+from tillroll.llm.common import discard, handed_on, slices, text_buffer, written
 from tillroll.llm.fmindex import RESULT, runs_of
 
 STEP = 8  # bytes in a symbol, settled per pass
@@ -147,11 +147,12 @@ def repeated(docs: DataFrame, units: W.Units, text_col: str) -> DataFrame:
     """``(key, hits)``: per text the windows [s, e) that start anywhere else too."""
     bits = W.repeated_anchors(docs, units, text_col)
     rows = W.routed(docs, units, bits, "_key", None, text_col)
-    copies, whole, hot = W.distinct_segments(rows, units, BUCKET)
+    copies, whole, hot, spent = W.distinct_segments(docs, rows, units, text_col, BUCKET)
     same = copies.select("anchor", "seg", F.array(F.struct(
         F.lit(0).cast("long").alias("s"), F.col("windows").alias("e"), F.lit(0).cast("long").alias("v"))).alias("runs"))
     met = W.compared(whole, hot, units, lambda t: runs_of(bucket(t, units.size)), RESULT)
     out = written(same.unionByName(met), "runs")
+    discard(*spent)
     places = rows.select("key", "start", "anchor", "seg").distinct()  # once for all copies of a text
     hit = (places.join(out, ["anchor", "seg"])
            .select("key", F.expr("transform(runs, r -> struct(start + r.s as s, start + r.e as e))").alias("r")))
@@ -164,7 +165,8 @@ def dedupe(docs: DataFrame, units: W.Units = BYTES, columns: list[str] | None =
     Every byte covered by a string of ``units.size`` bytes that also starts
     anywhere else goes; spans are the maximal removed runs, [start, end).
     Null texts count as empty; texts shorter than a window lose nothing;
-    repeated rows repeat each other. One row per row.
+    repeated rows repeat each other. One row per row. A column of docs with the
+    name of an added one is handed on as ``in_<name>``.
     """
     keep = columns or docs.columns
     src = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
@@ -173,9 +175,11 @@ def dedupe(docs: DataFrame, units: W.Units = BYTES, columns: list[str] | None =
     both = src.join(hits.withColumnRenamed("key", "_key"), "_key", "left")
     names = [f"_c{i}" for i in range(len(keep))]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    out = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep] + [
+    added = [
         T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span),
-        T.StructField("kept_sha256", T.StringType())])
+        T.StructField("kept_sha256", T.StringType())]
+    as_ = handed_on(keep, [f.name for f in added])
+    out = T.StructType([T.StructField(a, docs.schema[c].dataType) for c, a in zip(keep, as_)] + added)
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):

@@ -2,13 +2,15 @@
 
 The reports select the columns they need from their input by name before
 anything else, so extra columns never clash with theirs. Where an operator
-hands input columns on beside its own, ``refuse`` raises on a clash by name.
+hands input columns on beside its own, ``handed_on`` renames those whose name
+it adds itself.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,23 +50,48 @@ def schema(*fields: StructField) -> StructType:
     return StructType(list(fields))
 
 
-def refuse(columns: list[str], added: list[str]) -> None:
-    """Raise where a column handed on has the name of one that is added (Spark ignores case)."""
-    clash = {c.lower() for c in columns} & {c.lower() for c in added}
-    if clash:
-        raise ValueError(f"input columns {sorted(clash)} have names of output columns: rename them or leave them out of columns")
+def handed_on(columns: list[str], added: list[str]) -> list[str]:
+    """The names under which input columns are handed on: ``in_<name>`` where the
+    operator adds a column of that name (Spark ignores case), else unchanged."""
+    own, taken = {c.lower() for c in added}, {c.lower() for c in [*columns, *added]}
+    out = []
+    for c in columns:
+        name = c
+        while name.lower() in own or (name != c and name.lower() in taken):
+            name = f"in_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()  # of the written frames
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared scratch folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read of the files, not a
-    recomputation of everything before.
+    recomputation of everything before. Spark removes the shuffle files of a
+    finished step when the driver's garbage collector meets them, which by
+    itself may take hours; it is asked to here, once a step.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark, name)}/{uuid.uuid4().hex[:8]}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    back = spark.read.schema(df.schema).parquet(path)
+    _PATHS[back] = path
+    return back
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the files of written frames that nothing reads any more."""
+    for df in frames:
+        path = _PATHS.pop(df, None) if df is not None else None
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tillroll.llm import tokens as K
 from tillroll.llm import windows as W
-from tillroll.llm.common import slices, text_buffer, written
+from tillroll.llm.common import discard, handed_on, slices, text_buffer, written
 
 WORDS = W.Units(size=13, gram=4, words=True, inside=False)
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: no document is larger
@@ -154,11 +154,12 @@ def repeated(docs: DataFrame, units: W.Units, id_col: str, text_col: str) -> Dat
     """
     bits = W.repeated_anchors(docs, units, text_col)
     rows = W.routed(docs, units, bits, "_key", id_col, text_col)
-    copies, whole, hot = W.distinct_segments(rows, units, W.BUCKET_BYTES)
+    copies, whole, hot, spent = W.distinct_segments(docs, rows, units, text_col, W.BUCKET_BYTES)
     same = copies.select("anchor", "seg", F.array(F.struct(
         F.lit(0).cast("long").alias("s"), F.col("windows").alias("e"), F.coalesce("least", F.lit(NO_ID)).alias("v"))).alias("runs"))
     met = W.compared(whole, hot, units, lambda t: runs_of(shard(t, units.size)), RESULT)
     out = written(same.unionByName(met), "runs")
+    discard(*spent)
     places = rows.select("key", "id", "start", "anchor", "seg").distinct()  # once for all copies of a row
     hit = (places.join(out, ["anchor", "seg"])
            .select("key", "start", F.filter("runs", lambda r: r["v"] < F.coalesce("id", F.lit(NO_ID))).alias("runs")).where("size(runs) > 0")
@@ -172,7 +173,8 @@ def dedupe(docs: DataFrame, units: W.Units = WORDS, columns: list[str] | None =
     A word goes if a window of ``units.size`` words that covers it also starts
     in a document with a smaller id. Rows with one id are not smaller than
     each other; a null id is larger than any. Null, empty and short texts lose
-    nothing; kept words are joined by single spaces. One row per row.
+    nothing; kept words are joined by single spaces. One row per row. A column
+    of docs with the name of an added one is handed on as ``in_<name>``.
     """
     keep = columns or docs.columns
     src = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)], F.col(id_col).cast("long").alias("_id"),
@@ -180,9 +182,11 @@ def dedupe(docs: DataFrame, units: W.Units = WORDS, columns: list[str] | None =
     hits = repeated(src.select("_key", "_id", "_text"), units, "_id", "_text")
     both = src.join(hits.withColumnRenamed("key", "_key"), "_key", "left")
     names = [f"_c{i}" for i in range(len(keep))]
-    out = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep] + [
+    added = [
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()),
-        T.StructField("kept_sha256", T.StringType())])
+        T.StructField("kept_sha256", T.StringType())]
+    as_ = handed_on(keep, [f.name for f in added])
+    out = T.StructType([T.StructField(a, docs.schema[c].dataType) for c, a in zip(keep, as_)] + added)
 
     def run(batches):
         for batch in slices(batches, "_text"):

@@ -21,12 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.llm import tokens as K
-from tillroll.llm.common import count_rows, slices, text_buffer, written
+from tillroll.llm.common import count_rows, discard, slices, text_buffer, written
 
 LEAST_BITS, MOST_BITS = 20, 30  # a bitmap has between 128 kB and 128 MB
 MAX_RUN = 4  # a segment holds at most so many times ``size`` windows
@@ -133,7 +133,10 @@ def repeated_anchors(docs: DataFrame, u: Units, text_col: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.minimum(np.bincount(c, t, len(v)), 2).astype(np.int64))], names=out.names)
 
     twice = docs.select(text_col).mapInArrow(run, out).groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1")
-    return bitmap(written(twice, "twice"), "anchor")
+    twice = written(twice, "twice")
+    bits = bitmap(twice, "anchor")
+    discard(twice)
+    return bits
 
 
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
@@ -157,35 +160,54 @@ def may_have(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def routed(docs: DataFrame, u: Units, bits: np.ndarray, key: str, ident: str | None, text_col: str) -> DataFrame:
-    """Written segments that may hold repeats: (key, id, start, windows, anchor, times, seg, content)."""
+    """Written segments that may hold repeats, by their hashes: (key, id, start, windows, anchor, times, seg)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bits.tobytes())  # bounded size
-    out = T.StructType([T.StructField(c, LONG) for c in ("key", "id", "start", "windows", "anchor", "times", "seg")]
-                       + [T.StructField("content", T.BinaryType())])
+    out = T.StructType([T.StructField(c, LONG) for c in ("key", "id", "start", "windows", "anchor", "times", "seg")])
 
     def run(batches):
         seen = np.frombuffer(shared.value, np.uint8)
         for batch in slices(batches, text_col):
             s = segments(u, *text_buffer(batch.column(text_col)))
             pick = np.flatnonzero(may_have(seen, s["anchor"]))
-            unit = s["unit"].astype(np.uint64) if u.words else s["unit"]
-            content = [unit[a:z].tobytes() for a, z in zip(s["from"][pick].tolist(), s["to"][pick].tolist())]
             d = pa.array(s["doc"][pick])
             ids = batch.column("id").take(d) if ident else pa.nulls(len(pick), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(d), ids, *[pa.array(s[c][pick]) for c in ("start", "windows", "anchor", "times", "hash")],
-                 pa.array(content, pa.binary())], names=out.names)
+                [batch.column("key").take(d), ids, *[pa.array(s[c][pick]) for c in ("start", "windows", "anchor", "times", "hash")]],
+                names=out.names)
 
     src = docs.select(F.col(key).alias("key"), *([F.col(ident).cast("long").alias("id")] if ident else []), text_col)
     return written(src.mapInArrow(run, out), "segments")
 
 
-def distinct_segments(rows: DataFrame, u: Units, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Distinct segments: those whose anchor has one variant, and the rest in two parts.
+def contents(docs: DataFrame, u: Units, anchors: DataFrame, text_col: str) -> DataFrame:
+    """``(anchor, seg, content)`` of the segments of ``anchors`` (and of a few more), cut out of the texts anew; each once."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(anchors, "anchor").tobytes())  # bounded size
+    out = T.StructType([T.StructField("anchor", LONG), T.StructField("seg", LONG), T.StructField("content", T.BinaryType())])
+
+    def run(batches):
+        seen = np.frombuffer(shared.value, np.uint8)
+        for batch in slices(batches, text_col):
+            s = segments(u, *text_buffer(batch.column(text_col)))
+            pick = np.flatnonzero(may_have(seen, s["anchor"]))
+            pick = pick[np.lexsort((s["hash"][pick], s["anchor"][pick]))]
+            anchor, seg = s["anchor"][pick], s["hash"][pick]
+            one = np.ones(len(pick), bool)
+            one[1:] = (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1])
+            pick, unit = pick[one], s["unit"].astype(np.uint64) if u.words else s["unit"]
+            content = [unit[a:z].tobytes() for a, z in zip(s["from"][pick].tolist(), s["to"][pick].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[one]), pa.array(seg[one]), pa.array(content, pa.binary())], names=out.names)
+
+    return docs.select(text_col).mapInArrow(run, out).groupBy("anchor", "seg").agg(F.first("content").alias("content"))
+
+
+def distinct_segments(docs: DataFrame, rows: DataFrame, u: Units, text_col: str, bucket_bytes: int = BUCKET_BYTES
+                      ) -> tuple[DataFrame, DataFrame, DataFrame | None, list[DataFrame | None]]:
+    """Distinct segments: those whose anchor has one variant, and the rest in two parts; and the written frames they read.
 
     The first, (anchor, seg, windows, n, least), are copies: each window occurs
     as often as the segment. The rest, with content, are to be compared;
-    contents are read and shuffled for these alone. The second have a bucket
+    contents are cut out and shuffled for these alone. The second have a bucket
     of anchors that holds about ``bucket_bytes``. The third, None where there
     are none, belong to anchors with more content: their windows are dealt out
     one by one over ``salts``.
@@ -194,31 +216,23 @@ def distinct_segments(rows: DataFrame, u: Units, bucket_bytes: int = BUCKET_BYTE
         F.max("windows").alias("windows"), F.max("times").alias("times"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     width = 8 if u.words else 1
     size = d.groupBy("anchor").agg(F.sum((F.col("windows") + u.size - 1) * width).alias("bytes"), F.sum(F.col("windows") * u.size * width).alias("single"),
-                                   F.sum("n").alias("all"), F.count(F.lit(1)).alias("variants"), F.max("times").alias("inner"))
+                                   F.sum("n").alias("all"), F.count(F.lit(1)).alias("variants"), F.max("times").alias("inner"),
+                                   F.min("seg").alias("seg"), F.max("windows").alias("windows"), F.min("least").alias("least"))
     plain = (F.col("variants") == 1) & (F.col("all") > 1) & (F.col("inner") == 1)
-    copies = d.join(size.where(plain).select("anchor"), "anchor").select("anchor", "seg", "windows", "n", "least")
+    copies = size.where(plain).select("anchor", "seg", "windows", F.col("all").alias("n"), "least")  # one variant: its own figures
     rest = written(size.where(~plain & ((F.col("all") > 1) | (F.col("inner") > 1))).select("anchor", "bytes", "single"), "anchors")
     fits = F.col("bytes") <= bucket_bytes
     total, large = rest.agg(F.sum(F.when(fits, F.col("bytes"))), F.count(F.when(~fits, True))).first()
     buckets = max(1, (total or 0) // bucket_bytes)
 
     def with_content(anchors: DataFrame) -> DataFrame:
-        shared = rows.sparkSession.sparkContext.broadcast(bitmap(anchors, "anchor").tobytes())  # bounded size
-
-        def run(batches):
-            seen = np.frombuffer(shared.value, np.uint8)
-            for batch in batches:
-                yield batch.filter(pa.array(may_have(seen, batch.column("anchor").to_numpy())))
-
-        content = rows.select("anchor", "seg", "content")
-        content = content.mapInArrow(run, content.schema).groupBy("anchor", "seg").agg(F.first("content").alias("content"))
-        return content.join(d.join(anchors, "anchor"), ["anchor", "seg"])
+        return contents(docs, u, anchors, text_col).join(d.join(anchors, "anchor"), ["anchor", "seg"])
 
     whole = with_content(rest.where(fits)).select("anchor", "seg", "windows", "n", "least", "content",
                                                   F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("long").alias("bucket"))
     hot = written(with_content(rest.where(~fits)).select("anchor", "seg", "n", "least", "content", F.ceil(F.col("single") / bucket_bytes).cast("long").alias("salts")),
                   "salted") if large else None
-    return copies, whole, hot
+    return copies, whole, hot, [d, rest, hot]
 
 
 def single_windows(hot: DataFrame, u: Units, content: bool) -> DataFrame:
@@ -269,15 +283,3 @@ def compared(whole: DataFrame, hot: DataFrame | None, u: Units, search: Callable
     back = single_windows(hot, u, False).select("anchor", "seg", "first", "win").join(answers, ["anchor", "win"])
     moved = F.expr("transform(runs, r -> struct(first + r.s as s, first + r.e as e, r.v as v))")
     return found.unionByName(back.select("anchor", "seg", moved.alias("runs")))
-
-
-def merged_ranges(ranges: Column) -> Column:
-    """Sorted disjoint [start, end) structs from any."""
-    empty = F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)")
-
-    def step(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], r["e"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (r["s"] <= F.get(acc, F.size(acc) - 1)["e"]), grown).otherwise(F.concat(acc, F.array(r)))
-
-    return F.aggregate(F.array_sort(ranges), empty, step)
