@@ -164,8 +164,7 @@ def test_long_texts_without_spaces(spark):
     assert got[0]["ids"] == lib.encode(texts[0]) and got[0]["n_ids"] == len(got[0]["ids"])
 
 
-def test_output_names_are_refused(spark):
+def test_output_names_are_renamed(spark):
     docs = spark.createDataFrame([(1, "a", "x")], "doc_id long, text string, IDS string")
-    with pytest.raises(ValueError):
-        pieces.encode(docs)
+    assert pieces.encode(docs).columns == ["doc_id", "text", "in_IDS", "ids"]
     assert pieces.encode(docs, columns=["doc_id"]).count() == 1

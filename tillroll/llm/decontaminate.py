@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.llm.common import field, schema, slices, text_buffer
+from tillroll.llm.common import discard, field, handed_on, schema, slices, text_buffer, written
 
 WINDOW = 10
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -152,13 +152,12 @@ def _hits(texts: list[bytes], found: list[tuple[int, int]], starts: np.ndarray,
     return ranges, pats
 
 
-def _scan_pass(docs: DataFrame, key: str, blob: bytes, names: list[str], text_col: str) -> DataFrame:
-    """Add this pass's hits to the columns ``_n_words``, ``_ranges``, ``_items``."""
+def _scan_pass(docs: DataFrame, key: str, blob: bytes, names: list[str], text_col: str, more: bool) -> DataFrame:
+    """This pass's hits in the columns ``_n_words``, ``_ranges``, ``_items``, with ``more`` added to what they hold."""
     out = T.StructType([field(docs, c) for c in names] + [
         T.StructField("_n_words", T.LongType()),
         T.StructField("_ranges", T.ArrayType(T.ArrayType(T.LongType()))),
         T.StructField("_items", T.ArrayType(T.StringType()))])
-    more = "_ranges" in docs.columns
 
     def run(batches):
         m, items = _matcher(key, blob)
@@ -196,23 +195,29 @@ def scan(docs: DataFrame, bench: DataFrame, columns: list[str] | None = None, wi
     (ids, as strings, of the items with an occurring window; an item of null
     id counts for ``hits`` alone). One row per row
     of docs; null, empty and wordless texts have no words and no hits, and an
-    empty benchmark gives no hits.
+    empty benchmark gives no hits. A benchmark of more than
+    ``max_pattern_bytes`` is searched for in passes, written one by one. A
+    column of docs with the name of an added one is handed on as ``in_<name>``.
     """
-    names = list(dict.fromkeys([*(columns or docs.columns), text_col]))
+    keep = columns or docs.columns
+    names = [*[f"_c{i}" for i in range(len(keep))], "_text"]
     pats = patterns(bench.select(item_id, item_text), window, item_text, item_id)
     size = pats.agg(F.sum(F.octet_length("pattern") + F.size("items") * 16)).first()[0] or 0
     passes = max(1, math.ceil(size / max_pattern_bytes))
-    df = docs.select(*names)
+    df = docs.select(*[F.col(c).alias(n) for c, n in zip([*keep, text_col], names)])
     for k in range(passes):
         part = pats if passes == 1 else pats.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == k)
         rows = sorted((r["pattern"].encode(), r["items"]) for r in part.collect())  # within max_pattern_bytes
         blob = pickle.dumps(rows)
-        df = _scan_pass(df, hashlib.sha256(blob).hexdigest(), blob, names, text_col)
-    keep = columns or docs.columns
+        before, df = df, _scan_pass(df, hashlib.sha256(blob).hexdigest(), blob, names, "_text", k > 0)
+        if passes > 1:  # no plan holds the patterns of more than one pass
+            df = written(df, "pass")
+            discard(before)
     ranges = F.array_sort("_ranges")
     if passes > 1:
         ranges = F.aggregate(ranges, F.expr("cast(array() as array<array<bigint>>)"), _merge)
-    return df.select(*keep, F.col("_n_words").alias("n_words"), ranges.alias("hits"), F.col("_items").alias("items"))
+    as_ = handed_on(keep, ["n_words", "hits", "items"])
+    return df.select(*[F.col(n).alias(a) for n, a in zip(names, as_)], F.col("_n_words").alias("n_words"), ranges.alias("hits"), F.col("_items").alias("items"))
 
 
 def _merge(acc: Column, r: Column) -> Column:

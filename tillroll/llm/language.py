@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.llm.common import field, schema, slices, text_buffer
+from tillroll.llm.common import field, handed_on, schema, slices, text_buffer
 
 HIDDEN = 8
 SEGMENT = 128  # positions per sequence
@@ -34,7 +33,6 @@ SAMPLE_PER_LANGUAGE = 150  # training documents per language
 SAMPLE_CHARS = 512  # characters of the window taken from each
 MAX_LANGUAGES = 200  # the most frequent ones are learned
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class Direction:
@@ -193,7 +191,8 @@ def training_windows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, c
     """A bounded sample of (lang, window of the text) of the learning folds.
 
     About ``per_language`` documents of each language, drawn by a hash, and of
-    each a window of ``chars`` characters at a hashed place.
+    each a window of ``chars`` characters at a hashed place. The MAX_LANGUAGES
+    most frequent languages are learned.
     """
     learn = docs.select("doc_id", "text", "lang").where(
         (fold("doc_id") != 0) & F.col("lang").isNotNull() & (F.length("text") > 0))
@@ -205,8 +204,8 @@ def training_windows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, c
     draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_003)) / 1_000_003
     place = 1 + F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - chars + 1, F.lit(1)))
     rows = (learn.where(draw < share)
-            .select("lang", F.substring(F.col("text"), place.cast("int"), F.lit(chars)).alias("w"))
-            .limit(4 * per_language * len(sizes)).collect())
+            .select("lang", F.substring(F.col("text"), place.cast("int"), F.lit(chars)).alias("w"), draw.alias("draw"))
+            .orderBy("draw", "lang", "w").limit(4 * per_language * len(sizes)).collect())
     return sorted((r["lang"], r["w"]) for r in rows)
 
 
@@ -242,20 +241,23 @@ def _network(key: str, blob: bytes) -> Network:
 def identify(docs: DataFrame, network: Network | None, columns: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """``columns`` of docs (default: all) plus ``lang_pred`` and ``score``.
 
-    Only the text is an input. Null texts and texts without a letter are
-    ``und`` with score 0, and so is every text when nothing was learned. One
-    row per row; on equal probabilities the first language by name.
+    Only the text is an input. Null texts and texts without a letter (Unicode
+    categories L) are ``und`` with score 0, and so is every text when nothing
+    was learned. One row per row; on equal probabilities the first language by
+    name. A column of docs with the name of an added one is handed on as
+    ``in_<name>``.
     """
     keep = columns or docs.columns
     names = list(dict.fromkeys([*keep, text_col]))
-    out = schema(*[field(docs, c) for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()))
+    as_ = handed_on(keep, ["lang_pred", "score"])
+    out = schema(*[field(docs, c, a) for c, a in zip(keep, as_)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()))
     blob = pickle.dumps(network)
     key = hashlib.sha256(blob).hexdigest()
 
     def run(batches):
         net = _network(key, blob)
         for batch in slices(batches, text_col):
-            has = [bool(t and _LETTER.search(t)) for t in batch.column(text_col).to_pylist()]
+            has = [any(map(str.isalpha, t or "")) for t in batch.column(text_col).to_pylist()]
             buf, off = text_buffer(batch.column(text_col))
             if net is None:
                 lang, score = [UNKNOWN] * len(has), [0.0] * len(has)

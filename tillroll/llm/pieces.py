@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.llm import tokens as K
-from tillroll.llm.common import field, refuse, schema, slices
+from tillroll.llm.common import field, handed_on, schema, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -545,14 +545,13 @@ def encode(docs: DataFrame, model: str = MODEL, columns: list[str] | None = None
     """``columns`` of docs (default: all) plus ``ids``, array of int.
 
     Null texts have null ids, empty ones an empty array; whole texts are
-    encoded, one row per row. A column already called ``ids`` has to be renamed
-    or left out of ``columns`` (ValueError).
+    encoded, one row per row. A column of docs called ``ids`` is handed on as ``in_ids``.
     """
     blob = _blob(model)
     keep = columns or docs.columns
-    refuse(keep, ["ids"])
+    as_ = handed_on(keep, ["ids"])
     names = list(dict.fromkeys([*keep, text_col]))
-    out = schema(*[field(docs, c) for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType())))
+    out = schema(*[field(docs, c, a) for c, a in zip(keep, as_)], T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def run(batches):
         t = transducer(blob)
@@ -564,12 +563,12 @@ def encode(docs: DataFrame, model: str = MODEL, columns: list[str] | None = None
 
 def decode(encoded: DataFrame, model: str = MODEL, columns: list[str] | None = None, ids_col: str = "ids") -> DataFrame:
     """``columns`` (default: all) plus ``decoded``; null ids give null. A column
-    already called ``decoded`` has to be renamed or left out (ValueError)."""
+    already called ``decoded`` is handed on as ``in_decoded``."""
     blob = _blob(model)
     keep = columns or encoded.columns
-    refuse(keep, ["decoded"])
+    as_ = handed_on(keep, ["decoded"])
     names = list(dict.fromkeys([*keep, ids_col]))
-    out = schema(*[field(encoded, c) for c in keep], T.StructField("decoded", T.StringType()))
+    out = schema(*[field(encoded, c, a) for c, a in zip(keep, as_)], T.StructField("decoded", T.StringType()))
 
     def run(batches):
         t = transducer(blob)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.llm.common import field, schema, slices
+from tillroll.llm.common import field, handed_on, schema, slices
 
 KINDS = ("email", "ip", "card", "phone")
 _AT_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -345,13 +345,15 @@ def find(docs: DataFrame, columns: list[str] | None = None, text_col: str = "tex
     Returns ``columns`` of docs (default: all) plus ``base`` and ``added``,
     arrays of (kind, start, end) in code points, end exclusive. One row per
     row; null and empty texts have no spans. Base spans are sorted by the
-    order of KINDS, then start; added ones by start.
+    order of KINDS, then start; added ones by start. A column of docs with the
+    name of an added one is handed on as ``in_<name>``.
     """
     names = list(dict.fromkeys([*(columns or docs.columns), text_col]))
     keep = columns or docs.columns
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
                                      T.StructField("end", T.LongType())]))
-    out = schema(*[field(docs, c) for c in keep], T.StructField("base", span), T.StructField("added", span))
+    as_ = handed_on(keep, ["base", "added"])
+    out = schema(*[field(docs, c, a) for c, a in zip(keep, as_)], T.StructField("base", span), T.StructField("added", span))
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):

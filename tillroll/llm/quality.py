@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.llm import tokens as K
-from tillroll.llm.common import field, schema, slices, text_buffer
+from tillroll.llm.common import field, handed_on, schema, slices, text_buffer
 
 # Words (fixed values): insults, and frequent short function words.
 INSULTS = ("idiot moron loser pathetic stupid worthless scum trash clown disgusting dumb imbecile jerk "
@@ -40,6 +40,7 @@ TOXIC = ("insults", "density", "variety", "polite")
 BAD, GOOD, NONE = 1, 0, 2
 LEVEL_BINS, WORD_BINS = 1 << 16, 1 << 22
 SAMPLE = 4000  # training documents, at most
+WINDOW = 20_000  # characters of a document in the sample
 HEADS = (4, 5, 6)  # bytes of a word's beginning that are features
 
 _CLASS = np.full(256, 5, np.uint8)  # 0 separator, 1 lower, 2 upper, 3 digit, 4 non-ASCII, from 5 marks
@@ -251,9 +252,10 @@ def given_votes(labels: DataFrame | None, docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> dict | None:
     """Labeller accuracies from all documents, scorers from a sample; None for an empty table.
 
-    The sample holds at most ``sample`` documents of up to 20,000 characters:
-    by a hash of the id, up to a quarter each of those given as toxic and as
-    of low quality, the rest from the others, labelled or not.
+    The sample holds at most ``sample`` documents, of a longer one a window of
+    WINDOW characters at a hashed place: by a hash of the id, up to a quarter
+    each of those given as toxic and as of low quality, the rest from the
+    others, labelled or not.
     """
     none = F.array(F.lit(NONE), F.lit(NONE))
     given = given_votes(labels, docs)
@@ -262,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
     if not table:
         return None
     order = F.xxhash64("doc_id", F.lit("draw"))
-    ids = docs.where(F.length("text").between(1, 20_000)).select("doc_id").join(given, "doc_id", "left")
+    ids = docs.where(F.length("text") > 0).select("doc_id").join(given, "doc_id", "left")
     ids = ids.select("doc_id", F.coalesce(F.get("given", F.lit(0)) * 10 + F.get("given", F.lit(1)), F.lit(22)).alias("g")).where("doc_id IS NOT NULL")
     toxic, low = F.col("g") % 10 == BAD, F.floor(F.col("g") / 10) == BAD
     picks = [(toxic, sample // 4), (~toxic & low, sample // 4), (~toxic & ~low, sample // 2)]
@@ -273,7 +275,9 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
     for c in chosen[1:]:
         small = small.union(c)
     small = F.broadcast(small.dropDuplicates())  # at most ``sample`` ids
-    few = docs.select("doc_id", "text").where(F.length("text").between(1, 20_000)).join(small, "doc_id", "left_semi")
+    place = 1 + F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - WINDOW + 1, F.lit(1)))
+    few = docs.select("doc_id", "text").where(F.length("text") > 0).join(small, "doc_id", "left_semi")
+    few = few.select("doc_id", F.substring(F.col("text"), place.cast("int"), F.lit(WINDOW)).alias("text"))
     got = with_given(measure(few, True)).limit(2 * sample).toArrow().combine_chunks().sort_by("doc_id")
 
     def matrix(votes, extra):
@@ -316,11 +320,14 @@ def score(docs: DataFrame, model: dict | None, columns: list[str] | None = None,
     """``columns`` of docs (default: all) plus ``p_bad``, ``p_toxic``, ``keep``.
 
     Null texts and texts without a word have p_bad 1 and are not kept; without
-    a model (an empty training table) the others are kept. One row per row.
+    a model (an empty training table) the others are kept. A probability of
+    one half is too bad to be kept. One row per row. A column of docs with the
+    name of an added one is handed on as ``in_<name>``.
     """
     keep = columns or docs.columns
     names = list(dict.fromkeys([*keep, text_col]))
-    out = schema(*[field(docs, c) for c in keep], T.StructField("p_bad", T.DoubleType()),
+    as_ = handed_on(keep, ["p_bad", "p_toxic", "keep"])
+    out = schema(*[field(docs, c, a) for c, a in zip(keep, as_)], T.StructField("p_bad", T.DoubleType()),
                  T.StructField("p_toxic", T.DoubleType()), T.StructField("keep", T.BooleanType()))
     blob = pickle.dumps(model)
     key = hashlib.sha256(blob).hexdigest()

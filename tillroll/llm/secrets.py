@@ -14,13 +14,14 @@ Everything here is a DataFrame plan: no Python runs on the executors.
 from __future__ import annotations
 
 import re._parser as sre  # type: ignore[import-not-found]
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import count_rows
+from tillroll.llm.common import count_rows, handed_on
 
 BLOCK_DOCS = 4096  # documents per index block; bounds the length of a posting list
 
@@ -169,6 +170,21 @@ def candidates(postings: DataFrame, queries: dict[str, object]) -> DataFrame:
 
 # -- verification ---------------------------------------------------------------
 
+FOUND = "array<struct<start:int,ord:int,end:int,kind:string>>"
+BLOCK = 256  # matches folded together, so that the work on a text of many matches stays near its length
+
+
+def _blocks(a: Column) -> Column:
+    """The array in slices of BLOCK elements."""
+    last = F.greatest(F.ceil(F.size(a) / BLOCK).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(a, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """Leftmost non-overlapping matches as (start, order, end, kind) in code points.
 
@@ -180,7 +196,7 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
     sizes = F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda s: F.length(s))
     counted = F.transform(F.regexp_extract_all(text, p, F.lit(rule.group)), lambda s: F.length(s)) if rule.group else sizes
     zipped = F.arrays_zip(pieces.alias("gap"), sizes.alias("size"), counted.alias("counted"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string>>)").alias("out"))
+    none = F.expr(f"cast(array() as {FOUND})")
 
     def step(acc: Column, z: Column) -> Column:
         start = acc["at"] + z["gap"]
@@ -189,7 +205,12 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
         good = z["size"].isNotNull() & (z["counted"] >= rule.least)
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
+    def block(acc: Column, part: Column) -> Column:
+        return F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), step,
+                           lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{FOUND}>)").alias("out"))
+    return _with(zipped, lambda z: F.aggregate(_blocks(z), zero, block, lambda acc: F.flatten(acc["out"])))
 
 
 def scan(docs: DataFrame, columns: list[str] | None = None, rules: tuple[Rule, ...] = RULES,
@@ -200,7 +221,8 @@ def scan(docs: DataFrame, columns: list[str] | None = None, rules: tuple[Rule, .
     (start, ord, end, kind) sorted by start, then rule order; code points, end
     exclusive. One row per row: null and empty texts have no spans, repeated
     rows and repeated or null keys keep their rows (the key only leads to
-    candidates, which are verified).
+    candidates, which are verified). A column of docs called ``spans`` is
+    handed on as ``in_spans``.
     """
     keep = columns or docs.columns
     src = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"),
@@ -208,7 +230,7 @@ def scan(docs: DataFrame, columns: list[str] | None = None, rules: tuple[Rule, .
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not True}
     text = F.coalesce("_text", F.lit(""))
-    none = F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string>>)")
+    none = F.expr(f"cast(array() as {FOUND})")
     if indexed:
         postings = index(src.select("_key", "_text"), set().union(*map(trigrams, indexed.values())), "_key", "_text")
         src = src.join(candidates(postings, indexed), "_key", "left")
@@ -216,7 +238,7 @@ def scan(docs: DataFrame, columns: list[str] | None = None, rules: tuple[Rule, .
     for i, r in enumerate(rules):
         may = F.array_contains("kinds", r.kind) if r.kind in indexed else F.col("_text").rlike(r.pattern)
         found.append(F.when(F.coalesce(may, F.lit(False)), spans(text, r, i)).otherwise(none))
-    return src.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)],
+    return src.select(*[F.col(f"_c{i}").alias(a) for i, a in enumerate(handed_on(keep, ["spans"]))],
                       F.array_sort(F.concat(*found)).alias("spans"))
 
 
@@ -228,14 +250,24 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
     """
     names = docs.columns
     s = scan(docs, names, rules)
-    text = F.col("text")
-    step = lambda acc, x: F.struct(
-        F.greatest(acc["at"], x["end"]).alias("at"),
-        F.when(x["start"] > acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)))
-        .when(acc["at"] == 0, F.lit(mark)).otherwise(acc["out"]).alias("out"))
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                       lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return s.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(text)).select(*names)
+
+    def step(acc: Column, x: Column, head: Column, base: Column) -> Column:
+        gap = F.concat(acc["out"], F.substring(head, acc["at"] - base + 1, x["start"] - acc["at"]), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"),
+                        F.when(x["start"] > acc["at"], gap).when(acc["at"] == 0, F.lit(mark)).otherwise(acc["out"]).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        """Of the rest of the text, the head up to the last end of a block is worked on."""
+        size = F.coalesce(F.array_max(F.transform(part, lambda x: x["end"])), F.lit(0)) - acc["at"]
+        return _with(F.substring(acc["rest"], F.lit(1), F.greatest(size, F.lit(0))), lambda head: F.aggregate(
+            part, F.struct(acc["at"].alias("at"), F.lit("").alias("out")), lambda r, x: step(r, x, head, acc["at"]),
+            lambda r: F.struct(r["at"].alias("at"), F.substr(acc["rest"], r["at"] - acc["at"] + 1).alias("rest"),
+                               F.concat(acc["out"], F.array(r["out"])).alias("out"))))
+
+    zero = F.struct(F.lit(0).alias("at"), F.col("text").alias("rest"), F.expr("cast(array() as array<string>)").alias("out"))
+    done = F.aggregate(_blocks(F.col("spans")), zero, block, lambda acc: F.concat(F.array_join(acc["out"], ""), acc["rest"]))
+    s = s.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text")))
+    return s.select(*[F.col(a).alias(c) for a, c in zip(handed_on(names, ["spans"]), names)])
 
 
 def _of_kind(kind: str):
