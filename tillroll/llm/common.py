@@ -25,6 +25,7 @@ from tillroll.session import shared_dir
 # Text handled at once inside a task: bounds the working set of the numpy
 # code whatever the size of the Arrow batch Spark hands over.
 SLICE_BYTES = 2 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -71,14 +72,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared scratch folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read of the files, not a
-    recomputation of everything before. Spark removes the shuffle files of a
-    finished step when the driver's garbage collector meets them, which by
-    itself may take hours; it is asked to here, once a step.
+    recomputation of everything before. Nothing reads the shuffle files of a
+    finished step again, so Spark is told to remove them when the write ends;
+    by itself it does so only when the driver's garbage collector meets them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark, name)}/{uuid.uuid4().hex[:8]}"
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    spark.sparkContext._jvm.System.gc()  # for what other actions left
     back = spark.read.schema(df.schema).parquet(path)
     _PATHS[back] = path
     return back
