@@ -355,3 +355,33 @@ def test_timed_load_registers_partitions(spark):
         assert reaches(10)
     finally:
         q.stop()
+
+
+def test_retry_parses_a_line_once_and_only_open_ones(spark, capfd):
+    """A reject's line is parsed by one expression, above the join that drops the settled rejects."""
+    root = shared_dir(spark, "test-retry-plan")
+    land, store = f"{root}/landing/order_items", I.Store(f"{root}/store")
+    write(land, "a.csv", f"{ITEMS_HEADER}\n1,P1,2.0,10.00,0.10\n2,P2,n/a,10.00,0.10\n3,P3,1,10.00,0.10\n")
+    I.ingest(spark, "order_items", land, store)
+    parsed, mend = [], lambda line: F.regexp_replace(line, r"\.0,", ",")
+    real = I.parse
+    try:
+        I.parse = lambda *a, **k: parsed.append(real(*a, **k)) or parsed[-1]
+        assert I.retry(spark, "order_items", store, repair=mend) == 1
+        assert I.retry(spark, "order_items", store, repair=mend) == 0
+    finally:
+        I.parse = real
+    for p in parsed:
+        capfd.readouterr()
+        p.good.explain()
+        plan = capfd.readouterr().out
+        assert plan.count("from_csv(") == 1
+    assert plan.index("from_csv(") < plan.index("LeftAnti")
+    assert [r["raw_line"] for r in I.open_rejects(spark, store, "order_items").collect()] == ["2,P2,n/a,10.00,0.10"]
+
+
+def test_one_spelling_of_file_paths(spark):
+    paths = ["file:/a/b", "file:///a/b", "file:////a/b", "file://a", "s3://x/file:/y", "/a", None]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert ([r[0] for r in rows.select(I.file_name(F.col("p"))).collect()]
+            == [r[0] for r in rows.select(F.regexp_replace("p", "^file:/+", "file:///")).collect()])

@@ -28,6 +28,7 @@ import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,17 +114,22 @@ def parse(raw: DataFrame, table: str, schema: T.StructType, rules: dict[str, Col
     # least integer) makes every column used, so that a bad field rejects its
     # line whatever a query selects later.
     every = F.hash(*[F.col(f"`{c}`") for c in fields]) >= F.lit(-2147483648)
-    tagged = raw.withColumn("_reasons", rule_reasons({"malformed_line": fits & every, **rules}))
-    ok = F.size("_reasons") == 0
+    checks = {"malformed_line": fits & every, **rules}
+    # one condition that is compiled: no array of reasons is made for a row that has none
+    ok = reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in checks.values()])
     line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in fields]))
     line = F.coalesce(F.col(CORRUPT), line) if has_corrupt else line
-    return Parsed(apply_defaults(tagged.where(ok).select(*fields, *carry), table),
-                  tagged.where(~ok).select(line.alias("raw_line"), F.col("_reasons").alias("reasons"), *carry))
+    return Parsed(apply_defaults(raw.where(ok).select(*fields, *carry), table),
+                  raw.where(~ok).select(line.alias("raw_line"), rule_reasons(checks).alias("reasons"), *carry))
 
 
 def file_name(path: Column) -> Column:
-    """One spelling of a file's path: local files come as file:/x and as file:///x."""
-    return F.regexp_replace(path, "^file:/+", "file:///")
+    """One spelling of a file's path: local files come as file:/x and as file:///x.
+
+    The pattern runs only for the other spellings, not for every row.
+    """
+    spelt = ~path.startswith("file:/") | (path.startswith("file:///") & ~path.startswith("file:////"))
+    return F.when(spelt, path).otherwise(F.regexp_replace(path, "^file:/+", "file:///"))
 
 
 def scan(spark: SparkSession, table: str, path: str | list[str], fmt: str = "csv", schema: T.StructType | None = None,
@@ -327,8 +333,11 @@ def retry(spark: SparkSession, table: str, store: Store, fmt: str = "csv", schem
     ddl, options = S.ddl(with_corrupt(schema)), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     row = F.from_json(line, ddl, options) if fmt == "json" else F.from_csv(line, ddl, options)
     key = ["reject_batch", "position"]
-    raw = rejects.select(F.col("batch_id").alias("reject_batch"), "position", F.col("file_path").alias(SOURCE[0]),
-                         F.col("file_modification_time").alias(SOURCE[1]), row.alias("_row")).select("_row.*", *SOURCE, *key)
+    # A generator is run once a row and stays above the anti join. As a plain
+    # column the parse would be written out again for every field and check
+    # that uses it, and run below the join on settled rejects too.
+    raw = rejects.select(F.inline(F.array(row)), F.col("file_path").alias(SOURCE[0]),
+                         F.col("file_modification_time").alias(SOURCE[1]), F.col("batch_id").alias("reject_batch"), "position")
     p = parse(raw, table, schema, rules, [*SOURCE, *key])
     staged = f"{store.retries(table)}/retry_id={run}"
     p.good.write.mode("overwrite").parquet(staged)
