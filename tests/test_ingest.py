@@ -385,3 +385,25 @@ def test_one_spelling_of_file_paths(spark):
     rows = spark.createDataFrame([(p,) for p in paths], "p string")
     assert ([r[0] for r in rows.select(I.file_name(F.col("p"))).collect()]
             == [r[0] for r in rows.select(F.regexp_replace("p", "^file:/+", "file:///")).collect()])
+
+
+def test_clean_files_are_read_once(spark):
+    """A load without rejected rows makes one pass over its files, one with a rejected row makes two."""
+    root, calls = shared_dir(spark, "test-passes"), spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def rule(order_id):
+        calls.add(1)
+        return order_id != 1009
+
+    passes = {}
+    for name, rows in (("clean", ORDERS[:4]), ("mixed", ORDERS)):
+        write(f"{root}/{name}", "a.csv", csv_text(ORDERS_HEADER, rows))
+        store, before = I.Store(f"{root}/store-{name}"), calls.value
+        I.ingest(spark, "orders", f"{root}/{name}", store, rules={"odd": rule("order_id")})
+        passes[name] = (calls.value - before) / len(rows)
+        assert I.loaded(spark, store, "orders").count() == len([r for r in rows if r[0] != 1009])
+        rejects = spark.read.parquet(store.rejects("orders"))
+        assert rejects.count() == len([r for r in rows if r[0] == 1009])
+        assert set(I.REJECT_DDL.replace(" ", ",").split(",")) >= set(rejects.columns)
+    assert passes["clean"] == 1 and passes["mixed"] >= 2

@@ -18,8 +18,8 @@ not read again (corrections need a new name). Each micro-batch reads its listed
 files through the batch scan. ``foreachBatch`` is at-least-once, so each batch
 overwrites its own ``batch_id`` partition in all three outputs: a retried batch
 replaces its earlier partial output instead of duplicating it. Nothing is
-cached: the accepted and the rejected rows are two passes over the files, and
-the audit counts what was written.
+cached: the accepted and the rejected rows are two passes over the files (one
+where the first counts no rejected row), and the audit counts what was written.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,13 +98,14 @@ class Parsed:
 
 
 def parse(raw: DataFrame, table: str, schema: T.StructType, rules: dict[str, Column] | None = None,
-          carry: list[str] = ()) -> Parsed:
+          carry: list[str] = (), seen: Observation | None = None) -> Parsed:
     """The parse plan: split parsed records into accepted and rejected rows.
 
     ``raw`` holds the schema's columns, the corrupt-record column where the
     format has one, and the ``carry`` columns. A record is rejected when a
     field does not fit its declared type or the line's columns do not match
-    (``malformed_line``), or when it breaks a rule.
+    (``malformed_line``), or when it breaks a rule. A pass over the accepted
+    rows leaves the number of rejected ones in ``seen``.
     """
     fields = [f.name for f in schema.fields]
     rules = table_rules(table, schema) if rules is None else rules
@@ -119,7 +120,10 @@ def parse(raw: DataFrame, table: str, schema: T.StructType, rules: dict[str, Col
     ok = reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in checks.values()])
     line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in fields]))
     line = F.coalesce(F.col(CORRUPT), line) if has_corrupt else line
-    return Parsed(apply_defaults(raw.where(ok).select(*fields, *carry), table),
+    accepted = raw.where(ok)
+    if seen:
+        accepted = raw.withColumn("_ok", ok).observe(seen, F.count_if(~F.col("_ok")).alias("rejected")).where("_ok")
+    return Parsed(apply_defaults(accepted.select(*fields, *carry), table),
                   raw.where(~ok).select(line.alias("raw_line"), rule_reasons(checks).alias("reasons"), *carry))
 
 
@@ -133,7 +137,7 @@ def file_name(path: Column) -> Column:
 
 
 def scan(spark: SparkSession, table: str, path: str | list[str], fmt: str = "csv", schema: T.StructType | None = None,
-         rules: dict[str, Column] | None = None, multi_line: bool = False) -> Parsed:
+         rules: dict[str, Column] | None = None, multi_line: bool = False, seen: Observation | None = None) -> Parsed:
     """Landing files as accepted and rejected rows, with their source file and its time.
 
     ``multi_line`` lets a quoted CSV field (or a JSON record) span lines; such
@@ -142,7 +146,7 @@ def scan(spark: SparkSession, table: str, path: str | list[str], fmt: str = "csv
     schema = schema or S.TABLES[table]
     raw = _reader(spark, schema, fmt, multi_line).load(path).select(
         "*", file_name(F.col("_metadata.file_path")).alias(SOURCE[0]), F.col("_metadata.file_modification_time").alias(SOURCE[1]))
-    return parse(raw, table, schema, rules, SOURCE)
+    return parse(raw, table, schema, rules, SOURCE, seen)
 
 
 def read_csv(spark: SparkSession, table: str, prefix: str, schema: T.StructType | None = None,
@@ -239,22 +243,25 @@ def _batch_writer(table: str, schema: T.StructType, store: Store, job: str, fmt:
         # bounded by max_files: the stream's own listing is in the driver too
         files = [tuple(r) for r in listing.select(*[c.split()[0] for c in LISTING_DDL.split(", ")]).collect()]
         paths = [_literal(f[0]) for f in files if f[3]]
+        seen = Observation() if paths else None
         if paths:
-            p = scan(spark, table, paths, fmt, schema, rules, multi_line)
+            p = scan(spark, table, paths, fmt, schema, rules, multi_line, seen)
         else:
             nothing = T.StructType([*schema.fields, T.StructField(SOURCE[0], T.StringType()), T.StructField(SOURCE[1], T.TimestampType())])
             p = parse(spark.createDataFrame([], nothing), table, schema, rules, SOURCE)
         at = lambda base: f"{base(table)}/batch_id={batch_id}"
         p.good.write.mode("overwrite").parquet(at(store.table))
-        (p.rejected.select(F.lit(job).alias("job_name"), F.col(SOURCE[0]).alias("file_path"),
-                           F.col(SOURCE[1]).alias("file_modification_time"), F.monotonically_increasing_id().alias("position"),
-                           "raw_line", "reasons", F.current_timestamp().alias("error_time"))
+        # a second pass only where the first has met rejected rows
+        rejected = p.rejected if seen is None or seen.get["rejected"] else p.rejected.where(F.lit(False))
+        (rejected.select(F.lit(job).alias("job_name"), F.col(SOURCE[0]).alias("file_path"),
+                         F.col(SOURCE[1]).alias("file_modification_time"), F.monotonically_increasing_id().alias("position"),
+                         "raw_line", "reasons", F.current_timestamp().alias("error_time"))
          .write.mode("overwrite").parquet(at(store.rejects)))
         good = spark.read.schema(f"{SOURCE[0]} string").parquet(at(store.table))
         bad = spark.read.schema("file_path string").parquet(at(store.rejects))
-        seen = batch_files(spark, store.checkpoint(table), batch_id)
-        seen = spark.createDataFrame(files, LISTING_DDL) if seen is None else seen
-        (_audit_rows(seen, _counts(good, SOURCE[0], "rows_loaded"),
+        listed = batch_files(spark, store.checkpoint(table), batch_id)
+        listed = spark.createDataFrame(files, LISTING_DDL) if listed is None else listed
+        (_audit_rows(listed, _counts(good, SOURCE[0], "rows_loaded"),
                      _counts(bad, "file_path", "rows_rejected"), job, table)
          .write.mode("overwrite").parquet(at(store.audit)))
         if db:
