@@ -407,3 +407,21 @@ def test_clean_files_are_read_once(spark):
         assert rejects.count() == len([r for r in rows if r[0] == 1009])
         assert set(I.REJECT_DDL.replace(" ", ",").split(",")) >= set(rejects.columns)
     assert passes["clean"] == 1 and passes["mixed"] >= 2
+
+
+def test_latest_version_is_joined_by_its_keys(spark, capfd):
+    """The version is no join key, and keys of every kind compare null to null."""
+    import datetime as dt
+    day = dt.date(1970, 1, 1)
+    df = spark.createDataFrame(
+        [(None, "", day, True, 1, "b", "a"), (None, "", day, True, 1, "c", "b"), (0, "", day, True, 1, "a", "c"),
+         (None, None, day, True, None, "z", "d"), (None, "", None, True, 2, "a", "e"), (None, "", day, None, 2, None, "f"),
+         (None, "", day, None, 2, None, "g")], "k int, s string, d date, t boolean, v int, w string, x string")
+    got = quality.latest_version(df, ["k", "s", "d", "t"], ["v", "w"])
+    assert sorted(r["x"] for r in got.collect()) == ["b", "c", "d", "e", "f", "g"] and got.columns == df.columns
+    big = spark.range(100_000).select("id", F.lit("f").alias("file"))
+    capfd.readouterr()
+    quality.latest_version(big, ["id"], ["file"]).explain("extended")
+    plan = capfd.readouterr().out
+    joined = plan[plan.index("Physical Plan"):]
+    assert "coalesce(file" not in joined and "isnull(file" not in joined

@@ -162,13 +162,15 @@ def latest_version(df: DataFrame, keys: list[str], version: list[str]) -> DataFr
     """V8 "latest load wins": of every key the rows of its greatest version, all of them.
 
     The greatest version per key is an ordinary aggregate, one row per key and
-    task before the shuffle; the join back is by key and version, an inner join
-    whose row side AQE can split where one key holds much of the table. Null
-    keys are keys like others.
+    task before the shuffle; the join back is an inner join whose row side AQE
+    can split where one key holds much of the table. Null keys are keys like
+    others. The join is by the keys alone; that a row's version is not below
+    its key's greatest is checked on the pairs. One numeric version column is
+    aggregated by hashing, several (or text) by sorting.
     """
     newest = (df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-              .agg(F.max(F.struct(*version)).alias("_v"))
-              .select(*[f"_k{i}" for i in range(len(keys))], *[F.col(f"_v.{c}").alias(f"_v{i}") for i, c in enumerate(version)]))
+              .agg((F.max(version[0]) if len(version) == 1 else F.max(F.struct(*version))).alias("_v")))
     same = [df[k].eqNullSafe(newest[f"_k{i}"]) for i, k in enumerate(keys)]
-    same += [df[c].eqNullSafe(newest[f"_v{i}"]) for i, c in enumerate(version)]
+    best = F.struct(newest["_v"].alias(version[0])) if len(version) == 1 else newest["_v"]
+    same.append(F.struct(*[df[c] for c in version]) >= best)
     return df.join(newest, reduce(lambda a, b: a & b, same)).select(*[df[c] for c in df.columns])

@@ -34,6 +34,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tillroll import schemas as S
 from tillroll.operators.quality import latest_version, rule_reasons
@@ -490,13 +491,20 @@ def current_rows(spark: SparkSession, store: Store, table: str, latest_only: boo
 
     With ``latest_only`` the newest file wins (V8): of every primary key the
     rows of the file with the latest modification time (then the greatest
-    path) are kept, all of them, so two lines of one file stay two lines.
+    path) are kept, all of them, so two lines of one file stay two lines. The
+    files are numbered in that order first (a list as long as there are files,
+    like the listing of a load), so the rows are compared and moved with a
+    number instead of a time and a path.
     """
     df = loaded(spark, store, table, lineage=True)
     keys = S.PRIMARY_KEYS[table]
-    if latest_only and keys:
-        df = latest_version(df, keys, ["source_time", "source_file"])
-    return df.drop("batch_id", *SOURCE)
+    if not (latest_only and keys):
+        return df.drop("batch_id", *SOURCE)
+    files = df.select(*[F.col(c).alias(f"_{c}") for c in SOURCE]).distinct()
+    files = files.select("*", F.row_number().over(Window.orderBy("_source_time", "_source_file")).alias("_file"))
+    of_file = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SOURCE]
+    rows = df.join(F.broadcast(files), reduce(lambda a, b: a & b, of_file)).drop("batch_id", *SOURCE, *[f"_{c}" for c in SOURCE])
+    return latest_version(rows, keys, ["_file"]).drop("_file")
 
 
 def star_from_store(spark: SparkSession, store: Store, latest_only: bool = True):
