@@ -425,3 +425,28 @@ def test_latest_version_is_joined_by_its_keys(spark, capfd):
     plan = capfd.readouterr().out
     joined = plan[plan.index("Physical Plan"):]
     assert "coalesce(file" not in joined and "isnull(file" not in joined
+
+
+def test_refresh_joins_the_lines_once(spark, monkeypatch):
+    """Datasets over completed lines are built from the published product_sales, with the rows of the star."""
+    star, made = td.load_star(spark, SF001), []
+    loc, alone = shared_dir(spark, "test-lines"), shared_dir(spark, "test-lines-alone")
+    real = DS.sales.completed_lines
+    monkeypatch.setattr(DS.sales, "completed_lines", lambda *a, **k: made.append(1) or real(*a, **k))
+    names = ["top_products", "category_performance", "daily_rollup", "order_sets"]
+    res = DS.refresh_datasets(spark, star, loc, [*names, "product_sales"]).collect()
+    assert [r["dataset"] for r in res] == [*names, "product_sales"] and {r["status"] for r in res} == {"ok"} and not made
+    for name in names:
+        DS.create_dataset(spark, name, star, alone)
+        a, b = DS.read_dataset(spark, name, loc), DS.read_dataset(spark, name, alone)
+        assert a.dtypes == b.dtypes and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert len(made) == len(names)
+
+
+def test_a_month_is_written_by_few_tasks(spark):
+    star, loc = td.load_star(spark, SF001), shared_dir(spark, "test-months")
+    by_hash = DS.Dataset("daily_sales", lambda s: DS.REGISTRY["daily_rollup"].build(s).repartition(8), by_month=True)
+    base = f"{loc}/months"
+    parts = DS._write(by_hash.build(star), base, 1, True)
+    files = [f for p, v in parts.items() for f in os.listdir(local_path(f"{base}/{v}/order_month={p}")) if f.endswith(".parquet")]
+    assert len(files) == len(parts)

@@ -32,7 +32,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.functions.columns import line_cost, line_revenue, lit_date
+from tillroll.functions.columns import completed, line_cost, line_revenue, lit_date
 from tillroll.operators import filters, joins
 from tillroll.plans import sales
 from tillroll.schemas import DATASET_SCHEMAS
@@ -42,6 +42,7 @@ from tillroll.sources.testdata import Star
 
 
 PART_COL = "order_month"
+LINES = "product_sales"   # the dataset of joined lines
 
 
 @dataclass
@@ -49,6 +50,7 @@ class Dataset:
     name: str
     build: Callable[[Star], DataFrame]
     by_month: bool = False
+    of_lines: Callable[[DataFrame], DataFrame] | None = None   # the same from the star's completed lines
 
 
 def _owc(star: Star) -> DataFrame:
@@ -67,8 +69,15 @@ def daily_rollup(star: Star) -> DataFrame:
     day and region (an order has one day and one region) but not across
     categories (an order can span several): ``order_sets`` does that.
     """
-    lines = sales.completed_lines(star.order_items, star.products, star.orders,
-                                  keep=("order_date", "region"))
+    return rollup_of(_lines(star))
+
+
+def _lines(star: Star) -> DataFrame:
+    return sales.completed_lines(star.order_items, star.products, star.orders, keep=("order_date", "region"))
+
+
+def rollup_of(lines: DataFrame) -> DataFrame:
+    """S20 over completed lines."""
     return (lines.groupBy(F.to_date("order_date").alias("order_date"), "region", "category")
             .agg(F.sum(line_revenue()).alias("revenue"), F.sum(line_cost()).alias("cost"),
                  F.sum("quantity").alias("units_sold"), F.count(F.lit(1)).alias("lines"),
@@ -84,7 +93,11 @@ def order_sets(star: Star) -> DataFrame:
     list of categories. (Bitmaps of order ids would need 4 kB per cell and
     32,768 ids, where a cell of one day holds a few orders.)
     """
-    lines = sales.completed_lines(star.order_items, star.products, star.orders, keep=("order_date", "region"))
+    return sets_of(_lines(star))
+
+
+def sets_of(lines: DataFrame) -> DataFrame:
+    """``order_sets`` over completed lines."""
     sets = (lines.groupBy("order_id", F.to_date("order_date").alias("order_date"), "region")
             .agg(F.array_sort(F.collect_set("category")).alias("categories")))
     return sets.groupBy("order_date", "region", "categories").agg(F.count(F.lit(1)).alias("orders"))
@@ -107,14 +120,15 @@ def category_from_rollup(rollup: DataFrame) -> DataFrame:
 
 REGISTRY: dict[str, Dataset] = {d.name: d for d in [
     Dataset("sales_by_region", lambda s: sales.sales_by_region(s.orders)),
-    Dataset("top_products", lambda s: sales.top_products(s.order_items, s.products, s.orders)),
+    Dataset("top_products", lambda s: sales.top_products(s.order_items, s.products, s.orders), of_lines=sales.top_products_of),
     Dataset("customer_segments", lambda s: sales.customer_segments(s.customers, s.orders)),
     Dataset("daily_sales", lambda s: sales.daily_sales(s.orders), by_month=True),
-    Dataset("category_performance", lambda s: sales.category_performance(s.order_items, s.products, s.orders)),
+    Dataset("category_performance", lambda s: sales.category_performance(s.order_items, s.products, s.orders),
+            of_lines=sales.category_performance_of),
     Dataset("orders_with_customers", _owc),
     Dataset("product_sales", _ps),
-    Dataset("daily_rollup", daily_rollup, by_month=True),
-    Dataset("order_sets", order_sets, by_month=True),
+    Dataset("daily_rollup", daily_rollup, by_month=True, of_lines=rollup_of),
+    Dataset("order_sets", order_sets, by_month=True, of_lines=sets_of),
 ]}
 
 
@@ -126,8 +140,10 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in cols])
 
 
-def build(name: str, star: Star) -> DataFrame:
-    return conform(REGISTRY[name].build(star), name)
+def build(name: str, star: Star, lines: DataFrame | None = None) -> DataFrame:
+    """A dataset from the star, or from its completed lines where these are given and enough for it."""
+    ds = REGISTRY[name]
+    return conform(ds.build(star) if lines is None or ds.of_lines is None else ds.of_lines(lines), name)
 
 
 @dataclass
@@ -178,7 +194,9 @@ def _write(df: DataFrame, base: str, version: int, by_month: bool) -> dict[str,
     if not by_month:
         df.write.parquet(path)
         return {"": folder}
-    df.withColumn(PART_COL, F.trunc("order_date", "month")).write.partitionBy(PART_COL).parquet(path)
+    # months dealt to tasks, large ones to several: not a file of every month from every task
+    by = df.withColumn(PART_COL, F.trunc("order_date", "month")).hint("rebalance", F.col(PART_COL))
+    by.write.partitionBy(PART_COL).parquet(path)
     found = [n.split("=", 1)[1] for n in child_names(spark, path) if n.startswith(f"{PART_COL}=")]
     return {month: folder for month in found}
 
@@ -209,11 +227,11 @@ def _next(old: Manifest | None) -> int:
 
 
 def create_dataset(spark: SparkSession, name: str, star: Star, location: str,
-                   batches: dict[str, list[int]] | None = None) -> str:
+                   batches: dict[str, list[int]] | None = None, lines: DataFrame | None = None) -> str:
     """Build and materialise one dataset; returns its folder."""
     base = _base(location, name)
     version = _next(manifest(spark, base))
-    parts = _write(build(name, star), base, version, REGISTRY[name].by_month)
+    parts = _write(build(name, star, lines), base, version, REGISTRY[name].by_month)
     _publish(spark, base, Manifest(version, parts, batches or {}))
     return base
 
@@ -235,16 +253,22 @@ def refresh_datasets(spark: SparkSession, star: Star, location: str,
     """Rebuild every dataset; a failing one is reported, the rest go on.
 
     Returns (dataset, status, rows, error). The loop runs over the handful
-    of registered datasets; each rebuild is a distributed job.
+    of registered datasets; each rebuild is a distributed job. ``product_sales``
+    comes first: it is the join of lines, products and orders, and the datasets
+    over completed lines are then built from its rows instead of joining the
+    same tables again. Without it, or where it fails, they are built from the star.
     """
-    rows = []
-    for name in names or list(REGISTRY):
+    names, results, lines = names or list(REGISTRY), {}, None
+    for name in sorted(names, key=lambda n: n != LINES):   # stable: the others keep their order
         try:
-            create_dataset(spark, name, star, location)
-            n = read_dataset(spark, name, location).count()
-            rows.append((name, "ok", n, None))
+            create_dataset(spark, name, star, location, lines=lines)
+            built = read_dataset(spark, name, location)
+            results[name] = (name, "ok", built.count(), None)
+            if name == LINES:
+                lines = completed(built)
         except Exception as e:  # one failure must not stop the rest
-            rows.append((name, "failed", None, str(e).splitlines()[0][:500]))
+            results[name] = (name, "failed", None, str(e).splitlines()[0][:500])
+    rows = [results[name] for name in names]
     return spark.createDataFrame(rows, "dataset string, status string, rows long, error string")
 
 

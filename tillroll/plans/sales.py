@@ -47,8 +47,12 @@ def top_products(items: DataFrame, products: DataFrame, orders: DataFrame, n: in
     ORDER BY ... LIMIT plans as TakeOrderedAndProject: each task keeps its
     own top n, no global sort.
     """
-    return (completed_lines(items, products, orders)
-            .groupBy("product_name", "category")
+    return top_products_of(completed_lines(items, products, orders), n)
+
+
+def top_products_of(lines: DataFrame, n: int = 10) -> DataFrame:
+    """A2 over completed lines."""
+    return (lines.groupBy("product_name", "category")
             .agg(F.sum(line_revenue()).alias("revenue"),
                  F.sum("quantity").alias("units_sold"))
             .orderBy(F.col("revenue").desc_nulls_last(), "product_name", "category")
@@ -122,8 +126,12 @@ def daily_sales(orders: DataFrame) -> DataFrame:
 
 def category_performance(items: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
     """A5: orders, units, revenue, cost and profit per category."""
-    return (completed_lines(items, products, orders)
-            .groupBy("category")
+    return category_performance_of(completed_lines(items, products, orders))
+
+
+def category_performance_of(lines: DataFrame) -> DataFrame:
+    """A5 over completed lines."""
+    return (lines.groupBy("category")
             .agg(F.countDistinct("order_id").alias("orders"),
                  F.sum("quantity").alias("units_sold"),
                  F.sum(line_revenue()).alias("revenue"),
