@@ -223,3 +223,31 @@ def test_topk(spark):
         want += [(q, r + 1, c, -n) for r, (n, c) in enumerate(s)]
     assert U.order(topk.report(df).collect()) == U.order(want)
     assert topk.report(df.limit(0)).count() == 0
+
+
+def test_large_anchors_are_narrowed(spark, monkeypatch):
+    """Segments of an anchor with more content than a bucket are never cut into all their windows."""
+    from pyspark.sql import functions as F
+
+    from tillroll.llm import windows
+    monkeypatch.setattr(windows, "BUCKET_BYTES", 1000)
+    monkeypatch.setattr(bwtmerge, "BUCKET", 1000)
+    passage = " ".join(f"passage{i * i}" for i in range(60))
+    rows = [(k, f"{'x' * (k % 7)} a{k} b{k * k} {passage} c{k} d{k * k} e{k}") for k in range(80)]
+    rows += [(k, rows[k - 80][1].replace(f"passage{k}", "other")) for k in range(80, 110)]
+    made, real = [], windows.narrowed
+
+    def watched(hot, u, width, *rest):
+        if width == 1:
+            made.append(hot.agg(F.max(F.length("content"))).first()[0] // (8 if u.words else 1) - u.size + 1)
+        else:
+            made.append(width)
+        return real(hot, u, width, *rest)
+
+    monkeypatch.setattr(windows, "narrowed", watched)
+    docs = spark.createDataFrame(rows, U.SCHEMA)
+    assert U.order(bwtmerge.report(docs).collect()) == U.order(U.suffixes(rows))
+    assert made and max(made) <= 22
+    del made[:]
+    assert U.order(fmindex.report(docs).collect()) == U.order(U.substring(rows))
+    assert made and max(made) <= 2

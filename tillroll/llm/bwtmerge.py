@@ -148,11 +148,11 @@ def repeated(docs: DataFrame, units: W.Units, text_col: str) -> DataFrame:
     bits = W.repeated_anchors(docs, units, text_col)
     rows = W.routed(docs, units, bits, "_key", None, text_col)
     copies, whole, hot, spent = W.distinct_segments(docs, rows, units, text_col, BUCKET)
-    same = copies.select("anchor", "seg", F.array(F.struct(
+    copied = lambda c: c.select("anchor", "seg", F.array(F.struct(
         F.lit(0).cast("long").alias("s"), F.col("windows").alias("e"), F.lit(0).cast("long").alias("v"))).alias("runs"))
-    met = W.compared(whole, hot, units, lambda t: runs_of(bucket(t, units.size)), RESULT)
-    out = written(same.unionByName(met), "runs")
-    discard(*spent)
+    met, more = W.compared(whole, hot, units, lambda t: runs_of(bucket(t, units.size)), RESULT, copied, BUCKET)
+    out = written(copied(copies).unionByName(met), "runs")
+    discard(*spent, *more)
     places = rows.select("key", "start", "anchor", "seg").distinct()  # once for all copies of a text
     hit = (places.join(out, ["anchor", "seg"])
            .select("key", F.expr("transform(runs, r -> struct(start + r.s as s, start + r.e as e))").alias("r")))

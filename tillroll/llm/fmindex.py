@@ -155,11 +155,11 @@ def repeated(docs: DataFrame, units: W.Units, id_col: str, text_col: str) -> Dat
     bits = W.repeated_anchors(docs, units, text_col)
     rows = W.routed(docs, units, bits, "_key", id_col, text_col)
     copies, whole, hot, spent = W.distinct_segments(docs, rows, units, text_col, W.BUCKET_BYTES)
-    same = copies.select("anchor", "seg", F.array(F.struct(
+    copied = lambda c: c.select("anchor", "seg", F.array(F.struct(
         F.lit(0).cast("long").alias("s"), F.col("windows").alias("e"), F.coalesce("least", F.lit(NO_ID)).alias("v"))).alias("runs"))
-    met = W.compared(whole, hot, units, lambda t: runs_of(shard(t, units.size)), RESULT)
-    out = written(same.unionByName(met), "runs")
-    discard(*spent)
+    met, more = W.compared(whole, hot, units, lambda t: runs_of(shard(t, units.size)), RESULT, copied, W.BUCKET_BYTES)
+    out = written(copied(copies).unionByName(met), "runs")
+    discard(*spent, *more)
     places = rows.select("key", "id", "start", "anchor", "seg").distinct()  # once for all copies of a row
     hit = (places.join(out, ["anchor", "seg"])
            .select("key", "start", F.filter("runs", lambda r: r["v"] < F.coalesce("id", F.lit(NO_ID))).alias("runs")).where("size(runs) > 0")
