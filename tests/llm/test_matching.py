@@ -251,3 +251,27 @@ def test_large_anchors_are_narrowed(spark, monkeypatch):
     del made[:]
     assert U.order(fmindex.report(docs).collect()) == U.order(U.substring(rows))
     assert made and max(made) <= 2
+
+
+def test_near_copies_under_the_threshold_meet_by_family(spark, monkeypatch):
+    """Near copies that stay apart are not paired token by token."""
+    seen, real = [], jaccard.candidates
+
+    def watched(token, dealt, *rest):
+        held = token.join(dealt, "node")
+        seen.append((held.count(), held.select("token", "family").distinct().count(), dealt.count()))
+        return real(token, dealt, *rest)
+
+    monkeypatch.setattr(jaccard, "candidates", watched)
+    rows = []
+    for k in range(150):
+        w = [f"w{i}" for i in range(300)]
+        for j, at in enumerate(np.random.default_rng(k).permutation(300)[:6].tolist()):
+            w[at] = f"x{k}_{j}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, U.SCHEMA)
+    want = U.jaccard(rows)
+    assert len({r[2] for r in want}) > 100
+    assert U.order(jaccard.report(docs).collect()) == U.order(want)
+    (held, entries, nodes), = seen
+    assert nodes > 100 and entries < held / 20
