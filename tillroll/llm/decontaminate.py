@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.llm.common import discard, field, handed_on, schema, slices, text_buffer, written
+from tillroll.llm.common import bounded, discard, field, handed_on, schema, slices, text_buffer, worker_model, written
 
 WINDOW = 10
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -119,15 +119,9 @@ def _hash(block: np.ndarray) -> np.ndarray:
     return ((block * _ODD) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-_COMPILED: dict[str, tuple[Matcher, list[list[str]]]] = {}
-
-
-def _matcher(key: str, blob: bytes) -> tuple[Matcher, list[list[str]]]:
-    """One compiled matcher per worker process and pattern set."""
-    if key not in _COMPILED:
-        rows = pickle.loads(blob)
-        _COMPILED[key] = (Matcher([p for p, _ in rows]), [i for _, i in rows])
-    return _COMPILED[key]
+def _compiled(blob: bytes) -> tuple[Matcher, list[list[str]]]:
+    rows = pickle.loads(blob)
+    return Matcher([p for p, _ in rows]), [i for _, i in rows]
 
 
 def _hits(texts: list[bytes], found: list[tuple[int, int]], starts: np.ndarray, joined: bytes, lengths: list[int]):
@@ -160,7 +154,7 @@ def _scan_pass(docs: DataFrame, key: str, blob: bytes, names: list[str], text_co
         T.StructField("_items", T.ArrayType(T.StringType()))])
 
     def run(batches):
-        m, items = _matcher(key, blob)
+        m, items = worker_model(key, lambda: _compiled(blob))
         lengths = [p.count(b" ") - 1 for p in m.pats]
         for batch in slices(batches, text_col):
             buf, off = text_buffer(batch.column(text_col))
@@ -182,7 +176,7 @@ def _scan_pass(docs: DataFrame, key: str, blob: bytes, names: list[str], text_co
                 + [pa.array(n_words, pa.int64()), pa.array(ranges, pa.list_(pa.list_(pa.int64()))),
                    pa.array(got, pa.list_(pa.string()))], names=[*names, "_n_words", "_ranges", "_items"])
 
-    return docs.mapInArrow(run, out)
+    return bounded(docs).mapInArrow(run, out)
 
 
 def scan(docs: DataFrame, bench: DataFrame, columns: list[str] | None = None, window: int = WINDOW,

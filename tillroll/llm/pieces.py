@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.llm import tokens as K
-from tillroll.llm.common import field, handed_on, schema, slices
+from tillroll.llm.common import bounded, field, handed_on, schema, slices, worker_model
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -518,14 +518,8 @@ class _Cache(dict):
         return got
 
 
-_LOADED: dict[str, Transducer] = {}
-
-
 def transducer(blob: bytes) -> Transducer:
-    key = hashlib.sha256(blob).hexdigest()
-    if key not in _LOADED:
-        _LOADED[key] = Transducer.load(blob)
-    return _LOADED[key]
+    return worker_model(hashlib.sha256(blob).hexdigest(), lambda: Transducer.load(blob))
 
 
 def _blob(model: str) -> bytes:
@@ -558,7 +552,7 @@ def encode(docs: DataFrame, model: str = MODEL, columns: list[str] | None = None
         for batch in slices(batches, text_col, TEXT_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [_encoded(t, batch.column(text_col))[2]], names=out.names)
 
-    return docs.select(*names).mapInArrow(run, out)
+    return bounded(docs).select(*names).mapInArrow(run, out)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, columns: list[str] | None = None, ids_col: str = "ids") -> DataFrame:
@@ -605,4 +599,4 @@ def report(docs: DataFrame, model: str = MODEL) -> DataFrame:
             n = pa.array(np.diff(off).astype(np.int64), mask=np.asarray(ids.is_null()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, ids, pa.array(back, pa.bool_())], names=out.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, out)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.llm import tokens as K
-from tillroll.llm.common import field, handed_on, schema, slices, text_buffer
+from tillroll.llm.common import bounded, field, handed_on, schema, slices, text_buffer, worker_model
 
 # Words (fixed values): insults, and frequent short function words.
 INSULTS = ("idiot moron loser pathetic stupid worthless scum trash clown disgusting dumb imbecile jerk "
@@ -41,6 +41,7 @@ BAD, GOOD, NONE = 1, 0, 2
 LEVEL_BINS, WORD_BINS = 1 << 16, 1 << 22
 SAMPLE = 4000  # training documents, at most
 WINDOW = 20_000  # characters of a document in the sample
+SLICE = 512 << 10  # bytes of text measured at once: a task needs some 200 bytes for each
 HEADS = (4, 5, 6)  # bytes of a word's beginning that are features
 
 _CLASS = np.full(256, 5, np.uint8)  # 0 separator, 1 lower, 2 upper, 3 digit, 4 non-ASCII, from 5 marks
@@ -225,7 +226,8 @@ def measure(docs: DataFrame, features: bool = False) -> DataFrame:
         [T.StructField("levels", ints), T.StructField("words", ints)] if features else []))
 
     def run(batches):
-        for batch in slices(batches):
+        worker_model()
+        for batch in slices(batches, "text", SLICE):
             m = Measures(*text_buffer(batch.column("text")))
             cols = [batch.column("doc_id"), pa.array(list(m.votes()), pa.list_(pa.int8()))]
             if features:
@@ -234,7 +236,7 @@ def measure(docs: DataFrame, features: bool = False) -> DataFrame:
                 cols.append(pa.array([np.unique(x[x >= 0]) for x in np.split(m.bins, cut, axis=1)], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=out.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, out)
 
 
 def given_votes(labels: DataFrame | None, docs: DataFrame) -> DataFrame:
@@ -302,18 +304,13 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
             "toxic": _fit(t_all, counts, t_some, bins["words"], WORD_BINS, 2e-2, 4)}
 
 
-_LOADED: dict[str, dict] = {}
-
-
-def _model(key: str, blob: bytes) -> dict:
-    if key not in _LOADED:
-        got = pickle.loads(blob)
-        for head, bins in (("quality", LEVEL_BINS), ("toxic", WORD_BINS)):
-            w = np.zeros(bins, np.float32)
-            w[got[head]["at"]] = got[head]["w"]
-            got[head]["table"] = w
-        _LOADED[key] = got
-    return _LOADED[key]
+def _load(blob: bytes) -> dict:
+    got = pickle.loads(blob)
+    for head, bins in (("quality", LEVEL_BINS), ("toxic", WORD_BINS)):
+        w = np.zeros(bins, np.float32)
+        w[got[head]["at"]] = got[head]["w"]
+        got[head]["table"] = w
+    return got
 
 
 def score(docs: DataFrame, model: dict | None, columns: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -333,11 +330,11 @@ def score(docs: DataFrame, model: dict | None, columns: list[str] | None = None,
     key = hashlib.sha256(blob).hexdigest()
 
     def run(batches):
-        for batch in slices(batches, text_col):
+        t = worker_model(key, lambda: _load(blob)) if model is not None else worker_model()
+        for batch in slices(batches, text_col, SLICE):
             m = Measures(*text_buffer(batch.column(text_col)))
             bad, toxic = np.zeros(len(m.n)), np.zeros(len(m.n))
-            if model is not None:
-                t = _model(key, blob)
+            if t is not None:
                 bad = 1 / (1 + np.exp(-np.clip(t["quality"]["table"][m.levels()].sum(1) + t["quality"]["b"], -30, 30)))
                 kind, hot = np.nonzero((t["toxic"]["table"][m.bins] != 0) & (m.bins >= 0))
                 pair = np.unique(np.stack([m.doc[hot], m.bins[kind, hot]], 1), axis=0)
@@ -348,7 +345,7 @@ def score(docs: DataFrame, model: dict | None, columns: list[str] | None = None,
                 [batch.column(c) for c in keep] + [pa.array(bad, pa.float64()), pa.array(toxic, pa.float64()),
                                                    pa.array((bad < 0.5) & (toxic < 0.5), pa.bool_())], names=out.names)
 
-    return docs.select(*names).mapInArrow(run, out)
+    return bounded(docs).select(*names).mapInArrow(run, out)
 
 
 def report(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
