@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from tests.llm import util as U
 from tillroll.llm import common, decontaminate, jaccard, pieces, quality
@@ -53,7 +54,7 @@ def test_texts_are_measured_in_small_slices(monkeypatch):
 
     class Docs:
         sparkSession = type("S", (), {"conf": {common.BATCH: "1"}})
-        schema = {"doc_id": U.SCHEMA["doc_id"]}
+        schema = {"doc_id": T.StructField("doc_id", T.LongType())}
 
         def select(self, *names):
             return self
